@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import capping, encoding, lookalikes, splitting
+from lectern.llm import capping, encoding, lookalikes, scans, splitting
 from lectern.runtime import table
 
 
@@ -53,13 +53,23 @@ def p3_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.canonical_texts(chunks).distinct()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of scanned pages that carry noise, with its kind."""
+    return scans.page_noise(table(spark, d, "raw_pages"))
+
+
+def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """The repaired paragraphs of every scanned paper."""
+    return scans.paragraphs(table(spark, d, "raw_pages"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document."""
     return encoding.encode_corpus(table(spark, d, "documents").where("doc_id is not null"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_kept, p1_capped_sources, p2_found, p2_pieces, p3_found, p3_canonical, p7_ids)
+    f.__name__: f for f in (p1_found, p1_kept, p1_capped_sources, p2_found, p2_pieces, p3_found, p3_canonical, p4_found, p4_paragraphs, p7_ids)
 }
 
 _HITS = """
