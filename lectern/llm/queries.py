@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import capping, encoding, lookalikes, scans, splitting
+from lectern.llm import capping, encoding, lookalikes, pairs, scans, splitting
 from lectern.runtime import table
 
 
@@ -63,13 +63,19 @@ def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return scans.paragraphs(table(spark, d, "raw_pages"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Question and answer pairs that are unfit for use, with the defect."""
+    model = pairs.fit_language_model(table(spark, d, "documents"))
+    return pairs.defects(pairs.answer_records(table(spark, d, "turns"), table(spark, d, "answers")), model)
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document."""
     return encoding.encode_corpus(table(spark, d, "documents").where("doc_id is not null"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_kept, p1_capped_sources, p2_found, p2_pieces, p3_found, p3_canonical, p4_found, p4_paragraphs, p7_ids)
+    f.__name__: f for f in (p1_found, p1_kept, p1_capped_sources, p2_found, p2_pieces, p3_found, p3_canonical, p4_found, p4_paragraphs, p5_found, p7_ids)
 }
 
 _HITS = """
