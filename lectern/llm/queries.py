@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import capping, encoding, lookalikes, pairs, scans, splitting
+from lectern.llm import capping, encoding, lookalikes, overlap, pairs, scans, splitting
 from lectern.runtime import table
 
 
@@ -69,13 +69,24 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defects(pairs.answer_records(table(spark, d, "turns"), table(spark, d, "answers")), model)
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a training question and an evaluation question that ask the same about the same paper."""
+    pairs_ = overlap.overlaps(table(spark, d, "benchmark"), table(spark, d, "corpus_queries"))
+    return pairs_.select(F.least("id_train", "id_eval").alias("id_a"), F.greatest("id_train", "id_eval").alias("id_b")).where("id_a < id_b").distinct()
+
+
+def p6_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Per evaluation split and paper, how many records training holds too, and their pairs."""
+    return overlap.overlap_counts(table(spark, d, "benchmark"), table(spark, d, "corpus_queries"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document."""
     return encoding.encode_corpus(table(spark, d, "documents").where("doc_id is not null"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_kept, p1_capped_sources, p2_found, p2_pieces, p3_found, p3_canonical, p4_found, p4_paragraphs, p5_found, p7_ids)
+    f.__name__: f for f in (p1_found, p1_kept, p1_capped_sources, p2_found, p2_pieces, p3_found, p3_canonical, p4_found, p4_paragraphs, p5_found, p6_found, p6_counts, p7_ids)
 }
 
 _HITS = """
