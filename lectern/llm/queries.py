@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import capping, encoding, lookalikes, overlap, pairs, scans, splitting
+from lectern.llm import capping, encoding, leakage, lookalikes, overlap, pairs, scans, splitting
 from lectern.runtime import table
 
 
@@ -85,8 +85,23 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, d, "documents").where("doc_id is not null"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the held-out items of which they hold a passage."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "heldout"))
+
+
+def p8_leaked(spark: SparkSession, d: str) -> DataFrame:
+    """The held-out items that leaked, with the number of documents."""
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "heldout"))
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that are left when those with a held-out passage are removed."""
+    return leakage.without_leaks(table(spark, d, "documents"), table(spark, d, "heldout")).select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_kept, p1_capped_sources, p2_found, p2_pieces, p3_found, p3_canonical, p4_found, p4_paragraphs, p5_found, p6_found, p6_counts, p7_ids)
+    f.__name__: f for f in (p1_found, p1_kept, p1_capped_sources, p2_found, p2_pieces, p3_found, p3_canonical, p4_found, p4_paragraphs, p5_found, p6_found, p6_counts, p7_ids, p8_found, p8_leaked, p8_clean)
 }
 
 _HITS = """
