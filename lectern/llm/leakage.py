@@ -11,14 +11,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.lookalikes import ALIKE, ALTERNATIVES, plain
+from lectern.llm.lookalikes import latin, plain
 
 #: Words of a verbatim seed, words of training text in one suffix array, characters of held-out text matched in one pass.
 SEED, SHARD, PASS = 6, 1_000_000, 8_000_000
 #: A passage: words of the item in a row, share of them that may differ, held-out items from which a seed counts as a stock phrase.
 PASSAGE, ALTERED, STOCK = 25, 0.15, 5
+#: Words by which insertions and omissions may shift one end of a passage against the other.
+DRIFT = 8
 
-_LATIN = str.maketrans({c: o[1][0] for c, o in ALTERNATIVES.items() if not c.isascii() and len(o) > 1 and o[1][1] == ALIKE})
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑¬]\s*\n\s*(?=[^\W\d_])")
 _MARKS = re.compile(r"[^\w\s]|_")
 
@@ -27,7 +28,7 @@ def words(text: str) -> list[str]:
     """Lower-case words without marks; a word broken over lines is joined."""
     if "\n" in text:
         text = _BROKEN.sub("", text)
-    return _MARKS.sub("", plain(text).translate(_LATIN).lower()).split()
+    return _MARKS.sub("", latin(plain(text)).lower()).split()
 
 
 class SuffixArray:
@@ -115,37 +116,44 @@ class HeldOut:
         return self.ids[self.start[i] : end - 1]
 
 
-def aligned(item: np.ndarray, doc: np.ndarray, stock: np.ndarray) -> tuple[int, int, int]:
-    """(words of the item, differences, plain words matched) of the best local alignment: a match counts 1, a difference -3."""
-    n = len(doc)
-    score = np.zeros(n + 1)
-    # what a cell's alignment holds so far: where it began in the item, its differences, its matches outside stock phrases
-    start, wrong, good = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-    best, found = 0.0, (0, 0, 0)
-    for i, w in enumerate(item):
-        hit = doc == w
-        diag = score[:-1] + np.where(hit, 1.0, -3.0)
-        up = score[1:] - 3.0
+def aligned(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each (item, document, stock marks of the item): words of the item, differences and plain words matched of the
+    best local alignment, in which a match counts 1 and a difference -3. All pairs are aligned side by side, word by word of the item."""
+    rows, cols = max(len(a) for a, _, _ in pairs), max(len(b) for _, b, _ in pairs)
+    item, doc = np.full((len(pairs), rows), -1, np.int64), np.full((len(pairs), cols), -2, np.int64)
+    dull = np.ones((len(pairs), rows), bool)
+    for p, (a, b, m) in enumerate(pairs):
+        item[p, : len(a)], doc[p, : len(b)], dull[p, : len(m)] = a, b, m
+    # of each cell its alignment's score, and beside it where that began in the item, its differences and its plain matches
+    shape = (len(pairs), cols + 1)
+    score, start, wrong, good = np.zeros(shape, np.float32), np.zeros(shape, np.int32), np.zeros(shape, np.int32), np.zeros(shape, np.int32)
+    best, found = np.zeros(len(pairs), np.float32), np.zeros((len(pairs), 3), np.int64)
+    for i in range(rows):
+        hit = doc == item[:, i : i + 1]
+        live = score[:, :-1] > 0
+        diag, up = score[:, :-1] + np.where(hit, np.float32(1), np.float32(-3)), score[:, 1:] - 3
         take = diag >= up
         s = np.where(take, diag, up)
-        st = np.where(take, np.where(score[:-1] > 0, start[:-1], i), start[1:])
-        wr = np.where(take, np.where(score[:-1] > 0, wrong[:-1], 0) + ~hit, wrong[1:] + 1)
-        gd = np.where(take, np.where(score[:-1] > 0, good[:-1], 0) + (hit & ~stock[i]), good[1:])
+        st = np.where(take, np.where(live, start[:, :-1], i), start[:, 1:])
+        wr = np.where(take, np.where(live, wrong[:, :-1], 0) + ~hit, wrong[:, 1:] + 1)
+        gd = np.where(take, np.where(live, good[:, :-1], 0) + (hit & ~dull[:, i : i + 1]), good[:, 1:])
         for _ in range(2):  # words that the document adds
-            left = np.concatenate(([-9.0], s[:-1])) - 3.0
-            add = left > s
+            add = np.zeros(s.shape, bool)
+            add[:, 1:] = s[:, :-1] - 3 > s[:, 1:]
             if not add.any():
                 break
-            s = np.where(add, left, s)
-            st = np.where(add, np.concatenate(([0], st[:-1])), st)
-            wr = np.where(add, np.concatenate(([0], wr[:-1])) + 1, wr)
-            gd = np.where(add, np.concatenate(([0], gd[:-1])), gd)
+            r, c = np.nonzero(add)
+            s[r, c], st[r, c], wr[r, c], gd[r, c] = s[r, c - 1] - 3, st[r, c - 1], wr[r, c - 1] + 1, gd[r, c - 1]
         dead = s <= 0
-        s = np.where(dead, 0.0, s)
-        score, start, wrong, good = (np.concatenate(([0], x)) for x in (s, np.where(dead, i + 1, st), np.where(dead, 0, wr), np.where(dead, 0, gd)))
-        k = int(score.argmax())
-        if score[k] > best:
-            best, found = float(score[k]), (int(i - start[k] + 1), int(wrong[k]), int(good[k]))
+        score[:, 1:], start[:, 1:], wrong[:, 1:], good[:, 1:] = np.where(dead, 0, s), np.where(dead, i + 1, st), np.where(dead, 0, wr), np.where(dead, 0, gd)
+        k = score.argmax(1)
+        every = np.arange(len(pairs))
+        top = score[every, k]
+        better = top > best
+        if better.any():
+            e, k = every[better], k[better]
+            best[e] = top[e]
+            found[e] = np.stack([i - start[e, k] + 1, wrong[e, k], good[e, k]], 1)
     return found
 
 
@@ -168,38 +176,37 @@ def shard_matches(held: HeldOut, docs: list[np.ndarray]) -> list[tuple[int, int]
     starts = np.cumsum(sizes) - sizes
     doc, item = np.searchsorted(starts, place, "right") - 1, held.owner[first]
     stock = np.concatenate(([0], np.cumsum(held.stock)))
-    plain_ = length - (stock[np.minimum(first + length, len(held.stock))] - stock[first])
+    rare = length - (stock[np.minimum(first + length, len(held.stock))] - stock[first])
+    offset = place - starts[doc] - (first - held.start[item])
+    # a passage of PASSAGE words with the allowed differences keeps 12 words in verbatim runs whose offsets differ by its
+    # insertions and omissions only; bands of offsets overlap, so that no passage falls between two
     key = doc * len(held.items) + item
-    order = np.argsort(key, kind="stable")
-    key, cuts = key[order], None
-    cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    total = np.add.reduceat(length[order], cuts) if len(cuts) else cuts
-    rare = np.add.reduceat(plain_[order], cuts) if len(cuts) else cuts
-    out = []
-    # a passage of PASSAGE words with the allowed differences keeps at least this many words in verbatim runs of a seed or more
-    for c in np.flatnonzero((total >= 12) & (rare >= 6)):
-        k = int(key[cuts[c]])
+    tried: dict[int, list[int]] = {}
+    for shift in (0, DRIFT):
+        band = (key << 24) + (offset + (1 << 22) + shift) // (2 * DRIFT)
+        order = np.argsort(band, kind="stable")
+        cuts = np.flatnonzero(np.diff(band[order], prepend=-1))
+        if len(cuts):
+            total, plain_ = np.add.reduceat(length[order], cuts), np.add.reduceat(rare[order], cuts)
+            low = np.minimum.reduceat(offset[order], cuts)
+            for c in np.flatnonzero((total >= 12) & (plain_ >= 6)):
+                tried.setdefault(int(key[order[cuts[c]]]), []).append(int(low[c]))
+    jobs = []
+    for k, lows in tried.items():
         d, i = divmod(k, len(held.items))
-        part = order[cuts[c] : cuts[c + 1] if c + 1 < len(cuts) else len(order)]
-        own = held.item_words(i)
-        offsets = place[part] - starts[d] - (first[part] - held.start[i])
-        hit = False
-        done: list[tuple[int, int]] = []
-        for o in np.unique(offsets):
-            a, b = max(0, int(o) - 12), min(len(docs[d]), int(o) + len(own) + 12)
-            if any(x <= a + 12 and b - 12 <= y for x, y in done):
-                continue
-            done.append((a, b))
-            near = part[np.abs(offsets - o) <= 24]
-            if length[near].sum() < 12:
-                continue
-            span, wrong, good = aligned(own, docs[d][a:b], held.stock[held.start[i] : held.start[i] + len(own)])
+        own, last = held.item_words(i), None
+        for low in sorted(lows):
+            if last is None or low - last > DRIFT:
+                last = low
+                jobs.append((d, i, own, docs[d][max(0, low - DRIFT) : max(0, low + len(own) + 3 * DRIFT)], held.stock[held.start[i] : held.start[i] + len(own)]))
+    jobs.sort(key=lambda j: (len(j[2]), len(j[3])))
+    out = set()
+    for n in range(0, len(jobs), 256):
+        some = jobs[n : n + 256]
+        for (d, i, *_), (span, wrong, good) in zip(some, aligned([j[2:] for j in some])):
             if span >= PASSAGE - 1 and wrong <= max(3, ALTERED * span) and good >= 0.6 * PASSAGE:
-                hit = True
-                break
-        if hit:
-            out.append((d, i))
-    return out
+                out.add((d, i))
+    return sorted(out)
 
 
 def leaks(documents: DataFrame, heldout: DataFrame, key: str = "doc_id") -> DataFrame:

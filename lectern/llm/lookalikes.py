@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -63,10 +64,23 @@ Y: Ү Υ | У
 Z: Ζ
 """
 
-IGNORABLE = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cf}]|[\p{Cc}--\s]", regex.V1)
-_DASH = regex.compile("[\\p{Pd}−⁃˗­]")
-_BLANK = regex.compile(r"\s+")
-_QUOTES = str.maketrans({**dict.fromkeys("‘’‛ʼ′´`", "'"), **dict.fromkeys("“”‟″", '"')})
+
+
+def _char_class(chars: list[str]) -> re.Pattern[str]:
+    """A pattern of one of the characters, as ranges."""
+    codes, parts = sorted(map(ord, chars)), []
+    for c in codes:
+        if parts and parts[-1][1] == c - 1:
+            parts[-1][1] = c
+        else:
+            parts.append([c, c])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in parts) + "]")
+
+
+_ALL = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x11000), *range(0x1BCA0, 0x1BCA4), *range(0x1D173, 0x1D17B), *range(0xE0000, 0xE1000)]))
+IGNORABLE = _char_class(regex.findall(r"[\p{Default_Ignorable_Code_Point}\p{Cf}]|[\p{Cc}--\s]", _ALL, regex.V1))
+_MARKS = {**dict.fromkeys(regex.findall(r"\p{Pd}", _ALL) + list("−⁃˗"), "-"), **dict.fromkeys("‘’‛ʼ′´`", "'"), **dict.fromkeys("“”‟″", '"')}
+_MARKED = _char_class([m for m in _MARKS if m not in "-`"])
 
 #: Cost, in natural-log units, of taking a letter for one drawn alike, for one that only resembles it, and of a change of script inside a word.
 ALIKE, RESEMBLES, MIXED = 1.0, 6.0, 12.0
@@ -97,16 +111,26 @@ def script(ch: str) -> str:
 
 
 def plain(text: str) -> str:
-    """Compatibility form without ignorable characters, with one kind of dash, quote and single spaces."""
-    if not text.isascii():
-        text = IGNORABLE.sub("", text)
-        text = unicodedata.normalize("NFKC", text)
+    """Compatibility form without ignorable characters, with one kind of dash and quote, and single spaces between words."""
+    if IGNORABLE.search(text):
         text = IGNORABLE.sub("", text)
-        text = unicodedata.normalize("NFKC", text)
-        text = _DASH.sub("-", text).translate(_QUOTES)
-    elif IGNORABLE.search(text):
-        text = IGNORABLE.sub("", text)
-    return _BLANK.sub(" ", text)
+    if not text.isascii():
+        if not unicodedata.is_normalized("NFKC", text):
+            text = unicodedata.normalize("NFKC", text)
+            if IGNORABLE.search(text):
+                text = unicodedata.normalize("NFKC", IGNORABLE.sub("", text))
+        if _MARKED.search(text):
+            text = _MARKED.sub(lambda m: _MARKS[m.group()], text)
+    return " ".join(text.split())
+
+
+_DRAWN = {c: o[1][0] for c, o in ALTERNATIVES.items() if not c.isascii() and len(o) > 1 and o[1][1] == ALIKE}
+_DRAWN_ALIKE = _char_class(list(_DRAWN))
+
+
+def latin(text: str) -> str:
+    """Every letter that is drawn like a Latin one as that one, without regard to its word: for keys, not for reading."""
+    return text if text.isascii() or not _DRAWN_ALIKE.search(text) else _DRAWN_ALIKE.sub(lambda m: _DRAWN[m.group()], text)
 
 
 class LatticeDecoder:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.lookalikes import ALIKE, ALTERNATIVES, plain
+from lectern.llm.lookalikes import latin, plain
 
 #: Most labelled rows that the language classifier is fitted on, and its table of hashed character trigrams.
 LABELLED, SLOTS = 4000, 1 << 16
@@ -46,7 +46,6 @@ ASKED = {
 }
 _ASKED = {k: re.compile(v, re.I) for k, v in ASKED.items()}
 
-_LATIN = str.maketrans({c: o[1][0] for c, o in ALTERNATIVES.items() if not c.isascii() and len(o) > 1 and o[1][1] == ALIKE})
 _WORDS = re.compile(r"[^\W_]+(?:[.'’][^\W_]+)*")
 _QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|„[^“”]*[“”]")
 _CITED = re.compile(r"\s*\[Excerpts? [^\]]*\]", re.I)
@@ -111,7 +110,7 @@ def is_empty(text: str | None) -> bool:
 
 
 def _tokens(text: str) -> list[str]:
-    return _WORDS.findall(plain(text).translate(_LATIN).lower())
+    return _WORDS.findall(latin(plain(text)).lower())
 
 
 def is_copy(question: str | None, text: str) -> bool:
@@ -166,10 +165,10 @@ def language_defect(model: LanguageModel, question: str | None, text: str) -> bo
     """Whether the answer, without what it quotes, is in another language than the question or than the question asks for."""
     if not question:
         return False
-    body = _QUOTED.sub(" ", plain(text).translate(_LATIN))
+    body = _QUOTED.sub(" ", latin(plain(text)))
     if len(_WORDS.findall(body)) < 4:
         return False
-    want = next((k for k, v in _ASKED.items() if v.search(question)), None) or model.language(plain(question).translate(_LATIN), 6.0)
+    want = next((k for k, v in _ASKED.items() if v.search(question)), None) or model.language(latin(plain(question)), 6.0)
     have = model.language(body)
     return bool(want and have and want != have)
 
