@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import capping, encoding, leakage, lookalikes, overlap, pairs, scans, splitting
+from lectern.llm import capping, cutoff, encoding, leakage, lookalikes, overlap, pairs, scans, splitting
 from lectern.runtime import table
 
 
@@ -100,8 +100,18 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.without_leaks(table(spark, d, "documents"), table(spark, d, "heldout")).select("doc_id")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that were cut before their end."""
+    return cutoff.endings(table(spark, d, "documents")).where("is_cut").select("doc_id").distinct()
+
+
+def p9_share(spark: SparkSession, d: str) -> DataFrame:
+    """The share of cut documents per source."""
+    return cutoff.cut_share(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_kept, p1_capped_sources, p2_found, p2_pieces, p3_found, p3_canonical, p4_found, p4_paragraphs, p5_found, p6_found, p6_counts, p7_ids, p8_found, p8_leaked, p8_clean)
+    f.__name__: f for f in (p1_found, p1_kept, p1_capped_sources, p2_found, p2_pieces, p3_found, p3_canonical, p4_found, p4_paragraphs, p5_found, p6_found, p6_counts, p7_ids, p8_found, p8_leaked, p8_clean, p9_found, p9_share)
 }
 
 _HITS = """
