@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -14,9 +16,9 @@ from pyspark.sql import functions as F
 from lectern.llm.lookalikes import latin, plain
 
 #: Most labelled rows that the language classifier is fitted on, and its table of hashed character trigrams.
-LABELLED, SLOTS = 4000, 1 << 16
+LABELLED, SLOTS = 2000, 1 << 16
 #: Chance that text ends at a place of which nothing is known, weight of the shorter context, the chance below which an end is none, and the words of the longest context.
-PRIOR, WEIGHT, ENDS, LONGEST = 0.04, 2.0, 0.6, 4
+PRIOR, WEIGHT, ENDS, LONGEST = 0.04, 2.0, 0.6, 3
 
 # What stands for an absent answer, words for quoting a question, abbreviations that end no sentence.
 PLACEHOLDERS = set("null none nil nan na n/a tbd todo tba empty blank undefined unknown missing placeholder no-answer noanswer answer response reply antwort respuesta réponse reponse leer vacío vide".split()) | {"no answer", "no response", "not available", "not applicable", "to be done", "no content", "sin respuesta", "keine antwort", "pas de réponse", "answer here", "your answer here"}
@@ -46,6 +48,7 @@ ASKED = {
 }
 _ASKED = {k: re.compile(v, re.I) for k, v in ASKED.items()}
 
+_DIGIT = re.compile(r"\d")
 _WORDS = re.compile(r"[^\W_]+(?:[.'’][^\W_]+)*")
 _QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|„[^“”]*[“”]")
 _CITED = re.compile(r"\s*\[Excerpts? [^\]]*\]", re.I)
@@ -56,7 +59,7 @@ class LanguageModel:
     """Naive Bayes over hashed character trigrams."""
 
     def __init__(self, names: list[str], table: np.ndarray):
-        self.names, self.table = names, table
+        self.names, self.table = names, table  # table: a row of log-rates a slot
 
     @staticmethod
     def slots(text: str) -> np.ndarray:
@@ -64,8 +67,8 @@ class LanguageModel:
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         if len(code) < 3:
             return np.zeros(0, np.int64)
-        key = (code[:-2] * np.uint64(0x9E3779B1) + code[1:-1] * np.uint64(0x85EBCA77) + code[2:] * np.uint64(0xC2B2AE3D)) & np.uint64(0xFFFFFFFF)
-        return ((key * np.uint64(0x27D4EB2F)) >> np.uint64(13)).astype(np.int64) & (SLOTS - 1)
+        key = code[:-2] * np.uint64(0x9E3779B97F4A7C15) + code[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + code[2:] * np.uint64(0x165667B19E3779F9)
+        return (key >> np.uint64(48)).astype(np.int64) & (SLOTS - 1)
 
     @classmethod
     def fit(cls, labelled: list[tuple[str, str]]) -> LanguageModel:
@@ -74,11 +77,11 @@ class LanguageModel:
         for lang, text in labelled:
             np.add.at(counts[names.index(lang)], cls.slots(text), 1.0)
         rate = (counts + 0.05) / (counts.sum(1, keepdims=True) + 0.05 * SLOTS)
-        return cls(names, np.log(rate).astype(np.float32))
+        return cls(names, np.ascontiguousarray(np.log(rate).T.astype(np.float32)))
 
     def scores(self, text: str) -> np.ndarray:
         """Log-likelihood of the text in each language, relative to the best."""
-        found = self.table[:, self.slots(text)].sum(1, dtype=np.float64)
+        found = self.table[self.slots(text)].sum(0, dtype=np.float64)
         return found - found.max() if len(found) else found
 
     def language(self, text: str, margin: float = 8.0) -> str | None:
@@ -91,16 +94,21 @@ class LanguageModel:
 
 
 def fit_language_model(documents: DataFrame, labelled: int = LABELLED) -> LanguageModel:
-    """Fitted on at most ``labelled`` rows of (text, lang): those of smallest id hash. Rows without text or label are left out."""
-    rows = documents.where("text is not null and lang is not null and length(text) > 80").select(F.lower(F.trim("lang")).alias("lang"), F.substring("text", 1, 3000).alias("text"), F.xxhash64("doc_id").alias("h"))
-    return LanguageModel.fit([(r.lang, plain(r.text)) for r in rows.orderBy("h").limit(labelled).collect()])
+    """Fitted on about ``labelled`` rows of (text, lang), at most twice as many: a share drawn by the hash of the id. Of a
+    labelled text the first 1 000 characters teach. Rows without text or label are left out."""
+    n = max(1, documents.count())
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < min(1_000_000, int(1_000_000 * labelled / n) + 1)
+    rows = documents.where(share).where("text is not null and lang is not null and length(text) > 80").select(F.lower(F.trim("lang")).alias("lang"), F.substring("text", 1, 1000).alias("text"))
+    return LanguageModel.fit(sorted((r.lang, plain(r.text)) for r in rows.limit(2 * labelled).collect()))
 
 
 def is_empty(text: str | None) -> bool:
     """Nothing that answers: NULL, blank, no letter or digit, a placeholder, a bare marker or label."""
     if text is None:
         return True
-    text = plain(text).strip()
+    if len(text) > 200 and text[:40].isascii() and text[:1].isalpha():
+        return False
+    text = plain(text)
     core = text.strip(" \t[](){}<>*_-–—.:;!?…\"'|#/\\=~").lower()
     if not any(c.isalnum() for c in core):
         return True
@@ -113,16 +121,25 @@ def _tokens(text: str) -> list[str]:
     return _WORDS.findall(latin(plain(text)).lower())
 
 
+def _fuzzy_start(a: str, b: str) -> bool:
+    """Whether two texts share one of three short stretches of the first, blanks aside."""
+    x, y = "".join(a.lower().split()), "".join(b.lower().split())
+    return any(x[i : i + 7] in y for i in (0, len(x) // 3, 2 * len(x) // 3))
+
+
 def is_copy(question: str | None, text: str) -> bool:
     """Only repeats the question, perhaps quoted, labelled, twice or slightly altered."""
-    if not question:
+    if not question or len(text) > 4 * len(question) + 200:
         return False
-    clean = plain(text).strip()
+    clean = plain(text)
     for _ in range(4):
         shorter = LABEL.sub("", QUOTING.sub("", clean)).strip()
         if shorter == clean:
             break
         clean = shorter
+    asked = set(latin(plain(question)).lower().split())
+    if len(asked) > 3 and 3 * len(asked & set(latin(clean).lower().split())) < len(asked) and len(clean) > 40 and not _fuzzy_start(question, clean):
+        return False
     q, a = _tokens(question), _tokens(clean)
     if not q or not a:
         return False
@@ -144,13 +161,11 @@ def is_copy(question: str | None, text: str) -> bool:
 
 def is_refusal(text: str) -> bool:
     """Every sentence declines or is small talk, and at least one declines."""
-    text = plain(text).strip()
-    if len(text) > 600 or _CITED.search(text):
+    if len(text) > 900 or _DIGIT.search(text):
         return False
+    text = plain(text)
     declines = False
     for part in re.split(r"(?<=[.!?])\s+", text):
-        if any(c.isdigit() for c in part):
-            return False
         words = part.split()
         if DECLINES.search(part):
             if len(words) > 32:
@@ -185,16 +200,17 @@ def _stream(text: str) -> list[tuple[bool, list[str]]]:
 
 
 def plain_lines(text: str) -> str:
-    return "\n".join(plain(x) for x in text.split("\n"))
+    return "\n".join(plain(x) for x in text.split("\n")) if "\n" in text else plain(text)
 
 
+@lru_cache(1 << 18)
 def _mask(token: str) -> str:
     return re.sub(r"\d[\d.,e]*", "#", token.lower().strip("()[]\"'“”.,;:!?*"))
 
 
 def _ends(token: str, after: str | None) -> bool:
     """Whether a sentence ends with the token."""
-    if not re.search(r"[.!?…][)\]\"'”»]*$", token) or token.lower().strip("()[]\"'") in ABBREVIATIONS:
+    if token[-1].isalnum() or not re.search(r"[.!?…][)\]\"'”»]*$", token) or token.lower().strip("()[]\"'") in ABBREVIATIONS:
         return False
     return after is None or not (after[0].islower() or after[0].isdigit())
 
@@ -205,25 +221,31 @@ def _contexts(item: bool, words: list[str]) -> list[str]:
     return [tag + " ".join(words[-n:]) for n in range(1, LONGEST + 1) if n <= len(words)]
 
 
-def end_counts(text: str, into: dict[str, list[int]]) -> None:
-    """Adds the text's contexts: how often each occurs and how often a sentence, or a line of a list, ends there."""
+def end_counts(text: str, seen: list[Counter], ends: list[Counter]) -> None:
+    """Adds the text's contexts of each length: how often each occurs, and how often a sentence, or a line of a list, ends there."""
     lines = _stream(text)
     for k, (item, words) in enumerate(lines):
-        before = ["^"]
+        masks = [_mask(w) for w in words]
         last_line = k + 1 == len(lines)
-        for i, w in enumerate(words):
-            at_end = i + 1 == len(words)
-            if at_end and last_line and not re.search(r"[.!?]\W*$", w):
-                break  # what is to be judged teaches nothing
-            ends = at_end if item else _ends(w, None if at_end else words[i + 1])
-            m = _mask(w)
-            before.append(m)
-            for key in _contexts(item, before):
-                c = into.setdefault(key, [0, 0])
-                c[0] += 1
-                c[1] += ends
-            if ends:
-                before = ["^"]
+        if last_line and not words[-1][-1] in ".!?" and not re.search(r"[.!?]\W*$", words[-1]):
+            masks.pop()  # what is to be judged teaches nothing
+        if item:
+            stops = [len(words)] if len(masks) == len(words) else []
+        else:
+            stops = [i + 1 for i, w in enumerate(words) if not w[-1].isalnum() and _ends(w, words[i + 1] if i + 1 < len(words) else None)]
+        tag = "L|" if item else "S|"
+        begin = 0
+        for stop in [*stops, len(masks)]:
+            run = ["^", *masks[begin:stop]]
+            if len(run) > 1:
+                seen[0].update(zip(repeat(tag), run[1:]))
+                for n in range(1, LONGEST):
+                    seen[n].update(zip(repeat(tag), *[run[j:] for j in range(n + 1)]))
+                if stop in stops:
+                    for n in range(min(LONGEST, len(run))):
+                        if n or len(run) > 1:
+                            ends[n][(tag, *run[len(run) - n - 1 :])] += 1
+            begin = stop
 
 
 def end_contexts(text: str) -> list[str] | str | None:
@@ -286,14 +308,20 @@ def defects(records: DataFrame, model: LanguageModel) -> DataFrame:
             yield pd.concat([batch[["record_kind", "record_id", "at"]].reset_index(drop=True), out], axis=1)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[str, list[int]] = {}
+        seen, ends = [Counter() for _ in range(LONGEST)], [Counter() for _ in range(LONGEST)]
+
+        def flush() -> pd.DataFrame:
+            rows = [(k[0] + " ".join(k[1:]), n, e[k]) for c, e in zip(seen, ends) for k, n in c.items()]
+            for c in (*seen, *ends):
+                c.clear()
+            return pd.DataFrame(rows, columns=["key", "n", "e"])
+
         for batch in batches:
             for t in batch["text"]:
-                end_counts(t, counts)
-            if len(counts) > 300_000:
-                yield pd.DataFrame([(k, *v) for k, v in counts.items()], columns=["key", "n", "e"])
-                counts = {}
-        yield pd.DataFrame([(k, *v) for k, v in counts.items()], columns=["key", "n", "e"])
+                end_counts(t, seen, ends)
+            if len(seen[-1]) > 200_000:
+                yield flush()
+        yield flush()
 
     rows = records.where("record_id is not null")
     judged = rows.mapInPandas(judge, "record_kind string, record_id bigint, at timestamp_ntz, defect string, ends array<string>")
