@@ -67,7 +67,7 @@ def resolve_splits(fragments: DataFrame, titles: DataFrame) -> DataFrame:
     pairs = fragments.join(titles.select("title").distinct(), F.contains(t, f), "left").withColumn("exact", F.coalesce(t == f, F.lit(False)))
     best = pairs.withColumn("any_exact", F.max("exact").over(Window.partitionBy("cluster", "split", "fragment"))).where("exact or not any_exact")
     one = best.groupBy("cluster", "split", "fragment").agg(F.count("title").alias("n_titles"), F.min("title").alias("title"))
-    splits = F.size(F.collect_set("split").over(Window.partitionBy("title")))
+    splits = F.size(F.collect_set(F.when(F.col("n_titles") == 1, F.col("split"))).over(Window.partitionBy("title")))
     problem = F.when(F.col("n_titles") == 0, "no match").when(F.col("n_titles") > 1, "several matches").when(splits > 1, "two splits")
     return one.withColumn("problem", problem)
 

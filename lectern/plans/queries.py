@@ -625,7 +625,7 @@ _FRAGMENTS = [("atmosphere", "train", "haze layer"), ("atmosphere", "test", "Mea
 p as (select cluster, split, fragment, title, coalesce(lower(trim(title)) = lower(trim(fragment)), false) as exact from f left join t on contains(lower(trim(title)), lower(trim(fragment)))),
 b as (select *, bool_or(exact) over (partition by cluster, split, fragment) as any_exact from p),
 o as (select cluster, split, fragment, count(title) as n_titles, min(title) as title from b where exact or not any_exact group by all)
-select cluster, split, fragment, n_titles, coalesce(title, '') as title, coalesce(case when n_titles = 0 then 'no match' when n_titles > 1 then 'several matches' when (select count(distinct split) from o o2 where o2.title = o.title) > 1 then 'two splits' end, '') as problem from o""")
+select cluster, split, fragment, n_titles, coalesce(title, '') as title, coalesce(case when n_titles = 0 then 'no match' when n_titles > 1 then 'several matches' when (select count(distinct split) from o o2 where o2.title = o.title and o2.n_titles = 1) > 1 then 'two splits' end, '') as problem from o""")
 def j07_r23_splits(s: SparkSession, d: str) -> DataFrame:
     """Which titles the fragments of a split specification name."""
     f = s.createDataFrame(_FRAGMENTS, "cluster string, split string, fragment string")
