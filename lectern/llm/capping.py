@@ -38,27 +38,28 @@ def cap_nested(df: DataFrame, levels: Sequence[Level], score: str, ties: Sequenc
     many tasks. A cap that is NULL or below 1 is no cap. A share is of the rows with the level's outer
     keys (all rows at the outermost level), rounded down but at least 1; its counts are aggregated
     before they are joined. Equal rows are told apart by nothing and either may stay; NULL keys form a
-    group. An empty table gives an empty table; columns named ``stays`` or ``cut_at`` are replaced."""
+    group. An empty table gives an empty table; columns named ``stays`` or ``cut_at`` are replaced,
+    and other extra columns stay as they are."""
     order, spread = best_first(score, ties), F.struct(*[F.col(c) for c in dict.fromkeys([*ties, score])])
     df = df.withColumn("cut_at", F.lit(None).cast("int"))
     for n, level in enumerate(levels, 1):
         outer = list(levels[n].keys) if n < len(levels) else []
         if level.share is not None:
-            name = f"_cap_{n}"
+            name = f"__cap_{n}"
             if outer:
-                totals = df.groupBy(*[F.col(c).alias(f"_of_{c}") for c in outer]).agg(F.count(F.lit(1)).alias("_n"))
-                df = df.join(totals, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in outer], "left").drop(*[f"_of_{c}" for c in outer])
+                totals = df.groupBy(*[F.col(c).alias(f"__cap_of_{c}") for c in outer]).agg(F.count(F.lit(1)).alias("__cap_n"))
+                df = df.join(totals, [F.col(c).eqNullSafe(F.col(f"__cap_of_{c}")) for c in outer], "left").drop(*[f"__cap_of_{c}" for c in outer])
             else:
-                df = df.withColumn("_one", F.lit(1)).join(df.groupBy(F.lit(1).alias("_one")).agg(F.count(F.lit(1)).alias("_n")), "_one", "left").drop("_one")
-            df = df.withColumn(name, F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(level.share))).cast("int")).drop("_n")
+                df = df.withColumn("__cap_one", F.lit(1)).join(df.groupBy(F.lit(1).alias("__cap_one")).agg(F.count(F.lit(1)).alias("__cap_n")), "__cap_one", "left").drop("__cap_one")
+            df = df.withColumn(name, F.greatest(F.lit(1), F.floor(F.col("__cap_n") * F.lit(level.share))).cast("int")).drop("__cap_n")
             cap = F.col(name)
         else:
             cap = F.lit(level.cap).cast("int") if not isinstance(level.cap, str) else F.col(level.cap)
             cap = F.when(cap >= 1, cap)
         # rows cut before stand aside under a group of their own and use up no place
-        df = df.withColumn("_aside", F.when(F.col("cut_at").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")))
-        df = rank_within(df, [*level.keys, "_aside"], order, cap, spread, "_in", salts)
-        df = df.withColumn("cut_at", F.when(F.col("cut_at").isNull() & ~F.col("_in"), F.lit(n)).otherwise(F.col("cut_at"))).drop("_aside", "_in", f"_cap_{n}")
+        df = df.withColumn("__cap_aside", F.when(F.col("cut_at").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")))
+        df = rank_within(df, [*level.keys, "__cap_aside"], order, cap, spread, "__cap_in", salts)
+        df = df.withColumn("cut_at", F.when(F.col("cut_at").isNull() & ~F.col("__cap_in"), F.lit(n)).otherwise(F.col("cut_at"))).drop("__cap_aside", "__cap_in", f"__cap_{n}")
     return df.withColumn("stays", F.col("cut_at").isNull())
 
 

@@ -101,10 +101,8 @@ def split_items(items: DataFrame, limit: int = 1600, overlap: tuple[int, int] =
 
     Narrow: no shuffle, one Arrow pass, memory of one text at a time. Whole texts, whatever their length. NULL
     texts give no row, empty ones one empty piece; white space counts and belongs to the pieces. Columns of those four
-    names must not be there already."""
-    clash = {"piece_no", "piece_start", "piece_end", "piece"} & set(items.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are taken")
+    names that are there already are replaced."""
+    items = items.drop("piece_no", "piece_start", "piece_end", "piece")
     keep = [c for c in items.columns if c != "text"]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields if f.name != "text"]
     schema = ", ".join([*fields, "piece_no int", "piece_start int", "piece_end int", "piece string"])
