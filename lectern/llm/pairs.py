@@ -17,8 +17,8 @@ from lectern.llm.lookalikes import latin, plain
 
 #: Most labelled rows that the language classifier is fitted on, and its table of hashed character trigrams.
 LABELLED, SLOTS = 2000, 1 << 16
-#: Chance that text ends at a place of which nothing is known, weight of the shorter context, the chance below which an end is none, and the words of the longest context.
-PRIOR, WEIGHT, ENDS, LONGEST = 0.04, 2.0, 0.6, 3
+#: Chance that text, or a list, ends at a place of which nothing is known, weight of the shorter context, the chance below which an end is none, and the words of the longest context.
+PRIOR, LIST_PRIOR, WEIGHT, ENDS, LONGEST = 0.04, 0.5, 2.0, 0.6, 3
 
 # What stands for an absent answer, words for quoting a question, abbreviations that end no sentence.
 PLACEHOLDERS = set("null none nil nan na n/a tbd todo tba empty blank undefined unknown missing placeholder no-answer noanswer answer response reply antwort respuesta réponse reponse leer vacío vide".split()) | {"no answer", "no response", "not available", "not applicable", "to be done", "no content", "sin respuesta", "keine antwort", "pas de réponse", "answer here", "your answer here"}
@@ -329,8 +329,8 @@ def defects(records: DataFrame, model: LanguageModel) -> DataFrame:
     stats = rows.where("text is not null").select("text").mapInPandas(count, "key string, n long, e long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
     sure = latest.where("defect <> ''").select("record_kind", "record_id", "defect")
     doubt = latest.where("defect = '' and ends is not null").select("record_kind", "record_id", F.posexplode("ends").alias("o", "key"))
-    known = doubt.join(stats, "key", "left").groupBy("record_kind", "record_id").agg(*[F.coalesce(F.max(F.when(F.col("o") == o, F.col(c))), F.lit(0)).alias(f"{c}{o}") for o in range(LONGEST) for c in ("n", "e")])
-    chance = F.lit(PRIOR)
+    known = doubt.join(stats, "key", "left").groupBy("record_kind", "record_id").agg(*[F.coalesce(F.max(F.when(F.col("o") == o, F.col(c))), F.lit(0)).alias(f"{c}{o}") for o in range(LONGEST) for c in ("n", "e")], F.max(F.startswith("key", F.lit("L|"))).alias("item"))
+    chance = F.when(F.col("item"), LIST_PRIOR).otherwise(PRIOR)
     for o in range(LONGEST):
         chance = (F.col(f"e{o}") + WEIGHT * chance) / (F.col(f"n{o}") + WEIGHT)
     return sure.unionByName(known.where(chance < ENDS).select("record_kind", "record_id", F.lit("truncated").alias("defect")))
