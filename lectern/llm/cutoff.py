@@ -7,10 +7,11 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.lookalikes import latin, plain
+from lectern.runtime import settle
 
 #: Most words of the vocabulary; rows of a source, and share of its rows, that make a length its limit.
 WORDS, LIMIT_ROWS, LIMIT_SHARE = 300_000, 5, 0.02
@@ -47,18 +48,17 @@ class WordTrie:
 def vocabulary(documents: DataFrame, most: int = WORDS) -> dict[str, int]:
     """Counts of the words of all texts, their last ones left out, down to the frequency total / ``most``: at most ``most`` words."""
     words = documents.select(F.explode(F.split(F.lower(F.regexp_replace("text", r"\S+\s*$", "")), r"[^\p{L}]+")).alias("w")).where("w <> ''")
-    counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    total = documents.select(F.sum(F.size(F.split("text", r"[^\p{L}]+")))).first()[0] or 0
+    counts = settle(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
     return {r.w: r.n for r in counts.where(F.col("n") > total / most).collect()}
 
 
-def length_limits(documents: DataFrame) -> DataFrame:
-    """(source, measure, size): lengths in characters or UTF-8 bytes at which conspicuously many texts of a source end."""
-    sizes = F.explode(F.array(F.struct(F.lit("chars").alias("measure"), F.length("text").alias("size")), F.struct(F.lit("bytes").alias("measure"), F.octet_length("text").alias("size"))))
-    by = documents.select("source", sizes.alias("s")).select("source", "s.*").groupBy("source", "measure", "size").agg(F.count(F.lit(1)).alias("n"))
-    totals = by.groupBy("source", "measure").agg(F.sum("n").alias("total"))
-    limits = by.withColumnRenamed("source", "s").join(totals.withColumnRenamed("source", "t"), F.col("s").eqNullSafe(F.col("t")) & (by.measure == totals.measure)).drop(totals.measure)
-    return limits.where((F.col("n") >= LIMIT_ROWS) & (F.col("n") >= LIMIT_SHARE * F.col("total")) & (F.col("size") > 40)).select(F.col("s").alias("source"), "measure", "size")
+def length_limits(sizes: DataFrame) -> DataFrame:
+    """(source, measure, size) of rows (source, chars, bytes): lengths in characters or UTF-8 bytes at which conspicuously many texts of a source end."""
+    both = F.explode(F.array(F.struct(F.lit("chars").alias("measure"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("measure"), F.col("bytes").alias("size"))))
+    by = sizes.select("source", both.alias("s")).groupBy("source", "s").agg(F.count(F.lit(1)).alias("n")).select("source", "s.*", "n")
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("source", "measure"))  # of a source's distinct lengths, not of its texts
+    return by.withColumn("share", share).where((F.col("n") >= LIMIT_ROWS) & (F.col("share") >= LIMIT_SHARE) & (F.col("size") > 40)).select("source", "measure", "size")
 
 
 def ending(text: str, trie: WordTrie) -> tuple[str, bool]:
@@ -95,7 +95,8 @@ def endings(documents: DataFrame) -> DataFrame:
 
     Cut are texts that end at a cut mark or inside a sentence, and texts that end in a row or the like whose last word the
     vocabulary trie knows only as the beginning of longer words, or whose length is a limit of their source. Texts without any
-    sentence are not cut. The vocabulary is counted over whole texts; limits are joined by source and length. NULL and blank
+    sentence are not cut. The texts are read twice, for the vocabulary, counted over whole texts, and for
+    their endings; limits are counted over the endings and joined by source and length. NULL and blank
     texts have no row; a NULL source is a source of its own; repeated ids give repeated rows."""
     docs = documents.where(F.col("doc_id").isNotNull() & (F.trim("text") != "")).select("doc_id", "source", "text")
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary(docs))
@@ -111,8 +112,8 @@ def endings(documents: DataFrame) -> DataFrame:
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     sized = docs.withColumn("chars", F.length("text")).withColumn("bytes", F.octet_length("text"))
-    rows = sized.mapInPandas(run, f"doc_id {kind}, source string, chars int, bytes int, ending string, broken boolean")
-    limits = length_limits(docs)
+    rows = settle(sized.mapInPandas(run, f"doc_id {kind}, source string, chars int, bytes int, ending string, broken boolean"))
+    limits = length_limits(rows)
     for measure in ("chars", "bytes"):
         own = limits.where(F.col("measure") == measure).select(F.col("source").alias("s"), F.col("size").alias("z"), F.lit(True).alias(f"at_{measure}"))
         rows = rows.join(own, F.col("source").eqNullSafe(F.col("s")) & (F.col(measure) == F.col("z")), "left").drop("s", "z")
