@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once into the shared folder and returns it with its lineage cut there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Computes ``df`` once into a table in the shared folder and returns that table, its lineage cut.
+
+    A table that is written is computed once, where ``checkpoint()`` computes its rows twice, and outlives lost executors.
+    The tables go when the driver's Python ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/lectern-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not hasattr(spark, "_lectern_tables"):
+        spark._lectern_tables = []
+        atexit.register(_drop, spark, spark._lectern_tables)
+    spark._lectern_tables.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop(spark: SparkSession, paths: list[str]) -> None:
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+    except Exception:  # the session has ended; the cluster's folder is cleaned by its owner
+        pass
