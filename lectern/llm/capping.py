@@ -50,7 +50,7 @@ def cap_nested(df: DataFrame, levels: Sequence[Level], score: str, ties: Sequenc
                 totals = df.groupBy(*[F.col(c).alias(f"__cap_of_{c}") for c in outer]).agg(F.count(F.lit(1)).alias("__cap_n"))
                 df = df.join(totals, [F.col(c).eqNullSafe(F.col(f"__cap_of_{c}")) for c in outer], "left").drop(*[f"__cap_of_{c}" for c in outer])
             else:
-                df = df.withColumn("__cap_one", F.lit(1)).join(df.groupBy(F.lit(1).alias("__cap_one")).agg(F.count(F.lit(1)).alias("__cap_n")), "__cap_one", "left").drop("__cap_one")
+                df = df.withColumn("__cap_n", df.agg(F.count(F.lit(1))).scalar())
             df = df.withColumn(name, F.greatest(F.lit(1), F.floor(F.col("__cap_n") * F.lit(level.share))).cast("int")).drop("__cap_n")
             cap = F.col(name)
         else:
