@@ -11,6 +11,10 @@ from lectern.functions import text as T
 from lectern.operators.lexical import KEY
 
 
+#: Most fragments of a split specification, which a person writes.
+SPEC = 10_000
+
+
 def is_relevant(paper: Column, title: Column, phrases: Column, text: Column) -> Column:
     """A passage is relevant if it is of the query's paper (any, if none is named) and holds all phrases."""
     of_paper = paper.isNull() | (paper == "") | F.coalesce(F.contains(F.lower(title), F.lower(paper)), F.lit(False))
@@ -62,9 +66,15 @@ def verdict_ratios(verdicts: Column) -> Column:
 def resolve_splits(fragments: DataFrame, titles: DataFrame) -> DataFrame:
     """(cluster, split, fragment, n_titles, title, problem): the one title that each fragment names; an equal title wins over those that hold it.
 
-    Problems: "no match", "several matches", "two splits" (the title is named by another split too); NULL if there is none."""
+    Problems: "no match", "several matches", "two splits" (the title is named by another split too); NULL if there is none.
+    The specification is a small file and is what is broadcast, after a check of its size; titles stay where they are."""
+    n = fragments.count()
+    if n > SPEC:
+        raise ValueError(f"a split specification of {n} fragments; at most {SPEC} are sent to the tasks")
     f, t = F.lower(F.trim("fragment")), F.lower(F.trim("title"))
-    pairs = fragments.join(titles.select("title").distinct(), F.contains(t, f), "left").withColumn("exact", F.coalesce(t == f, F.lit(False)))
+    spec = fragments.select("cluster", "split", "fragment").distinct()
+    found = titles.select("title").distinct().join(F.broadcast(spec), F.contains(t, f)).withColumn("exact", t == f)
+    pairs = spec.join(found, ["cluster", "split", "fragment"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
     best = pairs.withColumn("any_exact", F.max("exact").over(Window.partitionBy("cluster", "split", "fragment"))).where("exact or not any_exact")
     one = best.groupBy("cluster", "split", "fragment").agg(F.count("title").alias("n_titles"), F.min("title").alias("title"))
     splits = F.size(F.collect_set(F.when(F.col("n_titles") == 1, F.col("split"))).over(Window.partitionBy("title")))

@@ -29,8 +29,8 @@ def document_frequency(posts: DataFrame) -> DataFrame:
 
 def idf(posts: DataFrame, chunks: DataFrame) -> DataFrame:
     """(term, df, idf): ln(1 + (N - df + 0.5) / (df + 0.5)), above 0 for every term."""
-    total = chunks.agg(F.count(F.lit(1)).alias("n_chunks"))
-    return document_frequency(posts).join(F.broadcast(total)).select("term", "df", F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # the total is one row
+    total = chunks.agg(F.count(F.lit(1))).scalar()  # a scalar subquery, run once
+    return document_frequency(posts).select("term", "df", F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
 def query_terms(queries: DataFrame, question: str = "question") -> DataFrame:
@@ -51,16 +51,18 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, scope: DataFrame | None
     ``scope`` (doc_id) restricts the chunks. Chunks without a common token are no result; a question without tokens has none. Scores are
     rounded to nine places, so that equal sums rank equal."""
     terms = query_terms(queries)
-    posts = chunks.select(*key, F.explode(T.tokens("text")).alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    long = lengths(chunks, key)
-    stats = long.agg(F.avg("n_tokens").alias("mean_tokens"))
-    weights = idf(posts, chunks).select("term", "idf")
+    tokened = chunks.select(*key, T.tokens("text").alias("t"))
+    stats = tokened.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean"))).scalar()  # one pass, run once
+    posts = tokened.select(*key, F.size("t").alias("n_tokens"), F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    posts = posts.groupBy(*key, "n_tokens", "term").agg(F.count(F.lit(1)).alias("tf"))
+    weights = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     if scope is not None:
         posts = posts.join(scope.select("doc_id").distinct(), "doc_id", "left_semi")
-    room = F.col("tf") + k1 * (1 - b + b * F.col("n_tokens") / F.when(F.col("mean_tokens") > 0, F.col("mean_tokens")).otherwise(1.0))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / room
-    rows = posts.join(weights, "term").join(long, list(key)).join(F.broadcast(stats)).join(terms, "term")  # stats is one row
-    scored = rows.groupBy("query_id", *key).agg(F.round(F.sum(part), 9).alias("score"))
+    mean = F.when(stats.getField("mean") > 0, stats.getField("mean")).otherwise(1.0)
+    weight = F.log(1 + (stats.getField("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    room = F.col("tf") + k1 * (1 - b + b * F.col("n_tokens") / mean)
+    rows = posts.join(terms.join(weights, "term"), "term")
+    scored = rows.groupBy("query_id", *key).agg(F.round(F.sum(F.col("qtf") * weight * F.col("tf") * (k1 + 1) / room), 9).alias("score"))
     return top(scored, k, key)
 
 

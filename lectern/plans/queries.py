@@ -666,9 +666,9 @@ def k08_negative_ratio(s: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     b = table(s, d, "benchmark").where("id is not null and lexical_overlap is not null").select("id", (F.col("lexical_overlap") <= 0.45).alias("positive")).distinct()
-    most = b.agg((3 * F.sum(F.col("positive").cast("int"))).alias("most"))
+    most = b.agg(3 * F.sum(F.col("positive").cast("int"))).scalar()
     place = F.row_number().over(Window.partitionBy("positive").orderBy(F.md5(F.concat(F.lit("7|"), "id")), "id"))
-    return b.withColumn("place", place).join(F.broadcast(most)).where("positive or place <= most").select("id", "positive")  # most is one row
+    return b.withColumn("place", place).where(F.col("positive") | (F.col("place") <= most)).select("id", "positive")
 
 
 @query(f"with {_CH} select count(*) as n_chunks, min(n) as least, max(n) as most, round(avg(n), 9) as mean from (select len({_words('text')}) as n from ch where text is not null)")
