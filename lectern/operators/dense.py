@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from lectern.functions import text as T
 from lectern.operators.lexical import KEY, top
+from lectern.operators.topk import TopK
 
 #: Queries that are sent to the tasks in one pass, and chunks that are scored at once.
 PASS, BATCH = 10_000, 2_048
@@ -43,7 +44,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, key: Sequence[str] = KEY
     """(query_id, key, score, rank): the k vectors of greatest inner product with each query vector, ties by key.
 
     Exact. ``vectors`` has the key and ``embedding``, ``queries`` has query_id and ``embedding``. The stated queries are sent in passes of
-    bounded size; each task keeps for each query its best so far (and what ties with the last of them), so a task's result
+    bounded size; each task keeps for each query its k best so far, so a task's result
     is queries times k rows whatever it has read. Scores are rounded to nine places. A scope restricts the vectors before the search;
     NULL vectors take no part."""
     if scope is not None:
@@ -62,24 +63,14 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, key: Sequence[str] = KEY
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, q = shared.value
-            kept: list[pd.DataFrame] = [pd.DataFrame() for _ in ids]
+            kept = TopK(k, key)
             for whole in batches:
                 for i in range(0, len(whole), BATCH):
-                    batch = whole.iloc[i : i + BATCH]
-                    scores = np.round(q @ np.array(batch["embedding"].tolist(), np.float64).reshape(len(batch), -1).T, 9)
-                    bar = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(ids), -np.inf)
-                    names = batch[list(key)]
-                    for j in range(len(ids)):
-                        at = np.flatnonzero(scores[j] >= bar[j])
-                        more = names.iloc[at].assign(score=scores[j, at])
-                        both = pd.concat([kept[j], more]) if len(kept[j]) else more
-                        if len(both) > k:
-                            both = both[both["score"].to_numpy() >= np.partition(both["score"].to_numpy(), -k)[-k]]
-                        kept[j] = both
-            for name, part in zip(ids, kept):
-                if len(part):
-                    part = part.sort_values(["score", *key], ascending=[False, *[True] * len(key)]).head(k)
-                    yield part.assign(query_id=name)[["query_id", *key, "score"]]
+                    batch = whole.iloc[i : i + BATCH].sort_values(list(key))
+                    kept.add(np.round(q @ np.array(batch["embedding"].tolist(), np.float64).reshape(len(batch), -1).T, 9), batch[list(key)])
+            best = kept.best()
+            if len(best):
+                yield best.assign(query_id=[ids[i] for i in best["q"]])[["query_id", *key, "score"]]
 
         found.append(vectors.where("embedding is not null").select(*key, "embedding").mapInPandas(run, f"query_id {kind}, {kinds}, score double"))
     if not found:

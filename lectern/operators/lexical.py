@@ -1,16 +1,26 @@
-"""The lexical index and its Okapi BM25 search, as joins on terms."""
+"""The lexical index and its Okapi BM25 search."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections import Counter
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators.topk import TopK
+from lectern.runtime import settle
 
 KEY = ("doc_id", "chunk_id")
 
+#: Questions that are sent to the tasks in one pass, and cells of a block of term weights.
+PASS, BLOCK = 10_000, 4_000_000
+
 
 def postings(chunks: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """(key, term, tf): how often each chunk has each token."""
@@ -47,23 +57,67 @@ def top(scored: DataFrame, k: int, key: Sequence[str] = KEY, by: str = "score")
 def bm25(chunks: DataFrame, queries: DataFrame, k: int, scope: DataFrame | None = None, key: Sequence[str] = KEY, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, key, score, rank): the k best chunks of each question by Okapi BM25.
 
-    An equi-join on terms: only postings of asked terms are joined, after a semi-join; statistics are of the whole corpus even where
-    ``scope`` (doc_id) restricts the chunks. Chunks without a common token are no result; a question without tokens has none. Scores are
-    rounded to nine places, so that equal sums rank equal."""
+    Exact. The stated questions are sent in passes of bounded size, each with the document frequencies of its terms, which come from a
+    semi-join with postings; a task scores its chunks in blocks of term weights and keeps k rows a question, so no row a
+    matching pair is ever shuffled. Statistics are of the whole corpus even where ``scope`` (doc_id) restricts the chunks. Chunks without a
+    common token are no result; a question without tokens has none. Scores are rounded to nine places, so that equal sums rank equal."""
+    spark = chunks.sparkSession
     terms = query_terms(queries)
     tokened = chunks.select(*key, T.tokens("text").alias("t"))
-    stats = tokened.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean"))).scalar()  # one pass, run once
-    posts = tokened.select(*key, F.size("t").alias("n_tokens"), F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    posts = posts.groupBy(*key, "n_tokens", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weights = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    if scope is not None:
-        posts = posts.join(scope.select("doc_id").distinct(), "doc_id", "left_semi")
-    mean = F.when(stats.getField("mean") > 0, stats.getField("mean")).otherwise(1.0)
-    weight = F.log(1 + (stats.getField("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    room = F.col("tf") + k1 * (1 - b + b * F.col("n_tokens") / mean)
-    rows = posts.join(terms.join(weights, "term"), "term")
-    scored = rows.groupBy("query_id", *key).agg(F.round(F.sum(F.col("qtf") * weight * F.col("tf") * (k1 + 1) / room), 9).alias("score"))
-    return top(scored, k, key)
+    stats = tokened.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean")).first()
+    n_asked = terms.select("query_id").distinct().count()
+    passes = n_asked // PASS + 1
+    if passes > 1:
+        tokened = settle(tokened)
+    posts = tokened.select(F.explode(F.array_distinct("t")).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    asked = terms.join(posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
+    if passes > 1:
+        asked = settle(asked)
+    within = tokened.join(scope.select("doc_id").distinct(), "doc_id", "left_semi") if scope is not None else tokened
+    kinds = ", ".join(f"`{c}` {chunks.schema[c].dataType.simpleString()}" for c in key)
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {kinds}, score double"
+    found = []
+    for p in range(passes):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p).select("query_id", "term", "qtf", "df").collect()
+        if not rows:
+            continue
+        rows.sort(key=lambda r: str(r.query_id))
+        ids = list(dict.fromkeys(r.query_id for r in rows))
+        at = {t: i for i, t in enumerate(sorted({r.term for r in rows}))}
+        number = {q: i for i, q in enumerate(ids)}
+        owner = np.array([number[r.query_id] for r in rows])
+        order = np.argsort(owner, kind="stable")
+        weight = np.array([r.qtf * math.log(1 + (stats.n - r.df + 0.5) / (r.df + 0.5)) for r in rows])[order]
+        slot, begin = np.array([at[r.term] for r in rows])[order], np.searchsorted(owner[order], np.arange(len(ids)))
+        shared = spark.sparkContext.broadcast((ids, at, slot, weight, begin))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, at, slot, weight, begin = shared.value
+            kept = TopK(k, key)
+            width = max(16, min(1024, BLOCK // max(1, len(at))))
+            step = max(1, BLOCK // width // 16)  # questions scored at once
+            for whole in batches:
+                for i in range(0, len(whole), width):
+                    block = whole.iloc[i : i + width].sort_values(list(key))
+                    table = np.zeros((len(at), len(block)))
+                    for c, tokens in enumerate(block["t"]):
+                        room = k1 * (1 - b + b * len(tokens) / (stats.mean or 1.0))
+                        for t, tf in Counter(tokens).items():
+                            if (r := at.get(t)) is not None:
+                                table[r, c] = tf * (k1 + 1) / (tf + room)
+                    scores = np.empty((len(ids), len(block)))
+                    for j in range(0, len(ids), step):
+                        lo, hi = begin[j], begin[j + step] if j + step < len(ids) else len(slot)
+                        scores[j : j + step] = np.add.reduceat(table[slot[lo:hi]] * weight[lo:hi, None], begin[j : j + step] - lo, axis=0)
+                    kept.add(np.round(scores, 9), block[list(key)], positive=True)
+            best = kept.best()
+            if len(best):
+                yield best.assign(query_id=[ids[i] for i in best["q"]])[["query_id", *key, "score"]]
+
+        found.append(within.mapInPandas(run, schema))
+    if not found:
+        return spark.createDataFrame([], f"{schema}, rank int")
+    return top(reduce(DataFrame.unionByName, found), k, key)
 
 
 def evidence(chunks: DataFrame, asked: DataFrame, most: int = 2, least_df: int = 2) -> DataFrame:
