@@ -189,8 +189,6 @@ class Repairer:
         if re.fullmatch(r"[0-9lIO|.]*", core) and sum(c.isdigit() for c in core) >= 2 and not core.replace(".", "").isdigit():
             return core.translate(_DIGITS)
         low = core.lower()
-        if self.words.get(low, 0) >= 200:
-            return None
         found = self.printed(low)
         if found is None and ("-" in low or "/" in low):
             parts = re.split(r"([-/])", low)

@@ -19,6 +19,12 @@ def test_words():
     assert fold("L0NG-LIVFD") == fold("long-livtd") and numeral("mmxx") == 2020
 
 
+def test_frequent_misreadings_count_at_any_size():
+    for times in (1, 10, 100):
+        r = Repairer({"with": 6446 * times, "witb": 23 * times, "upper": 900 * times, "uppcr": 22 * times})
+        assert r.token("witb") == "with" and r.token("Uppcr,") == "upper" and r.token("with") is None and r.token("upper") is None
+
+
 @pytest.fixture
 def pages(spark):
     body = "the retrieval of the spectrum near the upper layer is local and close"
