@@ -18,7 +18,7 @@ from lectern.llm.lookalikes import latin, plain
 #: Most labelled rows that the language classifier is fitted on, and its table of hashed character trigrams.
 LABELLED, SLOTS = 2000, 1 << 16
 #: Chance that text, or a list, ends at a place of which nothing is known, weight of the shorter context, the chance below which an end is none, and the words of the longest context.
-PRIOR, LIST_PRIOR, WEIGHT, ENDS, LONGEST = 0.04, 0.5, 2.0, 0.6, 3
+PRIOR, LIST_PRIOR, WEIGHT, ENDS, LONGEST = 0.04, 0.5, 2.0, 0.6, 4
 
 # What stands for an absent answer, words for quoting a question, abbreviations that end no sentence.
 PLACEHOLDERS = set("null none nil nan na n/a tbd todo tba empty blank undefined unknown missing placeholder no-answer noanswer answer response reply antwort respuesta réponse reponse leer vacío vide".split()) | {"no answer", "no response", "not available", "not applicable", "to be done", "no content", "sin respuesta", "keine antwort", "pas de réponse", "answer here", "your answer here"}
@@ -72,10 +72,15 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, labelled: list[tuple[str, str]]) -> LanguageModel:
-        names = sorted({lang for lang, _ in labelled})
-        counts = np.zeros((len(names), SLOTS), np.float64)
+        counts: dict[str, np.ndarray] = {}
         for lang, text in labelled:
-            np.add.at(counts[names.index(lang)], cls.slots(text), 1.0)
+            counts[lang] = counts.get(lang, 0) + np.bincount(cls.slots(text), minlength=SLOTS)
+        return cls.of_counts(counts)
+
+    @classmethod
+    def of_counts(cls, by_name: dict[str, np.ndarray]) -> LanguageModel:
+        names = sorted(by_name)
+        counts = np.array([by_name[n] for n in names], np.float64).reshape(len(names), SLOTS)
         rate = (counts + 0.05) / (counts.sum(1, keepdims=True) + 0.05 * SLOTS)
         return cls(names, np.ascontiguousarray(np.log(rate).T.astype(np.float32)))
 
@@ -94,20 +99,28 @@ class LanguageModel:
 
 
 def fit_language_model(documents: DataFrame, labelled: int = LABELLED) -> LanguageModel:
-    """Fitted on about ``labelled`` rows of (text, lang), at most twice as many: a share drawn by the hash of the id. Of a
-    labelled text the first 1 000 characters teach. Rows without text or label are left out."""
+    """Fitted on about ``labelled`` rows of (text, lang), at most twice as many: a share drawn by the hash of the id. Labelled
+    texts teach whole; they are counted in the tasks, and a count a language and slot comes back. Rows without text or label are left out."""
     n = max(1, documents.count())
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < min(1_000_000, int(1_000_000 * labelled / n) + 1)
-    rows = documents.where(share).where("text is not null and lang is not null and length(text) > 80").select(F.lower(F.trim("lang")).alias("lang"), F.substring("text", 1, 1000).alias("text"))
-    return LanguageModel.fit(sorted((r.lang, plain(r.text)) for r in rows.limit(2 * labelled).collect()))
+    rows = documents.where(share).where("text is not null and lang is not null and length(text) > 80").select(F.lower(F.trim("lang")).alias("lang"), "text")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lang, text in zip(batch["lang"], batch["text"]):
+                slot, times = np.unique(LanguageModel.slots(plain(text)), return_counts=True)
+                yield pd.DataFrame({"lang": lang, "slot": slot, "n": times})
+
+    counts: dict[str, np.ndarray] = {}
+    for r in rows.limit(2 * labelled).mapInPandas(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("ns")).toLocalIterator():
+        counts[r.lang] = np.bincount(r.slots, r.ns, SLOTS)
+    return LanguageModel.of_counts(counts)
 
 
 def is_empty(text: str | None) -> bool:
     """Nothing that answers: NULL, blank, no letter or digit, a placeholder, a bare marker or label."""
     if text is None:
         return True
-    if len(text) > 200 and text[:40].isascii() and text[:1].isalpha():
-        return False
     text = plain(text)
     core = text.strip(" \t[](){}<>*_-–—.:;!?…\"'|#/\\=~").lower()
     if not any(c.isalnum() for c in core):
@@ -129,9 +142,11 @@ def _fuzzy_start(a: str, b: str) -> bool:
 
 def is_copy(question: str | None, text: str) -> bool:
     """Only repeats the question, perhaps quoted, labelled, twice or slightly altered."""
-    if not question or len(text) > 4 * len(question) + 200:
+    if not question:
+        return False
+    clean, question = plain(text), plain(question)
+    if len(clean) > 4 * len(question) + 200:
         return False
-    clean = plain(text)
     for _ in range(4):
         shorter = LABEL.sub("", QUOTING.sub("", clean)).strip()
         if shorter == clean:
@@ -161,9 +176,9 @@ def is_copy(question: str | None, text: str) -> bool:
 
 def is_refusal(text: str) -> bool:
     """Every sentence declines or is small talk, and at least one declines."""
+    text = plain(text)
     if len(text) > 900 or _DIGIT.search(text):
         return False
-    text = plain(text)
     declines = False
     for part in re.split(r"(?<=[.!?])\s+", text):
         words = part.split()

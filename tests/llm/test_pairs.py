@@ -53,3 +53,19 @@ def test_held_out_languages(spark, data):
     m = pairs.fit_language_model(docs, 300)
     rows = docs.where("lang in ('en', 'de', 'fr', 'es') and length(text) > 200").select("lang", "text").collect()
     assert sum(m.language(r.text) in (r.lang, None) for r in rows) >= 0.9 * len(rows)
+
+
+def test_padding_hides_nothing():
+    pad = " " * 300
+    assert pairs.is_empty("N/A" + pad) and pairs.is_empty("Answer:" + pad) and pairs.is_copy("Why?" + Q, Q + pad * 4)
+    assert pairs.is_refusal("I'm sorry, but I can't help" + pad * 4 + " with that request.")
+
+
+def test_labelled_texts_teach_whole_and_contexts_have_four_words(spark):
+    lead = "1 2 3 " * 200
+    docs = spark.createDataFrame([(i, lead + t, lang) for i in range(20) for t, lang in ((EN, "en"), (DE, " DE"))], "doc_id long, text string, lang string")
+    m = pairs.fit_language_model(docs)
+    assert m.names == ["de", "en"] and m.language(EN) == "en" and m.language(DE) == "de"
+    whole = pairs.LanguageModel.fit([(lang, lead + t) for t, lang in ((EN, "en"), (DE, "de")) for _ in range(20)])
+    assert (m.table == whole.table).all()
+    assert pairs.end_contexts("of the thick upper haze layer")[-1] == "S|thick upper haze layer"
