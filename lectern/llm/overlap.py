@@ -116,13 +116,24 @@ def word_counts(texts: DataFrame, column: str) -> DataFrame:
     return texts.where(F.col(column).isNotNull()).select(column).mapInPandas(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
+def title_words(titles: DataFrame) -> DataFrame:
+    """(key, w): the words of each paper's title in all its spellings, and an empty word for the paper itself."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = {(k, w) for t in batch["paper"] if (k := title_key(t)) for w in ("", *tokens(t)) if not w[:1].isdigit()}
+            yield pd.DataFrame(sorted(rows), columns=["key", "w"])
+
+    return titles.mapInPandas(run, "key string, w string").distinct()
+
+
 def fit_canoniser(records: DataFrame) -> Canoniser:
     """Word statistics over all records. What is collected is bounded: a question or title gives at most its words, and a word
-    is kept only from a share of all rows on, at most SPELLED words and the words of 1 / NAMING titles."""
-    titles = records.where("paper is not null").select("paper").distinct()
-    n_rows, n_titles = records.count(), titles.count()
+    is kept only from a share of all rows on, at most SPELLED words and the words of 1 / NAMING titles. A paper counts once, however its title is spelled."""
+    titles = settle(title_words(records.where("paper is not null").select("paper").distinct()))
+    n_rows, n_titles = records.count(), titles.where("w = ''").count()
     words = {r.w: r.n for r in word_counts(records, "question").where(F.col("n") >= max(20, 40 * n_rows / SPELLED)).collect()}
-    common = {r.w for r in word_counts(titles, "paper").where(F.col("n") >= max(6, n_titles * NAMING)).collect()}
+    common = {r.w for r in titles.where("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(6, n_titles * NAMING)).collect()}
     return Canoniser(words, common)
 
 

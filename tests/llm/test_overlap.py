@@ -28,3 +28,16 @@ def test_pairs(spark):
     assert got == {("b1", "b2"), ("b1", "q1")}
     assert {(r.part, r.n_eval, r.n_pairs) for r in overlap_counts(bench, cq).collect()} == {("val", 1, 1), ("queries", 1, 1)}
     assert overlaps(bench.limit(0), cq.limit(0)).count() == 0
+
+
+def test_a_title_in_many_spellings_is_one_paper(spark):
+    from lectern.llm.overlap import fit_canoniser
+
+    t = "On the jets of Fisukufi"
+    forms = [t, t.upper(), t.lower(), t + ".", " " + t, t + " ", t.replace(" ", "  "), t.upper() + "."]
+    bench = [b(f"f{i}", "train", f"Which data set number {i} is used?", f) for i, f in enumerate(forms)] + [b("b1", "train", "How large is the grid error of Fisukufi?", forms[1], None), b("b2", "val", "How large is the grid error of this paper?", t, None)]
+    bench = spark.createDataFrame(bench, BENCH)
+    assert "fisukufi" not in fit_canoniser(bench).common
+    assert {(r.id_train, r.id_eval) for r in overlaps(bench, spark.createDataFrame([], CQ)).collect()} == {("b1", "b2")}
+    many = spark.createDataFrame([b(str(i), "train", "q", f"On the jets of {c * 5}") for i, c in enumerate("abcdefg")], BENCH)
+    assert fit_canoniser(many).common == {"on", "the", "jets", "of"}
