@@ -185,8 +185,12 @@ def overlaps(benchmark: DataFrame, corpus_queries: DataFrame) -> DataFrame:
 def overlap_counts(benchmark: DataFrame, corpus_queries: DataFrame) -> DataFrame:
     """(part, title, n_eval, n_pairs): per split and paper, the evaluation records that training holds too and their pairs.
 
-    Counted by class of equal questions, so a class of many copies costs no more than its rows."""
-    rows = keyed(records_of(benchmark, corpus_queries)).where("size(keys) > 0").select("part", "title", F.element_at("keys", 1).alias("key"))
-    train = rows.where("part = 'train'").groupBy("key").agg(F.count(F.lit(1)).alias("n_train"))
-    held = rows.where("part <> 'train'").groupBy("key", "part", "title").agg(F.count(F.lit(1)).alias("n"))
-    return held.join(train, "key").groupBy("part", "title").agg(F.sum("n").alias("n_eval"), F.sum(F.col("n") * F.col("n_train")).alias("n_pairs"))
+    A pair is one of ``overlaps``: equal by title, by id or by both, which counts once. Counted by class of equal questions,
+    so a class of many copies costs no more than its rows."""
+    rows = keyed(records_of(benchmark, corpus_queries)).where("size(keys) > 0")
+    rows = settle(rows.select("part", "title", F.when(F.col("title") != "", F.element_at("keys", 1)).alias("t"), F.when(F.col("doc_id").isNotNull(), F.element_at("keys", -1)).alias("d")))
+    train, held = rows.where("part = 'train'"), rows.where("part <> 'train'").groupBy("part", "title", "t", "d").agg(F.count(F.lit(1)).alias("n"))
+    for name, by in (("by_t", ["t"]), ("by_d", ["d"]), ("by_both", ["t", "d"])):
+        held = held.join(train.dropna(subset=by).groupBy(*by).agg(F.count(F.lit(1)).alias(name)), by, "left")
+    each = F.coalesce("by_t", F.lit(0)) + F.coalesce("by_d", F.lit(0)) - F.coalesce("by_both", F.lit(0))
+    return held.withColumn("each", each).where("each > 0").groupBy("part", "title").agg(F.sum("n").alias("n_eval"), F.sum(F.col("n") * F.col("each")).alias("n_pairs"))

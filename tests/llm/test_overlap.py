@@ -41,3 +41,13 @@ def test_a_title_in_many_spellings_is_one_paper(spark):
     assert {(r.id_train, r.id_eval) for r in overlaps(bench, spark.createDataFrame([], CQ)).collect()} == {("b1", "b2")}
     many = spark.createDataFrame([b(str(i), "train", "q", f"On the jets of {c * 5}") for i, c in enumerate("abcdefg")], BENCH)
     assert fit_canoniser(many).common == {"on", "the", "jets", "of"}
+
+
+def test_counts_agree_with_pairs(spark):
+    q = "Which scale height is kept below 603 km?"
+    rows = [("a1", "train", "One", "x"), ("a2", "train", "One", None), ("a3", "train", None, "x"), ("a4", "train", "Two", "x"), ("e1", "val", "One", "x"), ("e2", "val", None, "X "), ("e3", "test", "Two", "y"), ("e4", "test", "Two", None), ("e5", "val", "Three", "x"), ("e6", "val", "One", "z"), ("e7", "val", "None", "w")]
+    bench, cq = spark.createDataFrame([b(i, s, q, p, d) for i, s, p, d in rows], BENCH), spark.createDataFrame([("q1", "One", q, None, None, "x")], CQ)
+    pairs = overlaps(bench, cq).collect()
+    want = {(p, t): (len({r.id_eval for r in pairs if (r.part, r.title) == (p, t)}), sum((r.part, r.title) == (p, t) for r in pairs)) for p, t in {(r.part, r.title) for r in pairs}}
+    assert {(r.part, r.title): (r.n_eval, r.n_pairs) for r in overlap_counts(bench, cq).collect()} == want
+    assert want["val", "one"] == (2, 6) and want["val", ""] == (1, 3) and want["queries", "one"] == (1, 4)
