@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.lookalikes import latin, plain
+from lectern.runtime import settle
 
 #: Words of a verbatim seed, words of training text in one suffix array, characters of held-out text matched in one pass.
 SEED, SHARD, PASS = 6, 1_000_000, 8_000_000
@@ -19,6 +21,8 @@ SEED, SHARD, PASS = 6, 1_000_000, 8_000_000
 PASSAGE, ALTERED, STOCK = 25, 0.15, 5
 #: Words by which insertions and omissions may shift one end of a passage against the other.
 DRIFT = 8
+#: Words looked at on each side of a short verbatim match, differences there, and words of the item that a passage must keep.
+REACH, WRONG, KEPT = 33, 3, PASSAGE - 1 - 3
 
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑¬]\s*\n\s*(?=[^\W\d_])")
 _MARKS = re.compile(r"[^\w\s]|_")
@@ -85,9 +89,10 @@ class SuffixArray:
 
 
 class HeldOut:
-    """The held-out items as one array of word ids, with a wall between items and stock phrases marked."""
+    """The held-out items as one array of word ids, with a wall between items and stock phrases marked: the seeds of
+    ``stock_seeds``, or where that is None those of STOCK or more of these items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], stock_seeds: np.ndarray | None = None):
         self.vocab: dict[str, int] = {}
         self.items, ids, owner = [], [], []
         for item, text in items:
@@ -102,7 +107,10 @@ class HeldOut:
         self.at = np.flatnonzero((windows != 1).all(1)) if n else np.zeros(0, np.int64)
         self.tests = windows[self.at]
         stock = np.zeros(len(self.ids), bool)
-        if len(self.at):
+        if len(self.at) and stock_seeds is not None:
+            for k in range(SEED):
+                stock[self.at[np.isin(self.codes(), stock_seeds)] + k] = True
+        elif len(self.at):
             _, which = np.unique(self.tests, axis=0, return_inverse=True)
             which = which.ravel()
             pairs = np.unique(np.stack([which, self.owner[self.at]], 1), axis=0)
@@ -111,6 +119,14 @@ class HeldOut:
                 stock[self.at[often] + k] = True
         self.stock = stock
 
+    def codes(self) -> np.ndarray:
+        """A hash of the words of each seed, the same in every task."""
+        word = np.array([int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in self.vocab], np.uint64)
+        out = np.zeros(len(self.tests), np.uint64)
+        for k in range(SEED):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + word[self.tests[:, k] - 2]
+        return out.view(np.int64)
+
     def item_words(self, i: int) -> np.ndarray:
         end = self.start[i + 1] if i + 1 < len(self.items) else len(self.ids)
         return self.ids[self.start[i] : end - 1]
@@ -157,6 +173,23 @@ def aligned(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarra
     return found
 
 
+def promising(held: HeldOut, ids: np.ndarray, place: np.ndarray, first: np.ndarray, length: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """Whether each verbatim match, with what the item and the shard share in REACH words before and after it, at offsets
+    within WRONG of its own, has the words of a passage. Looser than the alignment, so that none of WRONG differences is lost."""
+    hits, plain_ = length.copy(), rare.copy()
+    own = held.owner[first]
+    for step in (*range(-REACH, 0), *range(REACH)):
+        move = step if step < 0 else length + step
+        at, there = np.clip(first + move, 0, len(held.ids) - 1), place + move
+        same = np.zeros(len(first), bool)
+        for shift in range(-WRONG, WRONG + 1):
+            same |= ids[np.clip(there + shift, 0, len(ids) - 1)] == held.ids[at]
+        same &= (held.owner[at] == own) & (at == first + move)
+        hits += same
+        plain_ += same & ~held.stock[at]
+    return (hits >= KEPT) & (plain_ >= 0.6 * PASSAGE)
+
+
 def shard_matches(held: HeldOut, docs: list[np.ndarray]) -> list[tuple[int, int]]:
     """(index of the document, index of the item) of all passages that a shard holds."""
     sizes = np.array([len(d) + 1 for d in docs])
@@ -178,10 +211,12 @@ def shard_matches(held: HeldOut, docs: list[np.ndarray]) -> list[tuple[int, int]
     stock = np.concatenate(([0], np.cumsum(held.stock)))
     rare = length - (stock[np.minimum(first + length, len(held.stock))] - stock[first])
     offset = place - starts[doc] - (first - held.start[item])
-    # a passage of PASSAGE words with the allowed differences keeps 12 words in verbatim runs whose offsets differ by its
-    # insertions and omissions only; bands of offsets overlap, so that no passage falls between two
+    # most passages keep 12 words in verbatim runs whose offsets differ by their insertions and omissions only; bands of
+    # offsets overlap, so that none falls between two. One of fewer than 30 words with 3 differences may keep a single run of
+    # 6, and one with stock phrases few rare words in runs: matches of no such band are looked at one by one
     key = doc * len(held.items) + item
     tried: dict[int, list[int]] = {}
+    banded = np.zeros(len(key), bool)
     for shift in (0, DRIFT):
         band = (key << 24) + (offset + (1 << 22) + shift) // (2 * DRIFT)
         order = np.argsort(band, kind="stable")
@@ -189,8 +224,14 @@ def shard_matches(held: HeldOut, docs: list[np.ndarray]) -> list[tuple[int, int]
         if len(cuts):
             total, plain_ = np.add.reduceat(length[order], cuts), np.add.reduceat(rare[order], cuts)
             low = np.minimum.reduceat(offset[order], cuts)
-            for c in np.flatnonzero((total >= 12) & (plain_ >= 6)):
+            enough = (total >= 12) & (plain_ >= 6)
+            banded[order] |= np.repeat(enough, np.diff(np.append(cuts, len(order))))
+            for c in np.flatnonzero(enough):
                 tried.setdefault(int(key[order[cuts[c]]]), []).append(int(low[c]))
+    alone = np.flatnonzero(~banded)
+    if len(alone):
+        for c in alone[promising(held, ids, place[alone], first[alone], length[alone], rare[alone])]:
+            tried.setdefault(int(key[c]), []).append(int(offset[c]))
     jobs = []
     for k, lows in tried.items():
         d, i = divmod(k, len(held.items))
@@ -209,24 +250,38 @@ def shard_matches(held: HeldOut, docs: list[np.ndarray]) -> list[tuple[int, int]
     return sorted(out)
 
 
+def seeds_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(pass, seed, n): in how many items of a pass each seed occurs."""
+    for batch in batches:
+        held = HeldOut(list(zip(batch["item_id"], batch["text"])), np.zeros(0, np.int64))
+        own = held.owner[held.at]
+        rows = pd.DataFrame({"pass": batch["pass"].to_numpy()[own], "seed": held.codes(), "own": own}).drop_duplicates()
+        yield rows.groupby(["pass", "seed"]).size().reset_index(name="n")
+
+
 def leaks(documents: DataFrame, heldout: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, item_id): the documents that hold a passage of a held-out item.
 
     Narrow over the documents: each task packs its texts, whole, into shards of SHARD words (a longer text is a shard of
     its own), sorts the shard's suffixes, binary-searches every held-out suffix, and aligns the item where verbatim matches add
     up. The held-out side is sent in passes of at most PASS characters, so what is broadcast is bounded whatever its
-    size. NULL and empty texts hold nothing; rows that repeat a key give their passages once."""
+    size; stock phrases are counted over all items before. NULL and empty texts hold nothing; rows that repeat a key give their passages once."""
     total = heldout.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = int(total // PASS) + 1
     kind = documents.schema[key].dataType.simpleString()
     docs = documents.where(F.col(key).isNotNull() & (F.length("text") > 0)).select(key, "text")
     out = []
+    items = heldout.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text", F.pmod(F.xxhash64("item_id"), F.lit(passes)).alias("pass")).distinct()
+    if passes > 1:
+        seeds = settle(items.mapInPandas(seeds_of, "pass long, seed long, n long"))
+        often = settle(seeds.groupBy("seed").agg(F.sum("n").alias("n")).where(F.col("n") >= STOCK))
     for p in range(passes):
-        rows = heldout.where(F.col("item_id").isNotNull() & F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p)).select("item_id", "text").distinct()
-        shared = documents.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in rows.collect()])
+        rows = items.where(F.col("pass") == p)
+        stock = np.array([r.seed for r in seeds.where(F.col("pass") == p).join(often, "seed", "left_semi").select("seed").distinct().collect()], np.int64) if passes > 1 else None
+        shared = documents.sparkSession.sparkContext.broadcast((sorted((r.item_id, r.text) for r in rows.collect()), stock))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            held = HeldOut(sorted(shared.value))
+            held = HeldOut(*shared.value)
             get = held.vocab.get
             keys: list = []
             texts: list[np.ndarray] = []

@@ -49,3 +49,29 @@ def test_passages(spark):
     assert got == {(1, 0), (2, 1), (7, 3), (7, 4), (8, 5)}
     assert {r.item_id for r in leaked_items(d, h).collect()} == {0, 1, 3, 4, 5} and {r.doc_id for r in without_leaks(d, h).collect()} == {3, 4, 5, 6}
     assert leaks(d.limit(0), h).count() == 0 and leaks(d, h.limit(0)).count() == 0
+
+
+def test_three_differences_in_a_short_passage(spark):
+    rng = random.Random(3)
+    items = {i: text(rng, 90) for i in range(4)}
+    w = {i: t.split() for i, t in items.items()}
+    short = {i: w[i][10:35] for i in items}
+    for k in (5, 11, 17):
+        short[0][k] = "changed"  # runs of 5, 5, 5 and 7
+        short[1][24 - k] = "changed"
+    short[2] = short[2][:12]
+    for k in (3, 8, 13, 18):
+        short[3][k] = "changed"
+    d = spark.createDataFrame([(i, text(rng, 40) + " " + " ".join(x) + " " + text(rng, 40), 0) for i, x in short.items()], DOC)
+    h = spark.createDataFrame([(i, "test", "p", t) for i, t in items.items()], HELD)
+    assert {(r.doc_id, r.item_id) for r in leaks(d, h).collect()} == {(0, 0), (1, 1)}
+
+
+def test_stock_phrases_are_counted_over_all_passes(spark, monkeypatch):
+    rng = random.Random(4)
+    stock = text(rng, 30)
+    items = [(i, "test", "p", text(rng, 30) + " " + stock + " " + text(rng, 30)) for i in range(6)]
+    d, h = spark.createDataFrame([(1, text(rng, 30) + " " + stock, 0), (2, items[3][3], 0)], DOC), spark.createDataFrame(items, HELD)
+    for size in (8_000_000, 1000):
+        monkeypatch.setattr("lectern.llm.leakage.PASS", size)
+        assert {(r.doc_id, r.item_id) for r in leaks(d, h).collect()} == {(2, 3)}
