@@ -24,7 +24,9 @@ def main(argv: list[str] | None = None) -> int:
     library = Library(spark, a.folder)
     documents, chunks = library.load()
     if a.command == "list":
-        documents.orderBy("doc_id").show(1000, truncate=False)
+        print(*documents.columns, sep="\t")
+        for row in documents.orderBy("doc_id").toLocalIterator():
+            print(*row, sep="\t")
     elif a.command == "add":
         pages, rejects = read_documents(spark, a.what)
         library.add(*index_pages(pages.drop("path"), pages.select("doc_id", "path")))
