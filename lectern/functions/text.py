@@ -153,6 +153,12 @@ def short_title(x: Column | str) -> Column:
     return F.when(F.length(col(x)) > 70, F.concat(F.substring(col(x), 1, 67), F.lit("..."))).otherwise(col(x))
 
 
+def title_case(x: Column | str) -> Column:
+    """Every run of ASCII letters with a capital first and small letters after it, so "CROSS-CHECK" gives "Cross-Check"."""
+    parts = F.split(col(x), "(?<=[^A-Za-z])")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, F.lit(2), F.length(p))))), "")
+
+
 def filename_title(x: Column | str) -> Column:
     """A file name's stem with underscores as spaces."""
     return strip(F.regexp_replace(F.regexp_replace(col(x), r"(.)\.[^.]*$", "$1"), rf"[{_B}_]+", " "))

@@ -51,7 +51,7 @@ def heading(text: Column, size: Column | None = None, bold: Column | None = None
     line = T.strip(text)
     number, title = F.regexp_extract(line, NUMBERED, 1), T.strip(F.regexp_extract(line, NUMBERED, 2))
     numbered = F.when(~title.rlike(CAPTION) & title.rlike(r"[\p{L}\p{N}]$"), F.concat(number, F.lit(" "), title))
-    named = F.when(F.lower(line).isin(*SECTIONS), line).when((F.upper(line) == line) & F.size(T.words(line)).between(2, 6), F.initcap(line))
+    named = F.when(F.lower(line).isin(*SECTIONS), line).when((F.upper(line) == line) & F.size(T.words(line)).between(2, 6), T.title_case(line))
     textual = F.when(line.rlike(NUMBERED), numbered).when(line.rlike(UNNUMBERED), named)
     if size is not None:
         big = (body > 0) & (size > 0) & heading_shape(line) & ((size >= body * 1.08) | (bold & (size >= body * 0.98)))

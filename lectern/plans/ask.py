@@ -12,7 +12,7 @@ from lectern.functions import text as T
 from lectern.operators import conversation, fusion
 
 SYSTEM = "You answer questions about research papers from the excerpts you are given, and from nothing else. Cite the excerpt of every claim. Say so if the excerpts do not hold the answer."
-INSTRUCTION = "Answer using only the context excerpts above, citing excerpt numbers like [Excerpt 1] for every factual claim."
+INSTRUCTION = "Rely on these excerpts alone. After each statement of fact name the excerpt it comes from, in the form [Excerpt 1]."
 REFUSAL = "There is nothing in the library that answers this question."
 
 

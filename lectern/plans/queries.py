@@ -299,12 +299,12 @@ _LINES = "lines_ as (select distinct unnest(string_split(text, chr(10))) as raw
 
 
 @query(f"""with {_LINES}, h as (select line, {_heading_shape('line')} as shape, regexp_matches(line, '{structure.NUMBERED}') as numbered, regexp_extract(line, '{structure.NUMBERED}', 1) as no, {_strip(f"regexp_extract(line, '{structure.NUMBERED}', 2)")} as title from ln where line <> '')
-select line, shape, case when length(line) > 80 then null when numbered then case when not regexp_matches(title, '^(?i:fig|table|eq|plate)') and regexp_matches(title, '[\\p{{L}}\\p{{N}}]$') then upper(no || ' ' || title) end
- when regexp_matches(line, '{structure.UNNUMBERED}') then case when {_in('lower(line)', structure.SECTIONS)} then upper(line) when upper(line) = line and len({_words('line')}) between 2 and 6 then upper(line) end end as heading from h""")
+select line, shape, case when length(line) > 80 then null when numbered then case when not regexp_matches(title, '^(?i:fig|table|eq|plate)') and regexp_matches(title, '[\\p{{L}}\\p{{N}}]$') then no || ' ' || title end
+ when regexp_matches(line, '{structure.UNNUMBERED}') then case when {_in('lower(line)', structure.SECTIONS)} then line when upper(line) = line and len({_words('line')}) between 2 and 6 then array_to_string(list_transform(regexp_extract_all(line, '[A-Za-z]+|[^A-Za-z]+'), lambda r: upper(substr(r, 1, 1)) || lower(substr(r, 2))), '') end end as heading from h""")
 def d03_d04_headings(s: SparkSession, d: str) -> DataFrame:
-    """Heading shape and textual heading, in capitals, of every distinct line."""
+    """Heading shape and textual heading of every distinct line."""
     lines = table(s, d, "raw_pages").where("text is not null").select(F.explode(F.split("text", "\n")).alias("raw")).select(T.strip("raw").alias("line")).distinct().where("line <> ''")
-    return lines.select("line", structure.heading_shape(F.col("line")).alias("shape"), F.upper(structure.heading(F.col("line"))).alias("heading"))
+    return lines.select("line", structure.heading_shape(F.col("line")).alias("shape"), structure.heading(F.col("line")).alias("heading"))
 
 
 @query()

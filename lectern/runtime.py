@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,8 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (local tests) is a folder of our own chosen."""
+    Only in a single process (master ``local``) is a folder of our own chosen where the setting is absent; elsewhere executors would
+    write to disks of their own and a table read back would be a part of itself, so that is an error."""
     there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not there:
         there = getattr(spark, "_lectern_dir", None)
         if not there:
