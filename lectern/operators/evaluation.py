@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators.lexical import KEY
+from lectern.operators.ranking import place_within
 
 
-#: Most fragments of a split specification, which a person writes.
+#: Most fragments of a split specification, which a person writes, and of those that are sent to the tasks at once.
 SPEC = 10_000
 
 
@@ -22,6 +25,59 @@ def is_relevant(paper: Column, title: Column, phrases: Column, text: Column) ->
     return of_paper & F.forall(F.coalesce(phrases, F.array().cast("array<string>")), lambda p: F.contains(body, T.unmarked(p)))
 
 
+def named_titles(fragments: DataFrame, titles: DataFrame) -> DataFrame:
+    """(fragment, doc_id) of every title that holds a fragment, ignoring case; empty and NULL fragments give no row.
+
+    The distinct fragments are sent to the tasks in passes of at most SPEC, as one automaton that reads each title once, so nothing
+    is compared pair by pair. A title without text holds nothing."""
+    spark = fragments.sparkSession
+    spec = fragments.select("fragment").where("fragment <> ''").distinct()
+    n = spec.count()
+    passes = n // SPEC + 1
+    kind = titles.schema["doc_id"].dataType.simpleString()
+    rows = titles.where("title is not null and doc_id is not null").select("doc_id", "title")
+    found = []
+    for p in range(passes if n else 0):
+        part = spec.where(F.pmod(F.xxhash64("fragment"), F.lit(passes)) == p) if passes > 1 else spec
+        shared = spark.sparkContext.broadcast([r.fragment for r in part.collect()])
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            by: dict[str, list[str]] = {}
+            for f in shared.value:
+                by.setdefault(f.lower(), []).append(f)
+            machine = ahocorasick.Automaton()
+            for low, all_ in by.items():
+                machine.add_word(low, all_)
+            machine.make_automaton()
+            for batch in batches:
+                out = [(f, d) for d, t in zip(batch["doc_id"], batch["title"]) for f in {f for _, fs in machine.iter(t.lower()) for f in fs}]
+                yield pd.DataFrame(out, columns=["fragment", "doc_id"])
+
+        found.append(rows.mapInPandas(run, f"fragment string, doc_id {kind}"))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], f"fragment string, doc_id {kind}")
+
+
+def answerable(queries: DataFrame, chunks: DataFrame, titles: DataFrame) -> DataFrame:
+    """(query_id, n_chunks, unanswerable): how many chunks are relevant to each of (query_id, paper, must_contain).
+
+    The papers that queries name are matched with titles first, few with few; then queries meet the chunks of those papers by
+    equi-join. The few queries that name no paper meet all chunks and are sent to the tasks, in passes of at most SPEC."""
+    q = queries.select("query_id", "paper", "must_contain").distinct()
+    named = q.where("paper <> ''")
+    rows = named.join(named_titles(named.select(F.col("paper").alias("fragment")), titles).withColumnRenamed("fragment", "paper"), "paper").join(chunks.select(*KEY, "text"), "doc_id")
+    free = q.where("paper is null or paper = ''")
+    n = free.count()
+    for p in range(n // SPEC + 1 if n else 0):
+        part = free.where(F.pmod(F.xxhash64("query_id"), F.lit(n // SPEC + 1)) == p)
+        rows = rows.unionByName(chunks.select(*KEY, "text").join(F.broadcast(part), F.lit(True)).select(*rows.columns))
+    body = T.unmarked("text")
+    holds = F.forall(F.coalesce("must_contain", F.array().cast("array<string>")), lambda x: F.contains(body, T.unmarked(x)))
+    found = rows.where("text is not null").where(holds).groupBy("query_id").agg(F.countDistinct(F.struct(*KEY)).alias("n_chunks"))
+    return q.select("query_id").distinct().join(found, "query_id", "left").select("query_id", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.col("n_chunks").isNull().alias("unanswerable"))
+
+
 def relevant_ranks(hits: DataFrame, queries: DataFrame, chunks: DataFrame, titles: DataFrame) -> DataFrame:
     """(query_id, rank) of the relevant hits."""
     rows = hits.join(queries.select("query_id", "paper", "must_contain"), "query_id").join(chunks.select(*KEY, "text"), list(KEY)).join(titles.select("doc_id", "title"), "doc_id", "left")
@@ -107,6 +163,16 @@ def hard_negatives(candidates: DataFrame, positives: DataFrame, n: int) -> DataF
     return rest.withColumn("place", place).where(F.col("place") <= n)
 
 
+def balanced(df: DataFrame, positive: str, key: Sequence[str], times: int = 3, seed: int = 7) -> DataFrame:
+    """All rows with ``positive``, and of the others at most ``times`` as many, the first in the order of a seeded MD5 of the key.
+
+    The others are placed by ``place_within``, over as many tasks as they need. Rows with a NULL ``positive`` drop out."""
+    most = df.agg(F.lit(times) * F.count(F.when(F.col(positive), 1))).scalar()
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]))
+    others = place_within(df.where(~F.col(positive)), [], [order, *[F.col(c) for c in key]], "_place")
+    return df.where(F.col(positive)).unionByName(others.where(F.col("_place") <= most).drop("_place"))
+
+
 def best_config(metrics: DataFrame) -> DataFrame:
     """The configuration with the best hit rate, then MRR; the first of equals by ``config_no``."""
     return metrics.orderBy(F.round("hit_rate", 9).desc(), F.round("mrr", 9).desc(), "config_no").limit(1)

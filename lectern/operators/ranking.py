@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.runtime import settle
+
+#: The largest cap for which the survivors of a salted pass, ``salts`` times as many, still fit a task.
+SMALL = 1_000
+
 
 def latest_by(df: DataFrame, keys: Sequence[str], at: str, ties: Sequence[str] = ()) -> DataFrame:
     """One row per key, the one with the greatest ``at`` (then the greatest ``ties``).
@@ -32,3 +37,23 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cap
     df = df.withColumn(far, F.when(F.coalesce(F.col(near), F.lit(False)), F.lit(-1)).otherwise(F.col(salt)))
     place = F.row_number().over(Window.partitionBy(*keys, far).orderBy(*order))
     return df.withColumn(name, F.when(cap.isNull(), True).otherwise(F.coalesce(F.col(near), F.lit(False)) & (place <= cap))).drop(salt, near, far)
+
+
+def place_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, parts: int | None = None) -> DataFrame:
+    """Adds ``name``: the place, from 1, of each row in its key by ``order``, for groups of any size.
+
+    Rows are spread over tasks by ranges of (key, order), so a hot key lies in as many tasks as its rows need; places are counted
+    within a range and moved on by the rows of the key in the ranges before it, a count a key and range. The ranges are settled
+    first, so that a lost executor cannot draw them anew. ``order`` must tell rows apart for a stable result; NULL keys form a key."""
+    part, before, flags = f"_{name}_part", f"_{name}_before", [f"_{name}_key{i}" for i in range(len(keys))]
+    cuts = [F.col(k).asc_nulls_first() for k in keys]
+    spread = df.repartitionByRange(parts, *cuts, *order) if parts else df.repartitionByRange(*cuts, *order)
+    rows = settle(spread.withColumn(part, F.spark_partition_id()))
+    counts = rows.groupBy(*[F.col(k).alias(f) for k, f in zip(keys, flags)], part).agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.partitionBy(*flags).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*flags, F.col(part).alias(f"{part}s"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias(before))
+    same = F.col(part) == F.col(f"{part}s")
+    for k, f in zip(keys, flags):
+        same = same & F.col(k).eqNullSafe(F.col(f))
+    here = F.row_number().over(Window.partitionBy(*keys, part).orderBy(*order))
+    return rows.withColumn(name, here).join(counts, same).withColumn(name, F.col(name) + F.col(before)).drop(*flags, part, f"{part}s", before)

@@ -569,13 +569,11 @@ def r14_a18_prompts(s: SparkSession, d: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- joins, sets, counts, samples, conversations
-@query(f"with {_QS}, {_CH}, {_TITLES} select q.query_id, count(ch.chunk_id) as n_chunks, count(ch.chunk_id) = 0 as unanswerable from (select distinct * from qs) q left join titles t on t.doc_id = q.doc_id left join ch on ch.doc_id = q.doc_id and {_REL} group by q.query_id")
+@query(f"""with {_QS}, {_CH}, {_TITLES}, hit as (select distinct q.query_id, ch.doc_id, ch.chunk_id from qs q, ch left join titles t on t.doc_id = ch.doc_id where {_REL})
+select q.query_id, count(hit.chunk_id) as n_chunks, count(hit.chunk_id) = 0 as unanswerable from (select distinct query_id from qs) q left join hit on hit.query_id = q.query_id group by q.query_id""")
 def r19_j06_f05_answerable(s: SparkSession, d: str) -> DataFrame:
-    """How many chunks of its paper answer each question."""
-    q = _asked(s, d)
-    rows = q.join(_chunks(s, d), "doc_id").join(_titles(s, d), "doc_id", "left")
-    rows = rows.where(evaluation.is_relevant(F.col("paper"), F.coalesce("title", F.lit("")), F.col("must_contain"), F.col("text"))).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_chunks"))
-    return q.select("query_id").distinct().join(rows, "query_id", "left").select("query_id", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.col("n_chunks").isNull().alias("unanswerable"))
+    """How many chunks, of all papers whose title holds the one that is named, answer each question."""
+    return evaluation.answerable(_asked(s, d), _chunks(s, d), _titles(s, d))
 
 
 @query(f"with {_TITLES} select c.doc_id, coalesce(t.title, 'unknown document') as title, c.n_chunks from (select doc_id, count(distinct chunk_id) as n_chunks from chunks where doc_id is not null group by doc_id) c left join titles t on t.doc_id = c.doc_id")
@@ -663,12 +661,8 @@ def k07_f03_sample(s: SparkSession, d: str) -> DataFrame:
 select id, positive from (select id, positive, row_number() over (partition by positive order by md5('7|' || id), id) as place from b), n where positive or place <= most""")
 def k08_negative_ratio(s: SparkSession, d: str) -> DataFrame:
     """All questions of low overlap, and at most three times as many others, by seeded hash."""
-    from pyspark.sql import Window
-
     b = table(s, d, "benchmark").where("id is not null and lexical_overlap is not null").select("id", (F.col("lexical_overlap") <= 0.45).alias("positive")).distinct()
-    most = b.agg(3 * F.sum(F.col("positive").cast("int"))).scalar()
-    place = F.row_number().over(Window.partitionBy("positive").orderBy(F.md5(F.concat(F.lit("7|"), "id")), "id"))
-    return b.withColumn("place", place).where(F.col("positive") | (F.col("place") <= most)).select("id", "positive")
+    return evaluation.balanced(b, "positive", ["id"])
 
 
 @query(f"with {_CH} select count(*) as n_chunks, min(n) as least, max(n) as most, round(avg(n), 9) as mean from (select len({_words('text')}) as n from ch where text is not null)")

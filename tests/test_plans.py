@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lectern.operators.ranking import latest_by, rank_within
+from lectern.operators.ranking import latest_by, place_within, rank_within
 from lectern.plans import ask, benchmark, groundedness, service
 from lectern.plans.index import index_pages
 from lectern.sources import readers
@@ -25,6 +25,29 @@ def test_ranks_of_a_hot_group(spark):
     assert {r.g: r.x for r in got} == {"a": [4996, 4997, 4998, 4999], "b": [0, 1, 2]}
 
 
+def test_places_in_a_group_of_many_ranges(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 3 > 0, "a").when(F.col("id") % 2 == 0, "b").alias("g"), "id", F.lit(0).alias("_n"))
+    got = place_within(df, ["g"], [F.col("id").desc()], "place", 7).collect()
+    want = {}
+    for r in sorted(got, key=lambda r: -r.id):
+        want[r.g] = want.get(r.g, 0) + 1
+        assert r.place == want[r.g]
+    assert len(got) == 5000 and place_within(df.limit(0), ["g"], [F.col("id")], "place").count() == 0
+    # no window holds a whole key: the places are counted by key and range
+    plan = place_within(df, ["g"], [F.col("id")], "place", 7)._jdf.queryExecution().toString()
+    assert "_place_part" in plan
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from lectern.runtime import shared_dir
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+
+
 def test_latest_prefers_values_over_null(spark):
     df = spark.createDataFrame([(1, None, "x"), (1, 3, "y"), (1, 3, "z"), (None, None, "n")], "k int, at int, v string")
     assert {(r.k, r.v) for r in latest_by(df, ["k"], "at", ["v"]).collect()} == {(1, "z"), (None, "n")}

@@ -93,3 +93,19 @@ def test_splits_resolve(spark):
     got = {r.fragment: (r.n_titles, r.title, r.problem) for r in evaluation.resolve_splits(f, t).collect()}
     assert got["haze"][:2] == (1, "Haze") and got["Dust"] == (1, "Dust storms", None) and got["none"][2] == "no match" and got["o"][2] == "several matches"
     assert [r.title for r in evaluation.unassigned(t, evaluation.resolve_splits(f, t)).orderBy("title").collect()] == ["Haze on Titan", "Left over"]
+
+
+def test_answerable_over_all_papers_that_a_title_names(spark):
+    q = spark.createDataFrame([(1, "haze", ["thick"]), (2, "Haze layers", ["THICK", "sl^ow"]), (3, None, ["slow"]), (4, "", []), (5, "no such", []), (6, "haze", None), (1, "haze", ["thick"])], "query_id int, paper string, must_contain array<string>")
+    chunks = spark.createDataFrame([("a", 0, "Thick and slow"), ("a", 1, None), ("b", 0, "thick"), ("c", 0, "slow")], CHUNK)
+    titles = spark.createDataFrame([("a", "On HAZE layers"), ("b", "Haze"), ("c", "Other"), ("d", None)], "doc_id string, title string")
+    got = {r.query_id: (r.n_chunks, r.unanswerable) for r in evaluation.answerable(q, chunks, titles).collect()}
+    assert got == {1: (2, False), 2: (1, False), 3: (2, False), 4: (3, False), 5: (0, True), 6: (2, False)}
+    assert evaluation.answerable(q.limit(0), chunks, titles).count() == 0 and evaluation.answerable(q, chunks.limit(0), titles.limit(0)).where("unanswerable").count() == 6
+
+
+def test_balanced_negatives(spark):
+    rows = spark.range(100).select("id", F.when(F.col("id") < 90, F.col("id") % 9 == 0).alias("good"))
+    got = evaluation.balanced(rows, "good", ["id"], 2)
+    assert got.where("good").count() == 10 and got.where("not good").count() == 20
+    assert evaluation.balanced(rows.limit(0), "good", ["id"]).count() == 0
