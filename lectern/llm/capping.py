@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators.ranking import latest_by, rank_within
+from lectern.operators.ranking import SMALL, latest_by, place_within, rank_within
 
 
 @dataclass(frozen=True)
@@ -34,8 +34,9 @@ def cap_nested(df: DataFrame, levels: Sequence[Level], score: str, ties: Sequenc
     The caps form a laminar matroid, for which the greedy choice by score is optimal and equals
     taking the best of each innermost group, then of those the best of each next group, and so on:
     one ranked pass a level, inner first. A record cut at one level no longer counts at the next.
-    Every pass is salted (``rank_within``), so a contributor with a third of all rows is ranked in
-    many tasks. A cap that is NULL or below 1 is no cap. A share is of the rows with the level's outer
+    A contributor with a third of all rows is ranked in many tasks: passes of small caps, and of caps in a column, are
+    salted (``rank_within``), as at most salts times the cap survive; shares and caps beyond SMALL, which whole groups may survive,
+    place rows by ranges of the score (``place_within``). A cap that is NULL or below 1 is no cap. A share is of the rows with the level's outer
     keys (all rows at the outermost level), rounded down but at least 1; its counts are aggregated
     before they are joined. Equal rows are told apart by nothing and either may stay; NULL keys form a
     group. An empty table gives an empty table; columns named ``stays`` or ``cut_at`` are replaced,
@@ -58,7 +59,10 @@ def cap_nested(df: DataFrame, levels: Sequence[Level], score: str, ties: Sequenc
             cap = F.when(cap >= 1, cap)
         # rows cut before stand aside under a group of their own and use up no place
         df = df.withColumn("__cap_aside", F.when(F.col("cut_at").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")))
-        df = rank_within(df, [*level.keys, "__cap_aside"], order, cap, spread, "__cap_in", salts)
+        if level.share is not None or isinstance(level.cap, int) and level.cap > SMALL:
+            df = place_within(df, [*level.keys, "__cap_aside"], order, "__cap_at").withColumn("__cap_in", cap.isNull() | (F.col("__cap_at") <= cap)).drop("__cap_at")
+        else:
+            df = rank_within(df, [*level.keys, "__cap_aside"], order, cap, spread, "__cap_in", salts)
         df = df.withColumn("cut_at", F.when(F.col("cut_at").isNull() & ~F.col("__cap_in"), F.lit(n)).otherwise(F.col("cut_at"))).drop("__cap_aside", "__cap_in", f"__cap_{n}")
     return df.withColumn("stays", F.col("cut_at").isNull())
 

@@ -61,3 +61,14 @@ def test_latest_log_counts(spark):
     hits = spark.createDataFrame([(1, 1, "a", 1, 9.0, t(1)), (1, 1, "a", 1, 0.1, t(2)), (1, 2, "a", 2, 0.5, t(1)), (1, 2, "a", 2, 0.5, t(1))], HIT)
     got = {r.chunk_id: r.stays for r in capped_hits(hits, spark.createDataFrame([(1, 1, None)], ANS)).collect()}
     assert got == {1: False, 2: True}
+
+
+def test_a_large_cap_and_a_share_equal_the_greedy_choice(spark):
+    rng = random.Random(6)
+    rows = [{"id": i, "org": 0, "dom": 0 if rng.random() < 0.5 else rng.randint(1, 40), "s": rng.choice([None, float("nan"), float(rng.randint(0, 50))])} for i in range(6000)]
+    df = spark.createDataFrame(rows, "id long, org long, dom long, s double").repartition(6)
+    score = {r["id"]: -1.0 if r["s"] is None or r["s"] != r["s"] else r["s"] for r in rows}
+    plain = [{**r, "s": score[r["id"]]} for r in rows]
+    got = cap_nested(df, [Level(("org", "dom"), cap=1500), Level(("org",), share=0.4)], "s", ["id"])
+    assert {r.id for r in got.where("stays").collect()} == greedy(plain, [(("org", "dom"), 1500), (("org",), 2400)])
+    assert {r.cut_at for r in got.select("cut_at").distinct().collect()} == {None, 1, 2}
