@@ -17,8 +17,12 @@ from lectern.runtime import settle
 
 #: Words of a verbatim seed, words of training text in one suffix array, characters of held-out text matched in one pass.
 SEED, SHARD, PASS = 6, 1_000_000, 8_000_000
-#: A passage: words of the item in a row, share of them that may differ, held-out items from which a seed counts as a stock phrase.
-PASSAGE, ALTERED, STOCK = 25, 0.15, 5
+#: A passage: words of the item in a row, share of them that may differ, and how many of them must be no stock phrase.
+PASSAGE, ALTERED, OWN = 25, 0.15, 0.6 * 25
+#: Different held-out texts, and share of them, in which a seed must stand to count as a stock phrase.
+STOCK, STOCK_SHARE = 5, 0.02
+#: Words of an item that are aligned at once; a longer item is aligned in stretches that overlap by half.
+STRETCH = 512
 #: Words by which insertions and omissions may shift one end of a passage against the other.
 DRIFT = 8
 #: Words looked at on each side of a short verbatim match, differences there, and words of the item that a passage must keep.
@@ -74,23 +78,23 @@ class SuffixArray:
             hi = np.where(~go & open_, mid, hi)
         return lo
 
-    def longest(self, place: np.ndarray, test: np.ndarray, start: np.ndarray, most: int = 256) -> np.ndarray:
+    def longest(self, place: np.ndarray, test: np.ndarray, start: np.ndarray) -> np.ndarray:
         """How many words from ``place`` in the shard equal those from ``start`` in ``test``."""
         length = np.zeros(len(place), np.int64)
-        alive = np.ones(len(place), bool)
-        for k in range(most):
-            a, b = place + k, start + k
-            alive &= (a < len(self.ids)) & (b < len(test))
-            alive &= self.ids[np.minimum(a, len(self.ids) - 1)] == test[np.minimum(b, len(test) - 1)]
-            if not alive.any():
-                break
-            length += alive
+        alive, k = np.arange(len(place)), 0
+        while len(alive):
+            a, b = place[alive] + k, start[alive] + k
+            alive, a, b = (x[(a < len(self.ids)) & (b < len(test))] for x in (alive, a, b))
+            alive = alive[self.ids[a] == test[b]]
+            length[alive] += 1
+            k += 1
         return length
 
 
 class HeldOut:
     """The held-out items as one array of word ids, with a wall between items and stock phrases marked: the seeds of
-    ``stock_seeds``, or where that is None those of STOCK or more of these items."""
+    ``stock_seeds``, or where that is None those that stand in many of these texts. Copies of a text count once, and an item
+    that stock phrases leave without a single passage is marked nowhere, so that no item is lost however often it is held out."""
 
     def __init__(self, items: list[tuple[int, str]], stock_seeds: np.ndarray | None = None):
         self.vocab: dict[str, int] = {}
@@ -113,10 +117,17 @@ class HeldOut:
         elif len(self.at):
             _, which = np.unique(self.tests, axis=0, return_inverse=True)
             which = which.ravel()
-            pairs = np.unique(np.stack([which, self.owner[self.at]], 1), axis=0)
-            often = np.bincount(pairs[:, 0])[which] >= STOCK
+            texts: dict[bytes, int] = {}
+            text = np.array([texts.setdefault(self.item_words(i).tobytes(), i) for i in range(len(self.items))])
+            pairs = np.unique(np.stack([which, text[self.owner[self.at]]], 1), axis=0)
+            often = np.bincount(pairs[:, 0])[which] >= stock_from(len(texts))
             for k in range(SEED):
                 stock[self.at[often] + k] = True
+        for i in np.unique(self.owner[stock]) if stock.any() else ():
+            own = slice(self.start[i], self.start[i] + len(self.item_words(i)))
+            free = np.concatenate(([0], np.cumsum(~stock[own])))
+            if (free[PASSAGE:] - free[:-PASSAGE]).max(initial=0) < OWN:
+                stock[own] = False
         self.stock = stock
 
     def codes(self) -> np.ndarray:
@@ -132,6 +143,11 @@ class HeldOut:
         return self.ids[self.start[i] : end - 1]
 
 
+def stock_from(n_texts: int) -> float:
+    """In how many of so many different texts a stock phrase stands at least."""
+    return max(STOCK, STOCK_SHARE * n_texts)
+
+
 def aligned(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
     """For each (item, document, stock marks of the item): words of the item, differences and plain words matched of the
     best local alignment, in which a match counts 1 and a difference -3. All pairs are aligned side by side, word by word of the item."""
@@ -187,11 +203,24 @@ def promising(held: HeldOut, ids: np.ndarray, place: np.ndarray, first: np.ndarr
         same &= (held.owner[at] == own) & (at == first + move)
         hits += same
         plain_ += same & ~held.stock[at]
-    return (hits >= KEPT) & (plain_ >= 0.6 * PASSAGE)
+    return (hits >= KEPT) & (plain_ >= OWN)
+
+
+def stretches(n: int, runs: list[tuple[int, int]], low: int) -> Iterator[tuple[int, int]]:
+    """(first, last) words of an item of ``n`` words that are aligned for the verbatim runs, (place in the item, offset), of a band
+    of offsets from ``low``: all of it, or of a long one the stretches that hold a run."""
+    if n <= STRETCH:
+        yield 0, n
+        return
+    own = np.array([p for p, o in runs if abs(o - low) <= 2 * DRIFT])
+    for a in range(0, n - STRETCH // 2, STRETCH // 2):
+        if ((own >= a) & (own < a + STRETCH)).any():
+            yield a, min(n, a + STRETCH)
 
 
-def shard_matches(held: HeldOut, docs: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(index of the document, index of the item) of all passages that a shard holds."""
+def shard_matches(held: HeldOut, docs: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
+    """(document, item, word of the document, word of the item, words) of all passages that a shard holds: the indices of both, and
+    where their longest verbatim match begins and how long it is."""
     sizes = np.array([len(d) + 1 for d in docs])
     ids = np.concatenate([np.append(d, 0) for d in docs]) if docs else np.zeros(0, np.int64)
     if not len(held.at) or len(ids) < SEED:
@@ -233,39 +262,51 @@ def shard_matches(held: HeldOut, docs: list[np.ndarray]) -> list[tuple[int, int]
         for c in alone[promising(held, ids, place[alone], first[alone], length[alone], rare[alone])]:
             tried.setdefault(int(key[c]), []).append(int(offset[c]))
     jobs = []
+    by_key = np.argsort(key, kind="stable")
     for k, lows in tried.items():
         d, i = divmod(k, len(held.items))
         own, last = held.item_words(i), None
+        mine = by_key[slice(*np.searchsorted(key, [k, k + 1], sorter=by_key))] if len(own) > STRETCH else ()
+        runs = [(int(first[x] - held.start[i]), int(offset[x])) for x in mine]
         for low in sorted(lows):
             if last is None or low - last > DRIFT:
                 last = low
-                jobs.append((d, i, own, docs[d][max(0, low - DRIFT) : max(0, low + len(own) + 3 * DRIFT)], held.stock[held.start[i] : held.start[i] + len(own)]))
+                for a, b in stretches(len(own), runs, low):
+                    jobs.append((d, i, own[a:b], docs[d][max(0, low + a - DRIFT) : max(0, low + b + 3 * DRIFT)], held.stock[held.start[i] + a : held.start[i] + b]))
     jobs.sort(key=lambda j: (len(j[2]), len(j[3])))
     out = set()
     for n in range(0, len(jobs), 256):
         some = jobs[n : n + 256]
         for (d, i, *_), (span, wrong, good) in zip(some, aligned([j[2:] for j in some])):
-            if span >= PASSAGE - 1 and wrong <= max(3, ALTERED * span) and good >= 0.6 * PASSAGE:
+            if span >= PASSAGE - 1 and wrong <= max(3, ALTERED * span) and good >= OWN:
                 out.add((d, i))
-    return sorted(out)
+    order = np.lexsort((place, -length, key))
+    lead = order[np.flatnonzero(np.diff(key[order], prepend=-1))]
+    best = dict(zip(key[lead].tolist(), lead.tolist()))
+    found = []
+    for d, i in sorted(out):
+        x = best[d * len(held.items) + i]
+        found.append((d, i, int(place[x] - starts[d]), int(first[x] - held.start[i]), int(length[x])))
+    return found
 
 
 def seeds_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(pass, seed, n): in how many items of a pass each seed occurs."""
+    """(pass, seed, text): the seeds of each text, and a hash of its words."""
     for batch in batches:
         held = HeldOut(list(zip(batch["item_id"], batch["text"])), np.zeros(0, np.int64))
         own = held.owner[held.at]
-        rows = pd.DataFrame({"pass": batch["pass"].to_numpy()[own], "seed": held.codes(), "own": own}).drop_duplicates()
-        yield rows.groupby(["pass", "seed"]).size().reset_index(name="n")
+        text = np.array([int.from_bytes(hashlib.blake2b(" ".join(words(t)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for t in batch["text"]], np.int64)
+        yield pd.DataFrame({"pass": batch["pass"].to_numpy()[own], "seed": held.codes(), "text": text[own]}).drop_duplicates()
 
 
-def leaks(documents: DataFrame, heldout: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, item_id): the documents that hold a passage of a held-out item.
+def passages(documents: DataFrame, heldout: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, item_id, doc_word, item_word, n_words): the documents that hold a passage of a held-out item, and where, counted in words
+    from 0, their longest verbatim match lies in both, and its words.
 
     Narrow over the documents: each task packs its texts, whole, into shards of SHARD words (a longer text is a shard of
     its own), sorts the shard's suffixes, binary-searches every held-out suffix, and aligns the item where verbatim matches add
     up. The held-out side is sent in passes of at most PASS characters, so what is broadcast is bounded whatever its
-    size; stock phrases are counted over all items before. NULL and empty texts hold nothing; rows that repeat a key give their passages once."""
+    size; stock phrases are counted over all different texts before, copies of a text once. Long items are aligned in stretches. NULL and empty texts hold nothing; rows that repeat a key give their passages once."""
     total = heldout.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = int(total // PASS) + 1
     kind = documents.schema[key].dataType.simpleString()
@@ -273,8 +314,9 @@ def leaks(documents: DataFrame, heldout: DataFrame, key: str = "doc_id") -> Data
     out = []
     items = heldout.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text", F.pmod(F.xxhash64("item_id"), F.lit(passes)).alias("pass")).distinct()
     if passes > 1:
-        seeds = settle(items.mapInPandas(seeds_of, "pass long, seed long, n long"))
-        often = settle(seeds.groupBy("seed").agg(F.sum("n").alias("n")).where(F.col("n") >= STOCK))
+        seeds = settle(items.mapInPandas(seeds_of, "pass long, seed long, text long").distinct())
+        least = stock_from(seeds.select("text").distinct().count())
+        often = settle(seeds.groupBy("seed").agg(F.countDistinct("text").alias("n")).where(F.col("n") >= least))
     for p in range(passes):
         rows = items.where(F.col("pass") == p)
         stock = np.array([r.seed for r in seeds.where(F.col("pass") == p).join(often, "seed", "left_semi").select("seed").distinct().collect()], np.int64) if passes > 1 else None
@@ -289,7 +331,7 @@ def leaks(documents: DataFrame, heldout: DataFrame, key: str = "doc_id") -> Data
 
             def flush() -> pd.DataFrame:
                 found = shard_matches(held, texts)
-                return pd.DataFrame([(keys[d], held.items[i]) for d, i in found], columns=[key, "item_id"])
+                return pd.DataFrame([(keys[d], held.items[i], *where) for d, i, *where in found], columns=[key, "item_id", "doc_word", "item_word", "n_words"])
 
             for batch in batches:
                 for k, t in zip(batch[key], batch["text"]):
@@ -302,13 +344,19 @@ def leaks(documents: DataFrame, heldout: DataFrame, key: str = "doc_id") -> Data
                     size += len(ids) + 1
             yield flush()
 
-        out.append(docs.mapInPandas(run, f"`{key}` {kind}, item_id int"))
-    return reduce(DataFrame.unionByName, out).distinct()
+        out.append(docs.mapInPandas(run, f"`{key}` {kind}, item_id int, doc_word int, item_word int, n_words int"))
+    best = F.max_by(F.struct("doc_word", "item_word", "n_words"), F.struct("n_words", -F.col("doc_word"), -F.col("item_word")))
+    return reduce(DataFrame.unionByName, out).groupBy(key, "item_id").agg(best.alias("m")).select(key, "item_id", "m.*")
+
+
+def leaks(documents: DataFrame, heldout: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, item_id): the documents that hold a passage of a held-out item, as ``passages`` finds them."""
+    return passages(documents, heldout, key).select(key, "item_id")
 
 
 def leaked_items(documents: DataFrame, heldout: DataFrame) -> DataFrame:
-    """(item_id, split, n_documents) of the items that leaked."""
-    found = leaks(documents, heldout).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
+    """(item_id, split, n_documents, longest) of the items that leaked, with the words of their longest verbatim match."""
+    found = passages(documents, heldout).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("n_words").alias("longest"))
     return heldout.select("item_id", F.coalesce("split", F.lit("")).alias("split")).distinct().join(found, "item_id")
 
 

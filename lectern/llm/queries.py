@@ -90,6 +90,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "heldout"))
 
 
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Where each document and item have their longest verbatim match, in words."""
+    return leakage.passages(table(spark, d, "documents"), table(spark, d, "heldout"))
+
+
 def p8_leaked(spark: SparkSession, d: str) -> DataFrame:
     """The held-out items that leaked, with the number of documents."""
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "heldout"))
@@ -111,7 +116,7 @@ def p9_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_kept, p1_capped_sources, p2_found, p2_pieces, p3_found, p3_canonical, p4_found, p4_paragraphs, p5_found, p6_found, p6_counts, p7_ids, p8_found, p8_leaked, p8_clean, p9_found, p9_share)
+    f.__name__: f for f in (p1_found, p1_kept, p1_capped_sources, p2_found, p2_pieces, p3_found, p3_canonical, p4_found, p4_paragraphs, p5_found, p6_found, p6_counts, p7_ids, p8_found, p8_passages, p8_leaked, p8_clean, p9_found, p9_share)
 }
 
 _HITS = """

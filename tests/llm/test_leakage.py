@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from lectern.llm.leakage import HeldOut, SuffixArray, aligned, leaked_items, leaks, without_leaks, words
+from lectern.llm.leakage import HeldOut, SuffixArray, aligned, leaked_items, leaks, passages, without_leaks, words
 
 DOC, HELD = "doc_id long, text string, item_id int", "item_id int, split string, paper string, text string"
 
@@ -75,3 +75,29 @@ def test_stock_phrases_are_counted_over_all_passes(spark, monkeypatch):
     for size in (8_000_000, 1000):
         monkeypatch.setattr("lectern.llm.leakage.PASS", size)
         assert {(r.doc_id, r.item_id) for r in leaks(d, h).collect()} == {(2, 3)}
+
+
+def test_an_item_held_out_many_times_is_still_found(spark, monkeypatch):
+    rng = random.Random(5)
+    whole, other = text(rng, 60), text(rng, 60)
+    w = whole.split()
+    for n in (4, 5, 50):
+        alike = [" ".join("new" + x if k == 3 + i % 50 else x for k, x in enumerate(w)) for i in range(n)]  # copies but for a word
+        rows = [(i, "test", "p", whole.upper() if i % 2 else whole + ".") for i in range(n)] + [(1000 + i, "test", "p", t) for i, t in enumerate(alike)] + [(999, "test", "p", other)]
+        d, h = spark.createDataFrame([(1, text(rng, 30) + " " + whole, 0), (2, text(rng, 80), 0)], DOC), spark.createDataFrame(rows, HELD)
+        for size in (8_000_000, 700):
+            monkeypatch.setattr("lectern.llm.leakage.PASS", size)
+            got = {(r.doc_id, r.item_id) for r in leaks(d, h).collect()}
+            assert got == {(1, r[0]) for r in rows if r[0] != 999}
+
+
+def test_locations_and_long_items(spark):
+    rng = random.Random(7)
+    w = text(rng, 3000).split()
+    part = w[1700:1760]
+    part[30] = "changed"
+    lead = text(rng, 100)
+    d = spark.createDataFrame([(1, lead + " " + " ".join(w[:1200]), 0), (2, lead + " " + " ".join(part), 0), (3, " ".join(w[5:20]), 0)], DOC)
+    h = spark.createDataFrame([(7, "test", "p", " ".join(w))], HELD)
+    assert sorted(map(tuple, passages(d, h).collect())) == [(1, 7, 100, 0, 1200), (2, 7, 100, 1700, 30)]
+    assert leaked_items(d, h).first().longest == 1200
