@@ -245,7 +245,8 @@ def shard_matches(held: HeldOut, docs: list[np.ndarray]) -> list[tuple[int, int,
     # 6, and one with stock phrases few rare words in runs: matches of no such band are looked at one by one
     key = doc * len(held.items) + item
     tried: dict[int, list[int]] = {}
-    banded = np.zeros(len(key), bool)
+    sure = np.unique(key[(length >= PASSAGE) & (rare >= OWN)])  # a verbatim passage needs no alignment
+    banded = np.isin(key, sure)
     for shift in (0, DRIFT):
         band = (key << 24) + (offset + (1 << 22) + shift) // (2 * DRIFT)
         order = np.argsort(band, kind="stable")
@@ -255,7 +256,7 @@ def shard_matches(held: HeldOut, docs: list[np.ndarray]) -> list[tuple[int, int,
             low = np.minimum.reduceat(offset[order], cuts)
             enough = (total >= 12) & (plain_ >= 6)
             banded[order] |= np.repeat(enough, np.diff(np.append(cuts, len(order))))
-            for c in np.flatnonzero(enough):
+            for c in np.flatnonzero(enough & ~np.isin(key[order[cuts]], sure)):
                 tried.setdefault(int(key[order[cuts[c]]]), []).append(int(low[c]))
     alone = np.flatnonzero(~banded)
     if len(alone):
@@ -274,7 +275,7 @@ def shard_matches(held: HeldOut, docs: list[np.ndarray]) -> list[tuple[int, int,
                 for a, b in stretches(len(own), runs, low):
                     jobs.append((d, i, own[a:b], docs[d][max(0, low + a - DRIFT) : max(0, low + b + 3 * DRIFT)], held.stock[held.start[i] + a : held.start[i] + b]))
     jobs.sort(key=lambda j: (len(j[2]), len(j[3])))
-    out = set()
+    out = {divmod(int(k), len(held.items)) for k in sure}
     for n in range(0, len(jobs), 256):
         some = jobs[n : n + 256]
         for (d, i, *_), (span, wrong, good) in zip(some, aligned([j[2:] for j in some])):
