@@ -3,29 +3,26 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.lookalikes import latin, plain
 from lectern.operators.ranking import latest_by
 from lectern.runtime import settle
 
-#: Most words of the spelling vocabulary, and most papers in which a word of a title may stand for it to name that paper, as a share.
-SPELLED, NAMING = 100_000, 1 / 5000
+#: How many times as frequent as a word the one is of which it is a misspelling; the share of a word's questions that are about a paper
+#: with the word in its title, from which on it is a paper's name.
+MISSPELT, NAMING = 20, 0.8
+#: Of a rewording: papers in which it is seen, the share of the places of its rarest word at which it is seen, words exchanged, and
+#: the hashes by which questions with a rewording between them are brought together.
+SEEN, SHARE, EXCHANGED, HASHES = 3, 0.5, 3, 6
 
-# Spellings of the splits; words that carry no condition; words that ask the same; how a question may be introduced.
+# Spellings of the splits; words that carry no condition.
 SPLITS = {"train": "train", "training": "train", "val": "val", "valid": "val", "validation": "val", "dev": "val", "test": "test", "testing": "test", "eval": "test"}
 STOP = set("a an and are as at be been being by can could did do does for from had has have how i if in into is it its many me much of on once only or please q say tell that the their then there these this those to was we were what when where which who why will with would you your paper authors author question answer according just also".split())
-SAME = {
-    "responsive": "sensitive", "state": "report", "states": "report", "reported": "report", "reports": "report", "stated": "report", "shift": "change", "shifts": "change", "changes": "change",
-    "included": "added", "include": "added", "add": "added", "kept": "keep", "hold": "keep", "holds": "keep", "keeps": "keep", "selected": "chosen", "choose": "chosen", "picked": "chosen", "big": "large",
-    "employed": "used", "use": "used", "uses": "used", "exceeds": "above", "exceed": "above", "exceeding": "above", "support": "evidence", "offer": "give", "offers": "give", "given": "give", "gives": "give", "offered": "give",
-    "bound": "limit", "derive": "obtain", "derived": "obtain", "obtained": "obtain", "obtains": "obtain", "derives": "obtain", "dataset": "data set",
-}
 
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*(?:e[+-]?\d+)?|[^\W\d_]+(?:\d+)?(?:/[^\W\d_]+)?")
 
@@ -60,84 +57,115 @@ def one_edit(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or len(x) > 1 and len(y) > 1 and x[0] == y[1] and x[1] == y[0] and x[2:] == y[2:]
 
 
-class Canoniser:
-    """Questions to bags of words that are the same for questions that ask the same."""
-
-    def __init__(self, words: dict[str, int], common: set[str]):
-        self.words, self.common, self.known = words, common, {}
-        self.by_gap: dict[str, list[str]] = {}
-        for w in words:
-            if len(w) > 3:
-                for g in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}:
-                    self.by_gap.setdefault(g, []).append(w)
-
-    def spelled(self, word: str) -> str:
-        """A rare word that is one edit from a much more frequent one becomes that one."""
-        if len(word) < 4 or word[0].isdigit():
-            return word
-        if word not in self.known:
-            n = self.words.get(word, 0)
-            near = {v for g in {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} for v in self.by_gap.get(g, ())}
-            near = {v for v in near if self.words[v] >= 20 * max(n, 1) and one_edit(word, v)}
-            if len(self.known) > 200_000:
-                self.known.clear()
-            self.known[word] = max(near, key=lambda v: (self.words[v], v), default=word)
-        return self.known[word]
-
-    def bag(self, question: str, title: str | None) -> str:
-        """The sorted content words and numbers; numbers and units stand for themselves, the paper's own name is left out."""
-        names = [t for t in tokens(title or "") if t not in self.common and not t[0].isdigit() and len(t) > 3]
-        out = []
-        for t in tokens(question):
-            if t[0].isdigit():
-                out.append(number(t))
-                continue
-            if any(t == n or len(t) > 4 and self.words.get(t, 0) < 20 and one_edit(t, n) for n in names):
-                continue
-            t = self.spelled(t)
-            if t not in STOP:
-                out.append(SAME.get(t, t))
-        return " ".join(sorted(out))
-
-
-def word_counts(texts: DataFrame, column: str) -> DataFrame:
-    """(w, n): how many rows hold each word of the column."""
+def parsed(records: DataFrame) -> DataFrame:
+    """(id, part, title, doc_id, tokens, named): the question's tokens, numbers by value, and the words of the paper's title that may be its name."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter[str] = Counter()
         for batch in batches:
-            for t in batch[column]:
-                counts.update({w for w in tokens(t) if not w[0].isdigit()})
-            if len(counts) > 300_000:
-                yield pd.DataFrame(list(counts.items()), columns=["w", "n"])
-                counts.clear()
-        yield pd.DataFrame(list(counts.items()), columns=["w", "n"])
+            out = batch[["id", "part", "doc_id"]].reset_index(drop=True)
+            titles = [p if p is not None else "" for p in batch["paper"]]
+            yield out.assign(
+                title=[title_key(t) for t in titles],
+                tokens=[[number(t) if t[0].isdigit() else t for t in tokens(q)] for q in batch["question"]],
+                named=[sorted({t for t in tokens(p) if len(t) > 3 and not t[0].isdigit()}) for p in titles],
+            )
 
-    return texts.where(F.col(column).isNotNull()).select(column).mapInPandas(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return records.mapInPandas(run, "id string, part string, doc_id string, title string, tokens array<string>, named array<string>")
 
 
-def title_words(titles: DataFrame) -> DataFrame:
-    """(key, w): the words of each paper's title in all its spellings, and an empty word for the paper itself."""
+def misspellings(counts: DataFrame) -> DataFrame:
+    """(w, v) of (w, n): each word that is one edit from a word MISSPELT times as frequent, with the most frequent such word.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Words meet by what is left of them when a letter is left out, an equi-join of distinct words, and are then compared."""
+
+    def gaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = {(k, w) for t in batch["paper"] if (k := title_key(t)) for w in ("", *tokens(t)) if not w[:1].isdigit()}
-            yield pd.DataFrame(sorted(rows), columns=["key", "w"])
+            rows = [(g, w, n) for w, n in zip(batch["w"], batch["n"]) if len(w) > 3 for g in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}]
+            yield pd.DataFrame(rows, columns=["gap", "w", "n"])
 
-    return titles.mapInPandas(run, "key string, w string").distinct()
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[one_edit(w, v) for w, v in zip(batch["w"], batch["v"])]]
 
+    frequent = counts.where(F.col("n") >= MISSPELT).mapInPandas(gaps, "gap string, w string, n long").select("gap", F.col("w").alias("v"), F.col("n").alias("m"))
+    pairs = counts.mapInPandas(gaps, "gap string, w string, n long").join(frequent, "gap").where(F.col("m") >= MISSPELT * F.col("n")).select("w", "v", "m").distinct()
+    return pairs.mapInPandas(near, "w string, v string, m long").groupBy("w").agg(F.max_by("v", F.struct("m", "v")).alias("v"))
 
-def fit_canoniser(records: DataFrame) -> Canoniser:
-    """Word statistics over all records. What is collected is bounded: a question or title gives at most its words, and a word
-    is kept only from a share of all rows on, at most SPELLED words and the words of 1 / NAMING titles. A paper counts once, however its title is spelled."""
-    titles = settle(title_words(records.where("paper is not null").select("paper").distinct()))
-    n_rows, n_titles = records.count(), titles.where("w = ''").count()
-    words = {r.w: r.n for r in word_counts(records, "question").where(F.col("n") >= max(20, 40 * n_rows / SPELLED)).collect()}
-    common = {r.w for r in titles.where("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(6, n_titles * NAMING)).collect()}
-    return Canoniser(words, common)
 
+def bags(rows: DataFrame) -> DataFrame:
+    """(id, part, title, doc_id, numbers, words) of ``parsed`` rows: the numbers of each question and its content words, spelled as the
+    corpus spells them, without those that name its own paper and those that carry no condition, in alphabetical order.
 
-def split_of(split) -> F.Column:
+    What is known of words, over all questions, is a table that the words of each question and title are joined with."""
+    used = F.filter(F.array_distinct("tokens"), lambda t: ~t.rlike("^[0-9]"))
+    uses = rows.select("named", F.explode(used).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum(F.array_contains("named", F.col("w")).cast("long")).alias("own"))
+    uses = settle(uses)
+    known = uses.join(misspellings(uses.select("w", "n")), "w", "left").select("w", "n", (F.col("own") >= NAMING * F.col("n")).alias("name"), "v")
+    asked = rows.select("id", F.explode(F.array_union(used, "named")).alias("w")).join(known, "w").groupBy("id").agg(F.collect_list(F.struct("w", "n", "name", "v")).alias("known"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            numbers, words = [], []
+            for toks, named, found in zip(batch["tokens"], batch["named"], batch["known"]):
+                about = {x["w"]: x for x in (found if found is not None else ())}
+                names = [w for w in named if w in about and about[w]["name"]]
+                own = []
+                for t in toks:
+                    if t[0].isdigit() or t in STOP or any(t == n or len(t) > 4 and about[t]["n"] <= about[n]["n"] and one_edit(t, n) for n in names):
+                        continue
+                    t = about[t]["v"] or t
+                    if t not in STOP:
+                        own.append(t)
+                numbers.append(sorted(t for t in toks if t[0].isdigit()))
+                words.append(sorted(own))
+            yield batch[["id", "part", "title", "doc_id"]].reset_index(drop=True).assign(numbers=numbers, words=words)
+
+    return rows.join(asked, "id", "left").mapInPandas(run, "id string, part string, title string, doc_id string, numbers array<string>, words array<string>")
+
+
+def rewordings(rows: DataFrame) -> DataFrame:
+    """(anchor, old, new, n): words, at most EXCHANGED, that stand for others, learned from questions of one paper with the same numbers.
+
+    What two such questions don't share is a rewording if the same exchange is seen in SEEN papers or more, or is of one word for
+    one that begins alike and is at most two edits away, as forms of a word are, and the rarest of its words
+    hardly ever stands anywhere else: at least SHARE of its questions have such a twin. Conditions and quantities are exchanged too,
+    between questions that differ, but they stand mostly in questions without a twin. The rarer side, ``old``, gives way to the
+    other; ``anchor`` is its rarest word. Questions meet their neighbours only, in groups of equal hashes, so what is joined
+    grows with the questions and not with their pairs."""
+    paper = F.when(F.col("title") != "", F.col("title")).otherwise(F.concat(F.lit("#"), F.lower(F.trim("doc_id"))))
+    each = settle(rows.select(paper.alias("paper"), "numbers", F.array_distinct("words").alias("words")).where("paper is not null and size(words) > 1").distinct())
+    often = each.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("m"))
+
+    def least(k: int) -> Column:
+        return F.array_min(F.transform("words", lambda w: F.xxhash64(F.lit(k), w)))
+
+    hashes = F.array(*[least(k) for k in range(HASHES)])
+    near = each.where("size(numbers) > 0").select("paper", "numbers", "words", F.posexplode(hashes).alias("k", "h"))
+    near = near.withColumn("other", F.lag("words").over(Window.partitionBy("paper", "numbers", "k", "h").orderBy("words"))).where("other is not null")
+    pairs = near.select("paper", "words", "other").distinct().select("paper", F.array_except("words", "other").alias("a"), F.array_except("other", "words").alias("b"), F.size(F.array_intersect("words", "other")).alias("same"))
+    pairs = pairs.where(F.size("a").between(1, EXCHANGED) & F.size("b").between(1, EXCHANGED) & (F.col("same") >= 2)).select("paper", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    one, two = F.element_at("a", 1), F.element_at("b", 1)
+    forms = (F.size("a") == 1) & (F.size("b") == 1) & (F.least(F.length(one), F.length(two)) > 3) & (F.left(one, F.lit(2)) == F.left(two, F.lit(2))) & (F.levenshtein(one, two) <= 2)
+    seen = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("paper").alias("papers")).where((F.col("papers") >= SEEN) | forms)
+    seen = seen.withColumn("id", F.xxhash64("a", "b"))
+    words = seen.select("id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("ws")), F.struct(F.lit(1).alias("side"), F.col("b").alias("ws")))).alias("x")).select("id", "x.side", F.explode("x.ws").alias("w"))
+    rare = words.join(often, "w").groupBy("id").agg(F.min(F.struct("m", "w", "side")).alias("r"))
+    found = seen.join(rare, "id").where(F.col("n") >= SHARE * F.col("r.m"))
+    first = F.col("r.side") == 0
+    return found.select(F.col("r.w").alias("anchor"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("old"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("new"), "n")
+
+
+def canonical(rows: DataFrame) -> DataFrame:
+    """(id, part, title, doc_id, bag): ``bags`` with what ``rewordings`` teaches put in its usual words, as one string, empty if nothing is left."""
+    rules = rewordings(rows)
+    mine = rows.select("id", "words", F.explode(F.array_distinct("words")).alias("anchor")).join(rules, "anchor").where(F.size(F.array_except("old", "words")) == 0)
+    mine = mine.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "old", "new")), asc=False).alias("rules"))
+    put = lambda words, r: F.when(F.size(F.array_except(r.old, words)) == 0, F.concat(F.filter(words, lambda w: ~F.array_contains(r.old, w)), r.new)).otherwise(words)
+    rows = rows.join(mine, "id", "left").withColumn("words", F.array_sort(F.aggregate(F.coalesce("rules", F.array().cast("array<struct<n:bigint,old:array<string>,new:array<string>>>")), F.col("words"), put)))
+    return rows.select("id", "part", "title", "doc_id", F.array_join(F.concat("numbers", "words"), " ").alias("bag"))
+
+
+def split_of(split) -> Column:
     """The split's name in one spelling; NULL for none and unknown ones."""
     clean = F.lower(F.trim(split))
     return F.coalesce(*[F.when(clean == k, v) for k, v in SPLITS.items()])
@@ -152,23 +180,11 @@ def records_of(benchmark: DataFrame, corpus_queries: DataFrame) -> DataFrame:
 
 
 def keyed(records: DataFrame) -> DataFrame:
-    """Adds ``keys``: a hash of paper and canonical question for each way in which the record names its paper; and ``title``.
-
-    Questions without content words after canonicalisation, and records that name no paper, have no keys."""
-    records = settle(records)
-    fit = fit_canoniser(records)
-    shared = records.sparkSession.sparkContext.broadcast((fit.words, fit.common))
-    made: list[Canoniser] = []
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not made:
-            made.append(Canoniser(*shared.value))
-        for batch in batches:
-            titles = [title_key(p) if p is not None else "" for p in batch["paper"]]
-            bags = [made[0].bag(q, p) for q, p in zip(batch["question"], batch["paper"])]
-            yield batch[["id", "part", "doc_id"]].assign(title=titles, bag=bags)
+    """(id, part, title, doc_id, keys): hashes of paper and canonical question, one for each way in which the record names its paper.
 
-    rows = records.mapInPandas(run, "id string, part string, doc_id string, title string, bag string")
+    The canonical question is that of ``tokens``, without case, punctuation and white space, then of ``bags`` and ``canonical``. Questions
+    without content words after that, and records that name no paper, have no keys."""
+    rows = canonical(settle(bags(settle(parsed(records)))))
     by_title = F.when(F.col("title") != "", F.xxhash64(F.lit("t"), "title", "bag"))
     by_id = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.lit("d"), F.lower(F.trim("doc_id")), "bag"))
     return rows.select("id", "part", "title", "doc_id", F.when(F.col("bag") != "", F.filter(F.array(by_title, by_id), lambda k: k.isNotNull())).alias("keys"))

@@ -1,4 +1,6 @@
-from lectern.llm.overlap import Canoniser, one_edit, overlap_counts, overlaps
+import random
+
+from lectern.llm.overlap import bags, misspellings, one_edit, overlap_counts, overlaps, parsed, records_of, rewordings
 
 BENCH = "id string, lexical_overlap double, split string, paper string, doc_id string, question string, must_contain array<string>, source_chunk int, created_at timestamp_ntz"
 CQ = "id string, paper string, question string, must_contain array<string>, type string, doc_id string"
@@ -12,11 +14,40 @@ def test_edits():
     assert one_edit("paper", "paaper") and one_edit("limit", "liimt") and one_edit("limit", "limt") and not one_edit("limit", "lmiti") and one_edit("a", "a")
 
 
-def test_bags():
-    c = Canoniser({"metallicity": 500, "campaign": 500}, {"on", "the", "jets", "of"})
-    bag = lambda q: c.bag(q, "On the jets of Fisukufi")
-    assert bag("How large is the error of the grid for Fisukufi at low metallicity if only 3 nm are used?") == bag("How big is the grid error for this paper at low metlalicity if only 3.0 nm are employed?")
-    assert bag("at 3 nm") != bag("at 4 nm") and bag("above the cloud base") != bag("below the cloud base")
+def bag(spark, rows):
+    made = bags(parsed(records_of(spark.createDataFrame(rows, BENCH), spark.createDataFrame([], CQ))))
+    return {r.id: (r.numbers, r.words) for r in made.collect()}
+
+
+def test_bags(spark):
+    rows = [b(str(i), "train", "How large is the metallicity error of the grid for Fisukufi at 3 nm?") for i in range(25)]
+    rows += [b("x", "test", "At 3.0 nm, how LARGE is this paper's  grid error, of the metlalicity?"), b("y", "test", "At 4 nm how large is the grid error of the metallicity of Fisukuf?"), b("z", "test", "Above the cloud base?"), b("u", "val", "Below the cloud base?")]
+    got = bag(spark, rows)
+    assert got["x"] == got["1"] == (["3.0"], ["error", "grid", "large", "metallicity", "nm"]) and got["y"] == (["4.0"], got["1"][1])
+    assert got["z"] != got["u"]
+    counts = spark.createDataFrame([("metallicity", 50), ("metlalicity", 1), ("limit", 50), ("limits", 40), ("at", 9)], "w string, n long")
+    assert {(r.w, r.v) for r in misspellings(counts).collect()} == {("metlalicity", "metallicity")} and misspellings(counts.limit(0)).count() == 0
+
+
+def test_rewordings_are_learned_and_conditions_are_none(spark):
+    rng = random.Random(3)
+    whats, where = [f"quantity{c}" for c in "abcdefghijkl"], ["below the cloud base", "above the tropopause", "near the equator", "over the polar cap"]
+    rows = []
+    for p in range(60):
+        what, place = rng.choice(whats), rng.choice(where)
+        q = f"How large is the {what} error of the model {place} when {p} layers are used?"
+        rows.append(b(f"t{p:02d}", "train", q, f"Title {chr(97 + p // 26)}{chr(97 + p % 26)}", None))
+        if p < 15:
+            other = q.replace("large", "big").replace("used", "employed")
+        elif p < 30:
+            other = q.replace(place, rng.choice([x for x in where if x != place]))
+        else:
+            continue
+        rows.append(b(f"v{p:02d}", "val", other, rows[-1][3], None))
+    bench, cq = spark.createDataFrame(rows, BENCH), spark.createDataFrame([], CQ)
+    learned = {(tuple(r.old), tuple(r.new)) for r in rewordings(bags(parsed(records_of(bench, cq)))).collect()}
+    assert learned == {(("big", "employed"), ("large", "used"))}
+    assert {(r.id_train, r.id_eval) for r in overlaps(bench, cq).collect()} == {(f"t{p:02d}", f"v{p:02d}") for p in range(15)}
 
 
 def test_pairs(spark):
@@ -31,16 +62,19 @@ def test_pairs(spark):
 
 
 def test_a_title_in_many_spellings_is_one_paper(spark):
-    from lectern.llm.overlap import fit_canoniser
-
     t = "On the jets of Fisukufi"
     forms = [t, t.upper(), t.lower(), t + ".", " " + t, t + " ", t.replace(" ", "  "), t.upper() + "."]
     bench = [b(f"f{i}", "train", f"Which data set number {i} is used?", f) for i, f in enumerate(forms)] + [b("b1", "train", "How large is the grid error of Fisukufi?", forms[1], None), b("b2", "val", "How large is the grid error of this paper?", t, None)]
     bench = spark.createDataFrame(bench, BENCH)
-    assert "fisukufi" not in fit_canoniser(bench).common
     assert {(r.id_train, r.id_eval) for r in overlaps(bench, spark.createDataFrame([], CQ)).collect()} == {("b1", "b2")}
-    many = spark.createDataFrame([b(str(i), "train", "q", f"On the jets of {c * 5}") for i, c in enumerate("abcdefg")], BENCH)
-    assert fit_canoniser(many).common == {"on", "the", "jets", "of"}
+
+
+def test_a_word_is_a_name_at_any_size(spark):
+    for times in (1, 40):
+        rows = [b(f"{p}-{i}", "train", f"How large is the grid error of {n} for jets?", f"On the jets of {n}", None) for p, n in enumerate(["Fisukufi", "Lorosige", "Kovopela"]) for i in range(times)]
+        rows += [b(f"o{i}", "train", "How fast are the jets?", "Elsewhere", None) for i in range(3 * times)]
+        got = bag(spark, rows)
+        assert got["0-0"] == got["2-0"] == ([], ["error", "grid", "jets", "large"])
 
 
 def test_counts_agree_with_pairs(spark):
