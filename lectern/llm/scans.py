@@ -6,7 +6,9 @@ that the pages before and after lend it."""
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,19 +42,25 @@ d: cl
 """
 BREAKS = "-‐‑¬­"
 
-#: Lines looked at on each edge, pages a block of a paper holds, most words of the vocabulary that is shared.
+#: Lines that an edge of a page has, pages a block of a paper holds, most words of the vocabulary that is sent to the tasks.
 EDGE, BLOCK, WORDS = 4, 256, 300_000
+#: How often a word must stand, and how many times as often as another, for that one to be a misreading of it; up to how often a word
+#: that can be no word may stand; more than how often each part of a word with a hyphen of its own stands alone.
+PRINTED, TIMES, ODD, ALONE = 5, 8, 3, 4
+#: Different words and lines that a task counts before it hands the counts on.
+HELD = 300_000
 
 _PRINTED = {a.strip(): b.split() for a, _, b in (x.partition(":") for x in MISREAD.strip().splitlines())}
 _HARD = "01569@¢|"
 _STRIP = ".,;:()[]{}\"'?!“”‘’«»¿¡~–—*•"
+_WORD_STRIP = _STRIP + "-/%#&@\\|"
 _FOLD = str.maketrans({"0": "o", "1": "l", "!": "l", "|": "l", "i": "l", "5": "s", "9": "g", "6": "b", "@": "a", "¢": "e", "c": "e", "f": "t", "h": "b"})
 _ROMAN = re.compile(r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
 _NUMBER = r"[0-9lIO|oSbBgi]*[0-9][0-9lIO|oSbBgi]*|[lIO|]{1,3}|[ivxlcdmIVXLCDM]+"
 _PAGE_NO = re.compile(rf"[\W_]*(?:(\w{{1,6}})[\s.:]+)?[\W_]*({_NUMBER})[\W_]*(?:(?:\w{{1,3}}|/)\s+({_NUMBER}))?[\W_]*")
 _PAGE_WORDS = {"page", "p", "pg", "pp", "seite", "s", "página", "pagina", "pág", "folio"}
 _LEADING, _TRAILING = re.compile(r"^\W*([0-9lIO|]+)\s{2,}(?=\S)"), re.compile(r"\|\s*([0-9lIO|]+)\W*$")
-_NAMES = re.compile(r"\s*[^\W\d_][\w.\- ]{2,30} et a[l1|]\.?\s*")
+_ACROSS = re.compile(rf"\S+[{BREAKS}]\s*\n\s*\S+")
 _DIGITS = str.maketrans("lI|iOoSbBg", "1111005689")
 
 
@@ -90,37 +98,23 @@ def edge_number(line: str) -> int | None:
     return numeral(m.group(1)) if m else None
 
 
-def edge_keys(line: str) -> list[str]:
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def edge_keys(line: str) -> list[int]:
     """Three keys of a line, each of two of its thirds: lines that differ within one third share a key."""
     text = fold(_TRAILING.sub("", _LEADING.sub("", line)))
     if len(text) < 6:
         return []
     a, b = len(text) // 3, 2 * len(text) // 3
     x, y, z = text[:a], text[a:b], text[b:]
-    return [f"{x}|{y}|", f"{x}||{z}", f"|{y}|{z}"]
-
-
-def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for doc, page, text in zip(batch["doc_id"], batch["page_number"], batch["text"]):
-            lines = [(n, x) for n, x in enumerate(text.split("\n"), 1) if x.strip()]
-            for side, part in ((0, lines[:EDGE]), (1, lines[::-1][:EDGE])):
-                for depth, (n, x) in enumerate(part):
-                    words = x.split()
-                    last = words[-1] if words[-1][-1] in BREAKS and len(words[-1]) > 1 else None
-                    bare = page_value(x)
-                    rows.append((doc, page, n, side, depth, bare is not None, bare if bare is not None else edge_number(x), norm_py(x), edge_keys(x) if bare is None else [], words[0], last, bool(_NAMES.fullmatch(x)), bool(x.isupper() and len(words) > 2 and len(x) > 15), bool(re.match(r"\s*[^\W\d_]", x) and x.strip()[0].isupper() and x.strip()[-1] not in ".!?;,-‐¬­")))
-        yield pd.DataFrame(rows, columns=["doc_id", "page_number", "line_no", "side", "depth", "bare", "value", "norm", "keys", "head", "tail", "names", "caps", "open"])
+    return [digest(k) for k in (f"{x}|{y}|", f"{x}||{z}", f"|{y}|{z}")]
 
 
-def norm_py(line: str) -> str:
-    """Lower-case letters only; agrees with ``norm_column``."""
-    return "".join(c for c in line.lower() if "a" <= c <= "z")
-
-
-def norm_column(line: Column) -> Column:
-    return F.regexp_replace(F.lower(line), "[^a-z]", "")
+def norm(line: str) -> str:
+    """Lower-case letters only."""
+    return re.sub("[^a-z]+", "", line.lower())
 
 
 def scanned(pages: DataFrame) -> DataFrame:
@@ -129,25 +123,82 @@ def scanned(pages: DataFrame) -> DataFrame:
     return latest_by(rows, ["doc_id", "page_number"], "scanned_at", ["text"]).drop("scanned_at")
 
 
-def vocabulary(pages: DataFrame, most: int = WORDS) -> dict[str, int]:
-    """Counts of the words of all pages, down to the frequency total / ``most``: a word that rare or rarer is left
-    out, so at most ``most`` words remain whatever the corpus. Words broken at a line's end do not count."""
-    whole = F.regexp_replace("text", rf"\S+[{BREAKS}]\s*\n\s*\S+", " ")
-    token = F.explode(F.split(F.lower(whole), r"\s+"))
-    words = pages.select(token.alias("w")).select(F.regexp_replace("w", r"^[\p{P}~|]+|[\p{P}~|]+$", "").alias("w")).where("w rlike '\\\\p{L}'")
-    counts = settle(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return {r.w: r.n for r in counts.where(F.col("n") > total / most).collect()}
+def tallied(texts: DataFrame) -> DataFrame:
+    """(word, key, n, inside) of distinct page texts: the words, and how often each stands; and the lines, by a hash of their letters, that
+    stand at an edge of a page and inside pages too, and how often. Copies of a page are to count once. Words broken at a line's end
+    do not count. Counted within the tasks before the shuffle; every word is kept."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words: Counter[str] = Counter()
+        outer: Counter[str] = Counter()
+        inner: Counter[str] = Counter()
+
+        def flush() -> pd.DataFrame:
+            rows = [(True, w, n, 0) for w, n in words.items() if any(map(str.isalpha, w))]
+            rows += [(False, f"{digest(k):x}", outer[k], inner[k]) for k in {*outer, *inner}]
+            for c in (words, outer, inner):
+                c.clear()
+            return pd.DataFrame(rows, columns=["word", "key", "n", "inside"])
+
+        for batch in batches:
+            for text in batch["text"]:
+                words.update(w for t in _ACROSS.sub(" ", text).lower().split() if (w := t.strip(_WORD_STRIP)))
+                lines = [x for x in text.split("\n") if x.strip()]
+                outer.update(k for x in (*lines[:EDGE], *lines[EDGE:][-EDGE:]) if (k := norm(x)))
+                inner.update(k for x in lines[EDGE:-EDGE] if (k := norm(x)))
+            if len(words) + len(outer) + len(inner) > HELD:
+                yield flush()
+        yield flush()
+
+    counts = texts.mapInPandas(run, "word boolean, key string, n long, inside long").groupBy("word", "key").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"))
+    return counts.where("word or n > 0 and inside > 1 and inside > 0.25 * n")
+
+
+def readings(word: str) -> Iterator[set[str]]:
+    """What a word may have been in print, the likelier first: its signs that stand in no word read as letters; then one, then two
+    confusions of letters undone."""
+    tries = {word}
+    hard = [c for c in _HARD if c in word]
+    for c in hard:
+        tries = {t.replace(c, p) for t in tries for p in _PRINTED[c]}
+        if c == "1" and word.count("1") > 1:
+            tries |= set(_each(word, "1"))
+    if hard:
+        tries = {t for t in tries if not any(c in _HARD for c in t)} or tries
+    yield tries if hard else set()
+    ring = tries
+    for _ in range(1 if len(word) < 6 else 2):
+        ring = {t[:i] + p + t[i + len(a) :] for t in ring for a, ps in _SOFT for i in _finds(t, a) for p in ps}
+        yield ring
+
+
+def readable(word: str) -> bool:
+    """Whether a word can be a misreading at all: three signs or more, a letter among them, no quantity."""
+    return len(word) >= 3 and any(map(str.isalpha, word)) and not re.fullmatch(r"\d+e\d+|\d+[a-z]{1,3}\d?", word)
+
+
+def odd(word: str, n: int) -> str | None:
+    """The reading of a word that stands at most ODD times and has signs that no word has there."""
+    if any(c in _HARD for c in word) and len(word) >= 4 and n <= ODD and re.search(r"[@¢|]|[^\W\d_][0-9][^\W\d_]|^[0-9][^\W\d_]{3,}|[^\W\d_]{3,}[015]$", word) and not re.fullmatch(r".*[a-z]\d+", word):
+        return max(next(readings(word)))
+    return None
 
 
 class Repairer:
-    """Word decisions by the corpus vocabulary."""
+    """Word decisions by the corpus vocabulary: ``words`` are the frequent words with their counts, ``more`` what is known of others that
+    the page at hand asks for, (count, printed form)."""
 
     def __init__(self, words: dict[str, int]):
-        self.words, self.known = words, {}
+        self.words, self.known, self.more = words, {}, {}
+
+    def count(self, word: str) -> int:
+        n = self.words.get(word)
+        return n if n is not None else self.more.get(word, (0, None))[0]
 
     def printed(self, word: str) -> str | None:
         """What a misread word (lower case, no punctuation around it) was in print; None if it isn't misread."""
+        if word in self.more:
+            return self.more[word][1]
         if word not in self.known:
             if len(self.known) > 500_000:
                 self.known.clear()
@@ -155,31 +206,31 @@ class Repairer:
         return self.known[word]
 
     def _printed(self, word: str) -> str | None:
-        if len(word) < 3 or not any(c.isalpha() for c in word) or re.fullmatch(r"\d+e\d+|\d+[a-z]{1,3}\d?", word):
+        if not readable(word):
             return None
         words, n = self.words, self.words.get(word, 0)
-        enough = max(5, 8 * n)
-        hard = any(c in _HARD for c in word)
-        tries = {word}
-        if hard:
-            for c in _HARD:
-                if c in word:
-                    tries = {t.replace(c, p) for t in tries for p in _PRINTED[c]}
-                    if c == "1" and word.count("1") > 1:
-                        tries |= {w for t in [word] for w in _each(t, "1")}
-            tries = {t for t in tries if not any(c in _HARD for c in t)} or tries
-            best = max(tries, key=lambda t: words.get(t, 0))
-            if words.get(best, 0) >= enough:
-                return best
-        ring = tries
-        for _ in range(1 if len(word) < 6 else 2):
-            ring = {t[:i] + p + t[i + len(a) :] for t in ring for a, ps in _SOFT for i in _finds(t, a) for p in ps}
-            best = max(ring, key=lambda t: words.get(t, 0), default="")
-            if words.get(best, 0) >= enough:
+        for some in readings(word):
+            best = max(some, key=lambda t: (words.get(t, 0), t), default="")
+            if words.get(best, 0) >= max(PRINTED, TIMES * n):
                 return best
-        if hard and len(word) >= 4 and n <= 3 and re.search(r"[@¢|]|[^\W\d_][0-9][^\W\d_]|^[0-9][^\W\d_]{3,}|[^\W\d_]{3,}[015]$", word) and not re.fullmatch(r".*[a-z]\d+", word):
-            return max(tries)
-        return None
+        return odd(word, n)
+
+    def asks(self, tokens: list[str]) -> set[str]:
+        """The words, and parts of words, of tokens of which the frequent words tell nothing."""
+        out = set()
+        for t in tokens:
+            low = t.strip(_STRIP).lower()
+            if low not in self.words:
+                out.add(low)
+                if "-" in low or "/" in low:
+                    out.update(p for p in re.split("[-/]", low) if p not in self.words)
+        return {w for w in out if readable(w)}
+
+    def asks_broken(self, token: str, follows: str) -> set[str]:
+        """The same of the words that a token at a line's end may make with the next."""
+        a, b = token[:-1].strip(_STRIP), follows.strip(_STRIP)
+        part, first = re.split(r"[-‐‑]", a)[-1], re.split(r"[-‐‑/]", b)[0]
+        return self.asks([part, first, part + first, f"{part}-{first}", a + b, f"{a}-{b}", token[:-1] + follows])
 
     def token(self, token: str) -> str | None:
         """The printed form of a token, or None; a token's hyphenated parts are judged one by one."""
@@ -206,12 +257,12 @@ class Repairer:
             return False
         first = re.split(r"[-‐‑/]", b)[0]
         joined, apart = (part + first).lower(), f"{part}-{first}".lower()
-        whole, own = self.words.get(joined, 0), self.words.get(apart, 0)
+        whole, own = self.count(joined), self.count(apart)
         if not whole and (p := self.printed(joined)):
-            whole = self.words.get(p, 0)
+            whole = self.count(p)
         if not own and (p := self.token(apart)):
-            own = self.words.get(p, 0)
-        full = self.words.get(f"{a}{b}".lower(), 0), self.words.get(f"{a}-{b}".lower(), 0)
+            own = self.count(p)
+        full = self.count(f"{a}{b}".lower()), self.count(f"{a}-{b}".lower())
         whole, own = max(whole, full[0]), max(own, full[1])
         if whole or own:
             return whole > own
@@ -219,7 +270,7 @@ class Repairer:
             return True
         if b[0].isupper():
             return False
-        return not (self.words.get(part.lower(), 0) > 4 and self.words.get(first.lower(), 0) > 4)
+        return not (self.count(part.lower()) > ALONE and self.count(first.lower()) > ALONE)
 
 
 def _finds(text: str, part: str) -> list[int]:
@@ -227,47 +278,63 @@ def _finds(text: str, part: str) -> list[int]:
 
 
 def _each(word: str, sign: str) -> list[str]:
-    """All readings of a word in which each ``sign`` is read on its own (up to four signs)."""
-    out = [""]
+    """All readings of a word in which each ``sign`` is read on its own; past ten signs of one word, which are no word, only the first reading."""
+    out, left = [""], 10
     for c in word:
-        out = [o + p for o in out for p in (_PRINTED[c] if c == sign else _PRINTED.get(c, [c])[:1] if c in _HARD else [c])]
-        if len(out) > 16:
-            return []
+        left -= c == sign
+        out = [o + p for o in out for p in (_PRINTED[c][: 1 if left < 0 else None] if c == sign else _PRINTED.get(c, [c])[:1] if c in _HARD else [c])]
     return out
 
 
 _SOFT = [(a, ps) for a, ps in _PRINTED.items() if a not in _HARD]
 
 
-def page_facts(pages: DataFrame) -> DataFrame:
-    """(doc_id, page_number, page_no array<int>, running array<int>, head, tail) of pages made by ``scanned``.
+def edges_of(pages: DataFrame, shared) -> DataFrame:
+    """A row a line at an edge of pages made by ``scanned``: its place, number, keys, first and last token; and, of side 2, a row a word of a page,
+    in ``head``, of which the frequent words ``shared`` tell nothing."""
+    made: list[Repairer] = []
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not made:
+            made.append(Repairer(shared.value))
+        for batch in batches:
+            rows = []
+            for doc, page, text in zip(batch["doc_id"], batch["page_number"], batch["text"]):
+                lines = [(n, x) for n, x in enumerate(text.split("\n"), 1) if x.strip()]
+                for side, part in ((0, lines[:EDGE]), (1, lines[::-1][:EDGE])):
+                    for depth, (n, x) in enumerate(part):
+                        words = x.split()
+                        last = words[-1] if words[-1][-1] in BREAKS and len(words[-1]) > 1 else None
+                        bare = page_value(x)
+                        rows.append((doc, page, n, side, depth, bare is not None, bare if bare is not None else edge_number(x), f"{digest(norm(x)):x}", edge_keys(x) if bare is None else [], words[0], last))
+                tokens = [x.split() for _, x in lines]
+                asked = made[0].asks(dict.fromkeys(t for x in tokens for t in x))
+                for x, y in zip(tokens, tokens[1:]):
+                    if x[-1][-1] in BREAKS and len(x[-1]) > 1:
+                        asked |= made[0].asks_broken(x[-1], y[0])
+                rows += [(doc, page, 0, 2, 0, False, None, None, None, w, None) for w in sorted(asked)]
+            yield pd.DataFrame(rows, columns=["doc_id", "page_number", "line_no", "side", "depth", "bare", "value", "norm", "keys", "head", "tail"])
+
+    return pages.mapInPandas(run, "doc_id string, page_number int, line_no int, side int, depth int, bare boolean, value int, norm string, keys array<bigint>, head string, tail string")
+
+
+def page_facts(edges: DataFrame, common: DataFrame) -> DataFrame:
+    """(doc_id, page_number, page_no array<int>, running array<int>, head, tail) of the lines of ``edges_of``.
 
     Page numbers: lines of a number whose distance from the page's place returns on another page of the paper (a paper may count anew within). Running lines:
     edge lines that return on another page of the paper, compared with tolerance (``edge_keys``), unless the corpus holds such lines
-    inside pages too; or edge lines that carry the page's number. Only lines with nothing but noise between them and the edge count.
-    ``head`` is the first token of the page's text, ``tail`` its last one if it ends in a break mark."""
-    edges = settle(pages.mapInPandas(_edges, "doc_id string, page_number int, line_no int, side int, depth int, bare boolean, value int, norm string, keys array<string>, head string, tail string, names boolean, caps boolean, open boolean"))
+    inside pages too (``common``, by norm); or edge lines that carry the page's number. Only lines with nothing but noise between them and
+    the edge count. ``head`` is the first token of the page's text, ``tail`` its last one if it ends in a break mark."""
     place = F.col("value") - F.col("page_number")
-    offsets = edges.where("value is not null").groupBy("doc_id", place.alias("gap")).agg(F.countDistinct("page_number").alias("n")).where("n > 1").drop("n")
-    again = edges.select("doc_id", "page_number", F.explode("keys").alias("key")).groupBy("doc_id", "key").agg(F.countDistinct("page_number").alias("n")).where("n > 1")
-    hits = edges.select("doc_id", "page_number", "line_no", F.explode("keys").alias("key")).join(again, ["doc_id", "key"]).groupBy("doc_id", "page_number", "line_no").agg(F.max("n").alias("again"))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    inner = pages.select(F.explode(F.when(F.size(lines) > 2 * EDGE, F.slice(lines, EDGE + 1, F.greatest(F.lit(0), F.size(lines) - 2 * EDGE)))).alias("x")).select(norm_column(F.col("x")).alias("norm")).where("norm <> ''")
-    inner = inner.groupBy("norm").agg(F.count(F.lit(1)).alias("inside")).where("inside > 1")
-    outer = edges.where("size(keys) > 0").groupBy("norm").agg(F.count(F.lit(1)).alias("outside"))
-    seen = outer.join(inner, "norm").where(F.col("inside") > 0.25 * F.col("outside")).select("norm", F.lit(True).alias("common"))
-    rows = edges.withColumn("gap", place).join(offsets.withColumn("numbered", F.lit(True)), ["doc_id", "gap"], "left").join(hits, ["doc_id", "page_number", "line_no"], "left").join(seen, "norm", "left")
+    more = F.min("page_number") < F.max("page_number")  # on more than one page
+    offsets = edges.where("value is not null").groupBy("doc_id", place.alias("gap")).agg(more.alias("numbered")).where("numbered")
+    keyed = edges.select("doc_id", "page_number", "line_no", F.explode("keys").alias("key"))
+    again = keyed.groupBy("doc_id", "key").agg(more.alias("again")).where("again").drop("again")
+    hits = keyed.join(again, ["doc_id", "key"], "left_semi").select("doc_id", "page_number", "line_no").distinct().withColumn("again", F.lit(True))
+    rows = edges.withColumn("gap", place).join(offsets, ["doc_id", "gap"], "left").join(hits, ["doc_id", "page_number", "line_no"], "left").join(common.select("norm").withColumn("common", F.lit(True)), "norm", "left")
     numbered = F.coalesce("numbered", F.lit(False))
-    returns = F.coalesce((F.col("again") > 1) & F.col("common").isNull(), F.lit(False))
-    rows = rows.withColumn("kind", F.when(F.col("bare") & numbered, 1).when(~F.col("bare") & (numbered | returns | F.col("names") | F.col("caps")), 2).otherwise(0))
-    rows = settle(rows.select("doc_id", "page_number", "line_no", "side", "depth", "head", "tail", "names", "open", "kind"))
-    # headers that take turns: where all pages of one parity name the authors and nothing else returns, the few others carry the title
-    turns = rows.where("side = 0 and kind = 2").groupBy("doc_id").agg(F.min(F.when(F.col("names"), F.col("page_number") % 2)).alias("x"), F.max(F.when(F.col("names"), F.col("page_number") % 2)).alias("y"), F.max(~F.col("names")).alias("title")).where("x = y and not title").select("doc_id", (1 - F.col("x")).alias("parity"))
-    first = rows.where("side = 0 and kind = 0").groupBy("doc_id", "page_number").agg(F.min("depth").alias("top"))
-    rows = rows.join(turns, "doc_id", "left").join(first, ["doc_id", "page_number"], "left")
-    turned = (F.col("side") == 0) & (F.col("kind") == 0) & (F.col("depth") == F.col("top")) & (F.col("page_number") > 1) & (F.col("page_number") % 2 == F.col("parity")) & F.col("open")
-    kind = F.when(F.coalesce(turned, F.lit(False)), 2).otherwise(F.col("kind"))
-    rows = rows.select("doc_id", "page_number", "line_no", "side", "depth", "head", "tail", kind.alias("kind"))
+    returns = F.coalesce(F.col("again") & F.col("common").isNull(), F.lit(False))
+    rows = rows.withColumn("kind", F.when(F.col("bare") & numbered, 1).when(~F.col("bare") & (numbered | returns), 2).otherwise(0))
     by = rows.groupBy("doc_id", "page_number").agg(F.collect_list(F.struct("side", "depth", "line_no", "kind", "head", "tail")).alias("e"))  # at most 2 * EDGE entries
 
     def side(n: int) -> Column:
@@ -284,6 +351,42 @@ def page_facts(pages: DataFrame) -> DataFrame:
     return by.select("doc_id", "page_number", pick(1).alias("page_no"), pick(2).alias("running"), F.get("a", "an").getField("head").alias("head"), F.get("b", "bn").getField("tail").alias("tail"))
 
 
+def lexicon(asked: DataFrame, counts: DataFrame, shared, floor: float) -> DataFrame:
+    """(w, n, printed) of the words asked for that are not among the frequent words ``shared``, all of which stand more than ``floor`` times:
+    how often each stands, and what it was in print if it is misread. Exact: readings that are too rare to be frequent words
+    are joined with the counts of all words."""
+    made: list[Repairer] = []
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not made:
+            made.append(Repairer(shared.value))
+        words = made[0].words
+        for batch in batches:
+            rows = []
+            for w, n in zip(batch["w"], batch["n"]):
+                enough = max(PRINTED, TIMES * n)
+                for stage, some in enumerate(readings(w)):
+                    best = max(some, key=lambda t: (words.get(t, 0), t), default="")
+                    if words.get(best, 0) >= enough:
+                        rows.append((w, n, stage, best, words[best]))
+                        break
+                    if floor >= enough:
+                        rows += [(w, n, stage, t, None) for t in some]
+                rows.append((w, n, 9, odd(w, n), 0))
+            yield pd.DataFrame(rows, columns=["w", "n", "stage", "printed", "m"])
+
+    own = asked.select("w").distinct().join(counts.select(F.col("key").alias("w"), "n"), "w", "left").select("w", F.coalesce("n", F.lit(0)).alias("n"))
+    tried = own.mapInPandas(run, "w string, n long, stage int, printed string, m long")
+    sure = tried.where("m is not null")
+    if floor >= PRINTED:
+        tried = settle(tried)
+        rare = counts.where((F.col("n") >= PRINTED) & (F.col("n") <= floor)).select(F.col("key").alias("printed"), F.col("n").alias("m"))
+        found = tried.where("m is null").drop("m").join(rare, "printed").where(F.col("m") >= TIMES * F.col("n"))
+        sure = tried.where("m is not null").unionByName(found)
+    best = sure.groupBy("w").agg(F.max("n").alias("n"), F.min_by("printed", F.struct("stage", -F.col("m"), "printed")).alias("printed"))
+    return best.where("n > 0 or printed is not null")
+
+
 def neighbours(facts: DataFrame) -> DataFrame:
     """Adds ``next_head`` and ``last_tail``: the head of the paper's next page that has text, the tail of the one before.
 
@@ -309,9 +412,9 @@ def _paragraph_ends(lines: list[str]) -> list[bool]:
     return ends
 
 
-def _repair(words: dict[str, int], row) -> tuple[list[tuple[int, str]], list[tuple[bool, str]]]:
+def _repair(fixer: Repairer, row) -> tuple[list[tuple[int, str]], list[tuple[bool, str]]]:
     """(line_no, noise) of a page, and its repaired parts with whether each begins a paragraph."""
-    fixer: Repairer = words
+    fixer.more = {x["w"]: (x["n"], x["printed"]) for x in (row.more if row.more is not None else ())}
     lines = row.text.split("\n")
     drop = {**{n: "running" for n in (row.running if row.running is not None else [])}, **{n: "page_no" for n in (row.page_no if row.page_no is not None else [])}}
     noise = sorted(drop.items())
@@ -390,11 +493,34 @@ def _like(token: str, fixed: str) -> str:
 def repaired(pages: DataFrame) -> DataFrame:
     """(doc_id, page_number, noise array<struct<line_no int, noise string>>, parts array<struct<fresh boolean, text string>>).
 
-    Empty pages have no noise and no parts; papers of one page have no running lines but those that carry the page's
-    number; very long pages are read whole. Duplicate scans count once."""
+    The vocabulary is counted over all different pages. What is sent to the tasks are its frequent words, at most WORDS whatever the corpus; of
+    all others a page gets what it asks for by joins, so the result is that of the whole vocabulary. Empty pages have no noise and
+    no parts; papers of one page have no running lines; very long pages are read whole. Duplicate scans count once."""
     once = settle(scanned(pages))
-    words = once.sparkSession.sparkContext.broadcast(vocabulary(once))
-    rows = once.join(neighbours(settle(page_facts(once))), ["doc_id", "page_number"], "left").select("doc_id", "page_number", "text", "page_no", "running", "next_head", "last_tail")
+    tally = settle(tallied(once.select("text").distinct()))
+    counts = tally.where("word")
+    floor = (counts.agg(F.sum("n")).first()[0] or 0) / WORDS
+    words = once.sparkSession.sparkContext.broadcast({r.key: r.n for r in counts.where(F.col("n") > floor).select("key", "n").collect()})
+    lines = settle(edges_of(once, words))
+    edges = lines.where("side < 2")
+    near = neighbours(settle(page_facts(edges, tally.where("not word").select(F.col("key").alias("norm")))))
+    if floor < 1:  # every word is a frequent one
+        near = near.withColumn("more", F.lit(None).cast("array<struct<w:string,n:bigint,printed:string>>"))
+    else:
+        near = settle(near)
+
+        def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            fixer = Repairer(words.value)
+            for batch in batches:
+                yield pd.DataFrame([(d, p, w) for d, p, a, b in zip(*(batch[c] for c in batch.columns)) for w in fixer.asks_broken(a, b)], columns=["doc_id", "page_number", "w"])
+
+        here = "doc_id string, page_number int, w string"
+        ends = near.where("tail is not null and next_head is not null").select("doc_id", "page_number", "tail", "next_head").mapInPandas(over, here)
+        starts = near.where("last_tail is not null and head is not null").select("doc_id", "page_number", "last_tail", "head").mapInPandas(over, here)
+        asked = lines.where("side = 2").select("doc_id", "page_number", F.col("head").alias("w")).unionByName(ends).unionByName(starts).distinct()
+        more = asked.join(lexicon(asked, counts, words, floor), "w").groupBy("doc_id", "page_number").agg(F.collect_list(F.struct("w", "n", "printed")).alias("more"))
+        near = near.join(more, ["doc_id", "page_number"], "left")
+    rows = once.join(near, ["doc_id", "page_number"], "left").select("doc_id", "page_number", "text", "page_no", "running", "next_head", "last_tail", "more")
     made: list[Repairer] = []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

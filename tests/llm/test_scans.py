@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from lectern.llm.scans import Repairer, fold, numeral, page_noise, page_value, paragraphs
 
 KIND = "doc_id string, page_number int, text string, scanned_at timestamp_ntz"
@@ -47,6 +49,30 @@ def test_noise(pages):
 def test_paragraphs(spark, pages):
     rows = paragraphs(pages).where("doc_id = 'd0'").collect()
     text = " ".join(r.text for r in rows)
-    assert "upper layers the retrieval" not in text or "lay-" not in text
+    assert "lay-" not in text and "upper layers the retrieval" in text
     assert "Running" not in text and "Page" not in text and "layers" in text
     assert paragraphs(spark.createDataFrame([], KIND)).count() == 0 and page_noise(spark.createDataFrame([], KIND)).count() == 0
+
+
+def found(pages):
+    return {tuple(r) for r in page_noise(pages).collect()}
+
+
+def test_copies_change_nothing(spark, data):
+    pages = spark.read.parquet(data.replace("0.001", "0.01") + "/raw_pages.parquet")
+    ten = pages.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("doc_id", F.concat("doc_id", F.lit("/"), "k")).drop("k")
+    once = found(pages)
+    assert {(d.split("/")[0], *rest) for d, *rest in found(ten) if d.endswith("/7")} == once and len(once) > 50
+
+
+def test_rare_words_are_looked_up_where_few_are_sent(spark, data, monkeypatch):
+    pages = spark.read.parquet(data.replace("0.001", "0.01") + "/raw_pages.parquet")
+    want = found(pages)
+    for most in (20_000, 1_000):  # words that stand 6, and 120 times and less, are not sent
+        monkeypatch.setattr("lectern.llm.scans.WORDS", most)
+        assert found(pages) == want
+
+
+def test_one_page_repeats_nothing(spark):
+    page = [("d", 1, "Smith et al.\nTHE FIRST LINE OF A PAGE IN CAPITALS\nthe upper layer is local and close\nof the layer", None)]
+    assert found(spark.createDataFrame(page, KIND)) == set()
