@@ -63,10 +63,6 @@ class PairIndexEncoder:
                 where.setdefault(r, []).append(i)
         active = list(where)
         heapq.heapify(active)
-        left = {}  # rank -> its pair
-        for pair, r in rank.items():
-            if r in where:
-                left[r] = pair
         while active:
             r = heapq.heappop(active)
             new = made[r]
