@@ -5,30 +5,34 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
+import ahocorasick
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Letters that look like a Latin letter, as "latin: others". The first others are drawn
 # alike in common type; those after a bar only resemble it.
 LOOKALIKES = """
 a: а | ɑ
-c: с ϲ ᴄ
-d: ԁ
+b: | Ꮟ Ь
+c: с ϲ ᴄ ⲥ
+d: ԁ | Ꮷ
 e: е | ҽ
 g: ɡ | ց
-h: һ | հ
-i: і | ι ı ɩ
+h: һ | հ Ꮒ
+i: і | ι ı ɩ Ꭵ
 j: ј ϳ
 k: | κ к
 l: ӏ | ǀ
 m: | м ᴍ
 n: | ո
-o: о ο օ ᴏ | σ
-p: р | ρ
+o: о ο օ ᴏ ⲟ | σ
+p: р | ρ ⲣ
 q: ԛ | գ զ
 r: | г ᴦ
 s: ѕ ꜱ
@@ -36,32 +40,34 @@ u: ᴜ | υ ս
 v: ѵ ᴠ | ν
 w: ԝ ᴡ | ѡ
 x: х | χ
-y: у | γ ү ყ
+y: у | γ ү ყ Ꭹ
 z: ᴢ
-A: А Α
-B: В Β
-C: С Ϲ
-D: | Ꭰ
-E: Е Ε
-F: Ϝ
-G: | Ԍ
-H: Н Η
-I: І Ι Ӏ
-J: Ј Ϳ
-K: К Κ
-M: М Μ Ϻ
-N: Ν
-O: О Ο Օ
-P: Р Ρ
+A: А Α Ꭺ ꓮ
+B: В Β Ᏼ ꓐ | Ⲃ
+C: С Ϲ Ꮯ ꓚ Ⲥ
+D: Ꭰ ꓓ
+E: Е Ε Ꭼ ꓰ
+F: Ϝ ꓝ
+G: Ꮐ ꓖ | Ԍ Ᏻ
+H: Н Η Ꮋ ꓧ Ⲏ
+I: І Ι Ӏ ꓲ Ⲓ
+J: Ј Ϳ Ꭻ ꓙ
+K: К Κ Ꮶ ꓗ Ⲕ
+L: Ꮮ ꓡ
+M: М Μ Ϻ Ꮇ ꓟ Ⲙ
+N: Ν ꓠ Ⲛ
+O: О Ο Օ ꓳ Ⲟ
+P: Р Ρ Ꮲ ꓑ Ⲣ
 Q: | Ԛ
-S: Ѕ Տ
-T: Т Τ
-U: | Ս
-V: | Ѵ
-W: | Ԝ
-X: Х Χ
-Y: Ү Υ | У
-Z: Ζ
+R: Ꭱ Ꮢ ꓣ
+S: Ѕ Տ Ꮪ ꓢ | Ꮥ
+T: Т Τ Ꭲ ꓔ Ⲧ
+U: ꓴ | Ս
+V: Ꮩ ꓦ | Ѵ
+W: Ꮃ ꓪ | Ԝ Ꮤ
+X: Х Χ ꓫ Ⲭ
+Y: Ү Υ Ꮍ ꓬ | У Ⲩ
+Z: Ζ Ꮓ ꓜ
 """
 
 
@@ -84,6 +90,8 @@ _MARKED = _char_class([m for m in _MARKS if m not in "-`"])
 
 #: Cost, in natural-log units, of taking a letter for one drawn alike, for one that only resembles it, and of a change of script inside a word.
 ALIKE, RESEMBLES, MIXED = 1.0, 6.0, 12.0
+#: Characters of phrases that are sent to the tasks in one pass.
+PASS = 8_000_000
 
 
 def _alternatives() -> dict[str, list[tuple[str, float]]]:
@@ -151,9 +159,12 @@ class LatticeDecoder:
         return -math.log((self.bigrams.get(a + b, 0) + 0.5) / (self.total.get(a, 0) + 0.5 * self.size))
 
     def word(self, word: str) -> str:
-        """The cheapest reading of a word; a word without letters of another script stays as it is."""
+        """The cheapest reading of a word whose letters are of several scripts; a word of one script stays as it is."""
         if word in self.words:
             return self.words[word]
+        if len({script(c) for c in word} - {""}) < 2:
+            self.words[word] = word
+            return word
         paths = {("", " "): (0.0, "")}  # (script so far, last letter) -> cost, reading
         for ch in word:
             step: dict[tuple[str, str], tuple[float, str]] = {}
@@ -175,18 +186,47 @@ class LatticeDecoder:
         """The consistent form of a text; case stays."""
         text = plain(text)
         if not text.isascii():
-            parts = [w if w.isascii() else self.run(w) for w in text.split(" ")]
+            strange = self.strange(text)
+            parts = [w if w.isascii() else self.run(w, strange) for w in text.split(" ")]
             text = unicodedata.normalize("NFC", " ".join(parts))
         return text
 
-    def run(self, chunk: str) -> str:
-        return _LETTERS.sub(lambda m: m.group() if m.group().isascii() else self.word(m.group()), chunk)
+    def strange(self, text: str) -> bool:
+        """Whether a text has Latin words and no word of another script with a letter that is not drawn like a Latin one, so that words of
+        nothing but such letters are Latin ones too."""
+        latin_ = False
+        for m in _LETTERS.finditer(text):
+            w = m.group()
+            if w.isascii():
+                latin_ = latin_ or len(w) > 1
+                continue
+            kinds = {script(c) for c in w} - {""}
+            if len(kinds) > 1:
+                latin_ = latin_ or {script(c) for c in self.word(w)} - {""} == {"LATIN"}
+            elif kinds == {"LATIN"}:
+                latin_ = latin_ or len(w) > 1
+            elif len(w) > 1 and not all(c in _DRAWN for c in w):
+                return False
+        return latin_
+
+    def run(self, chunk: str, strange: bool = False) -> str:
+        """The words of a stretch without blanks; where they are ``strange``, those drawn like Latin ones throughout as these."""
+
+        def read(m: regex.Match) -> str:
+            w = m.group()
+            return w if w.isascii() else latin(w) if strange and all(c in _DRAWN for c in w) else self.word(w)
+
+        return _LETTERS.sub(read, chunk)
 
 
 _LETTERS = regex.compile(r"[\p{L}\p{M}]+")
+_WORD = re.compile(r"[^\W\d_]+")
 _CLASSES = {c.lower() for c in ALTERNATIVES} | set("abcdefghijklmnopqrstuvwxyz ")
 
 
+_OTHERS = re.compile("[^" + "".join(sorted(c for c in _CLASSES if c != " ")) + "]")
+
+
 def letter_class(ch: str) -> str:
     """The letter itself, in lower case, if the model tells it apart, else one sign for all others."""
     ch = ch.lower()
@@ -196,14 +236,29 @@ def letter_class(ch: str) -> str:
 def letter_bigrams(texts: DataFrame) -> DataFrame:
     """(pair, n): counts over all texts of letter pairs inside words and at their edges.
 
-    Words are counted first, with map-side combine, so the pairs are taken of distinct words only. The
-    result has at most the square of the look-alike table's rows, whatever the corpus."""
-    words = texts.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{M}]+")).alias("w")).where("w <> ''")
-    counted = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    others = "".join(sorted(c for c in _CLASSES if c != " "))
-    ring = F.concat(F.lit(" "), F.regexp_replace("w", f"[^{others}]", "*"), F.lit(" "))
-    pairs = counted.select(F.explode(F.transform(F.sequence(F.lit(1), F.length(ring) - 1), lambda i: F.substring(ring, i, F.lit(2)))).alias("pair"), "n")
-    return pairs.groupBy("pair").agg(F.sum("n").alias("n"))
+    A task counts words and takes the pairs of different words only; what it hands on, and the result, has at most the square
+    of the look-alike table's rows a batch of words, whatever the corpus."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words: Counter[str] = Counter()
+
+        def flush() -> pd.DataFrame:
+            pairs: Counter[str] = Counter()
+            for w, n in words.items():
+                ring = f" {_OTHERS.sub('*', w)} "
+                for i in range(len(ring) - 1):
+                    pairs[ring[i : i + 2]] += n
+            words.clear()
+            return pd.DataFrame(list(pairs.items()), columns=["pair", "n"])
+
+        for batch in batches:
+            for t in batch["text"]:
+                words.update(_WORD.findall(t.lower()))
+            if len(words) > 200_000:
+                yield flush()
+        yield flush()
+
+    return texts.where("text is not null").select("text").mapInPandas(run, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def bigram_model(texts: DataFrame) -> dict[str, int]:
@@ -242,14 +297,40 @@ def phrase_hits(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, phrase_no, doc_id, chunk_id, stored boolean): phrases that a reader sees in a chunk of the
     query's paper; ``stored`` tells whether the phrase as stored stands in the chunk as stored.
 
-    An equi-join on the paper; only papers with a query send their texts. Queries and chunks delivered more than
-    once count once. NULL texts, phrases and keys, and phrases without a visible character, give no row."""
-    bigrams = bigram_model(chunks.select("text").where("text is not null"))
-    canonical = canonical_udf(chunks.sparkSession, bigrams)
+    The phrases, a stated set, are sent to the tasks in passes of at most PASS characters, as one automaton that reads each chunk once;
+    no text is shuffled, and a paper with many chunks and phrases lies in many tasks. Only chunks of papers with a query are
+    read. Queries and chunks delivered more than once count once. NULL texts, phrases and keys, and phrases without a visible
+    character, give no row."""
+    bigrams = bigram_model(chunks.select("text"))
+    spark = chunks.sparkSession
     asked = queries.where("id is not null and doc_id is not null").select(F.col("id").alias("query_id"), "doc_id", F.posexplode("must_contain").alias("phrase_no", "phrase"))
-    asked = asked.where("phrase is not null").distinct().withColumn("phrase_no", F.col("phrase_no") + 1).withColumn("read", F.trim(F.lower(canonical("phrase")))).where("read <> ''")
+    asked = asked.where("phrase is not null").distinct().withColumn("phrase_no", F.col("phrase_no") + 1)
+    passes = int((asked.agg(F.sum(F.length("phrase"))).first()[0] or 0) // PASS) + 1
     there = chunks.where("doc_id is not null and chunk_id is not null and text is not null").select("doc_id", "chunk_id", "text")
-    there = there.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("seen", F.lower(canonical("text")))
-    hit: Column = F.col("seen").contains(F.col("read"))
-    rows = there.join(asked, "doc_id").where(hit).select("query_id", "phrase_no", "doc_id", "chunk_id", F.lower("text").contains(F.lower("phrase")).alias("stored"))
-    return rows.groupBy("query_id", "phrase_no", "doc_id", "chunk_id").agg(F.max("stored").alias("stored"))
+    found = []
+    for p in range(passes):
+        part = asked.where(F.pmod(F.xxhash64("query_id", "phrase_no"), F.lit(passes)) == p) if passes > 1 else asked
+        shared = spark.sparkContext.broadcast((bigrams, [tuple(r) for r in part.select("query_id", "doc_id", "phrase_no", "phrase").collect()]))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            decoder, machine, papers = LatticeDecoder(shared.value[0]), ahocorasick.Automaton(), set()
+            by: dict[str, dict[str, list[tuple[str, int, str]]]] = {}
+            for query, paper, no, phrase in shared.value[1]:
+                read = decoder.text(phrase).lower().strip()
+                if read:
+                    papers.add(paper)
+                    by.setdefault(read, {}).setdefault(paper, []).append((query, no, phrase.lower()))
+            for read, asks in by.items():
+                machine.add_word(read, asks)
+            machine.make_automaton()
+            for batch in batches:
+                rows = []
+                for paper, chunk, text in zip(batch["doc_id"], batch["chunk_id"], batch["text"]) if by else ():
+                    if paper in papers:
+                        hits = {id(asks): asks for _, asks in machine.iter(decoder.text(text).lower()) if paper in asks}
+                        low = text.lower() if hits else ""
+                        rows += [(query, no, paper, chunk, phrase in low) for asks in hits.values() for query, no, phrase in asks[paper]]
+                yield pd.DataFrame(rows, columns=["query_id", "phrase_no", "doc_id", "chunk_id", "stored"])
+
+        found.append(there.mapInPandas(run, "query_id string, phrase_no int, doc_id string, chunk_id int, stored boolean"))
+    return reduce(DataFrame.unionByName, found).groupBy("query_id", "phrase_no", "doc_id", "chunk_id").agg(F.max("stored").alias("stored"))

@@ -39,3 +39,22 @@ def test_very_long_text(spark, chunks):
     long = "Thе hаzе " * 200_000
     df = spark.createDataFrame([("d", 9, long)], KIND)
     assert len(canonical_texts(df).first().text) == len(long.strip())
+
+
+def test_words_of_another_script_stay(spark, data):
+    chunks = spark.read.parquet(data.replace("0.001", "0.01") + "/chunks.parquet").where("text is not null")
+    m = LatticeDecoder(bigram_model(chunks))
+    for w in ("оса", "рос", "роса", "орех", "οι", "вода"):
+        assert m.word(w) == w and m.text(w) == w
+    assert m.text("оса и роса в саду near the pole") == "оса и роса в саду near the pole"
+    assert m.text("а haze layer") == "a haze layer" and m.text("А trаnsiеnt hаze") == "A transient haze"  # nothing else here is of that script
+    for seen, read in (("ѕcоре", "scope"), ("Ꭺtmosphere", "Atmosphere"), ("ꓐroad", "Broad"), ("ⲟzone", "ozone")):
+        assert m.text(seen) == read
+
+
+def test_phrases_in_several_passes(spark, chunks, monkeypatch):
+    q = spark.createDataFrame([("q", "d", ["upper haze", "haze layer"]), ("r", "d", ["HAZE", "no such"]), ("s", "x", ["haze"])], "id string, doc_id string, must_contain array<string>")
+    want = {tuple(r) for r in phrase_hits(q, chunks).collect()}
+    monkeypatch.setattr("lectern.llm.lookalikes.PASS", 8)
+    assert {tuple(r) for r in phrase_hits(q, chunks).collect()} == want and len(want) == 11
+    assert phrase_hits(q.limit(0), chunks).count() == 0 and phrase_hits(q, chunks.limit(0)).count() == 0
