@@ -19,6 +19,8 @@ from lectern.llm.lookalikes import latin, plain
 LABELLED, SLOTS = 2000, 1 << 16
 #: Chance that text, or a list, ends at a place of which nothing is known, weight of the shorter context, the chance below which an end is none, and the words of the longest context.
 PRIOR, LIST_PRIOR, WEIGHT, ENDS, LONGEST = 0.04, 0.5, 2.0, 0.6, 4
+#: Most words of a sentence that declines, and of one beside it that says nothing.
+DECLINING, ASIDE = 40, 12
 
 # What stands for an absent answer, words for quoting a question, abbreviations that end no sentence.
 PLACEHOLDERS = set("null none nil nan na n/a tbd todo tba empty blank undefined unknown missing placeholder no-answer noanswer answer response reply antwort respuesta réponse reponse leer vacío vide".split()) | {"no answer", "no response", "not available", "not applicable", "to be done", "no content", "sin respuesta", "keine antwort", "pas de réponse", "answer here", "your answer here"}
@@ -29,7 +31,7 @@ ABBREVIATIONS = set("al. e.g. i.e. eq. eqs. fig. figs. sec. no. cf. vs. dr. prof
 # How assistants decline, by language.
 DECLINES = re.compile(
     r"""\b(?:i|we)\b[^.!?]{0,30}\b(?:can ?not|can['’]t|could ?n[o'’]t|could not|unable|not able|won['’]t|will not|must decline|decline|refrain|rather not|(?:do|did) not feel able|do(?: not|n['’]t) have what|do(?: not|n['’]t) have (?:enough|sufficient|any|the) (?:information|context|knowledge)|do(?: not|n['’]t) know)\b"""
-    r"""|\bit (?:is|would) not (?:be )?(?:possible|right|appropriate|proper)\b|\bthere is no way (?:for|of)\b|\bno answer can be (?:given|found)\b|\boutside (?:of )?(?:what|the scope|my)\b"""
+    r"""|\bit (?:is|would) not (?:be )?(?:possible|right|appropriate|proper)\b|\bthere is no way (?:for|of)\b|\bno answer can be (?:given|found)\b|\boutside (?:of )?(?:what|the scope|my)\b|\bbeyond (?:me|my)\b|\bno can do\b|\bas an ai\b"""
     r"""|\b(?:excerpts?|papers?|context|documents?|sources?|passages?|texts?)\b[^.!?]{0,30}\b(?:do(?:es)? not|do(?:es)?n['’]t)\b[^.!?]{0,20}\b(?:contain|provide|include|hold|have|offer)\b[^.!?]{0,30}\b(?:enough|information|answer|sufficient)\b"""
     r"""|\bnothing in the\b[^.!?]{0,40}\b(?:address|answer|say|cover|relat)"""
     r"""|\b(?:kann|können|darf|möchte|will) (?:ich|wir)\b[^.!?]{0,60}\bnicht\b|\b(?:ich|wir) (?:kann|können|darf|möchte|muss|müssen)\b[^.!?]{0,60}\b(?:nicht|ablehnen)\b|\bkeine (?:antwort möglich|angaben|informationen|auskunft)\b|\bnicht in der lage\b"""
@@ -48,7 +50,9 @@ ASKED = {
 }
 _ASKED = {k: re.compile(v, re.I) for k, v in ASKED.items()}
 
-_DIGIT = re.compile(r"\d")
+# What a clause of substance begins with after one that declines.
+CONTRAST = re.compile(r"\b(?:but|however|although|though|aber|jedoch|allerdings|mais|cependant|toutefois|pero|sin embargo|aunque)\b|[;:–—]", re.I)
+_SUBSTANCE = re.compile(r"\d")
 _WORDS = re.compile(r"[^\W_]+(?:[.'’][^\W_]+)*")
 _QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|„[^“”]*[“”]")
 _CITED = re.compile(r"\s*\[Excerpts? [^\]]*\]", re.I)
@@ -141,29 +145,27 @@ def _fuzzy_start(a: str, b: str) -> bool:
 
 
 def is_copy(question: str | None, text: str) -> bool:
-    """Only repeats the question, perhaps quoted, labelled, twice or slightly altered."""
+    """Only repeats the question, perhaps quoted, labelled, several times or slightly altered."""
     if not question:
         return False
     clean, question = plain(text), plain(question)
-    if len(clean) > 4 * len(question) + 200:
-        return False
     for _ in range(4):
         shorter = LABEL.sub("", QUOTING.sub("", clean)).strip()
         if shorter == clean:
             break
         clean = shorter
-    asked = set(latin(plain(question)).lower().split())
+    asked = set(latin(question).lower().split())
     if len(asked) > 3 and 3 * len(asked & set(latin(clean).lower().split())) < len(asked) and len(clean) > 40 and not _fuzzy_start(question, clean):
         return False
     q, a = _tokens(question), _tokens(clean)
     if not q or not a:
         return False
     cq, ca = Counter(q), Counter(a)
-    for times in (1, 2, 3):
-        if abs(len(a) - times * len(q)) <= max(1, 0.3 * times * len(q)):
-            want = Counter({k: n * times for k, n in cq.items()})
-            common = sum((want & ca).values())
-            if common >= 0.85 * len(a) and common >= 0.7 * len(q) * times:
+    times = max(1, round(len(a) / len(q)))
+    for n in {times, times + 1} if times > 1 else {1, 2}:
+        if abs(len(a) - n * len(q)) <= max(1, 0.3 * n * len(q)):
+            common = sum(min(k * n, ca[w]) for w, k in cq.items())
+            if common >= 0.85 * len(a) and common >= 0.7 * len(q) * n:
                 return True
     if len(a) > 2 * len(q) + 4 or len(q) < 2 and len(a) > 3:
         return False
@@ -175,18 +177,22 @@ def is_copy(question: str | None, text: str) -> bool:
 
 
 def is_refusal(text: str) -> bool:
-    """Every sentence declines or is small talk, and at least one declines."""
+    """Every sentence declines or is small talk of at most ASIDE words, and at least one declines; what follows a declining clause in its
+    sentence, after a word of contrast, is no more than small talk either and gives no number. The text's length doesn't matter."""
     text = plain(text)
-    if len(text) > 900 or _DIGIT.search(text):
+    if not DECLINES.search(text):
         return False
     declines = False
     for part in re.split(r"(?<=[.!?])\s+", text):
-        words = part.split()
-        if DECLINES.search(part):
-            if len(words) > 32:
+        if found := DECLINES.search(part):
+            rest = CONTRAST.search(part, found.end())
+            after = part[rest.end() :] if rest else ""
+            if after and not DECLINES.search(after) and (len(after.split()) > ASIDE or _SUBSTANCE.search(after)):
+                return False
+            if len(part.split()) > DECLINING:
                 return False
             declines = True
-        elif len(words) > 12:
+        elif len(part.split()) > ASIDE or _SUBSTANCE.search(part):
             return False
     return declines
 
@@ -196,7 +202,7 @@ def language_defect(model: LanguageModel, question: str | None, text: str) -> bo
     if not question:
         return False
     body = _QUOTED.sub(" ", latin(plain(text)))
-    if len(_WORDS.findall(body)) < 4:
+    if not _WORDS.search(body):
         return False
     want = next((k for k, v in _ASKED.items() if v.search(question)), None) or model.language(latin(plain(question)), 6.0)
     have = model.language(body)

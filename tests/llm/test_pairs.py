@@ -69,3 +69,16 @@ def test_labelled_texts_teach_whole_and_contexts_have_four_words(spark):
     whole = pairs.LanguageModel.fit([(lang, lead + t) for t, lang in ((EN, "en"), (DE, "de")) for _ in range(20)])
     assert (m.table == whole.table).all()
     assert pairs.end_contexts("of the thick upper haze layer")[-1] == "S|thick upper haze layer"
+
+
+@pytest.mark.parametrize("text, refuses", [("As of 2023, I cannot answer this question.", True), ("I'm afraid that's beyond me.", True), ("Sorry, no can do.", True), ("I'm sorry. " * 100 + "I can't help with that.", True), ("I cannot give the exact value, but the layer is 3 km thick.", False), ("I cannot say. The speed is 12 m/s.", False), ("I am unable to answer this; I do not know.", True), ("I cannot be sure; however, the upper layer of the haze rises with the mean height of the jet in all of the runs.", False)])
+def test_refusals_of_any_length_and_with_numbers(text, refuses):
+    assert pairs.is_refusal(text) == refuses
+
+
+def test_copies_of_any_length():
+    assert pairs.is_copy(Q, (Q + " ") * 40) and pairs.is_copy(Q, "\n".join([Q.upper()] * 7)) and not pairs.is_copy(Q, (Q + " " + EN) * 20)
+
+
+def test_short_answers_in_another_language(model):
+    assert pairs.language_defect(model, Q, "Wegen der Strömung.") and not pairs.language_defect(model, Q, "3.5 km") and not pairs.language_defect(model, Q, "Kreshax")
