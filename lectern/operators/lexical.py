@@ -22,14 +22,19 @@ KEY = ("doc_id", "chunk_id")
 PASS, BLOCK = 10_000, 4_000_000
 
 
+def tokened(chunks: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """(key, t): the index tokens of every chunk, from the column ``tokens`` where an index holds them, else from its text."""
+    return chunks.select(*key, F.col("tokens").alias("t") if "tokens" in chunks.columns else T.tokens("text").alias("t"))
+
+
 def postings(chunks: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """(key, term, tf): how often each chunk has each token."""
-    return chunks.select(*key, F.explode(T.tokens("text")).alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return tokened(chunks, key).select(*key, F.explode("t").alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def lengths(chunks: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """(key, n_tokens) of every chunk, those without tokens included."""
-    return chunks.select(*key, F.size(T.tokens("text")).alias("n_tokens"))
+    return tokened(chunks, key).select(*key, F.size("t").alias("n_tokens"))
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:
@@ -57,38 +62,37 @@ def top(scored: DataFrame, k: int, key: Sequence[str] = KEY, by: str = "score")
 def bm25(chunks: DataFrame, queries: DataFrame, k: int, scope: DataFrame | None = None, key: Sequence[str] = KEY, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, key, score, rank): the k best chunks of each question by Okapi BM25.
 
-    Exact. The stated questions are sent in passes of bounded size, each with the document frequencies of its terms, which come from a
+    Exact. Chunks with a column ``tokens`` are an index and are not read for their text. The stated questions are sent in passes of bounded size, each with the document frequencies of its terms, which come from a
     semi-join with postings; a task scores its chunks in blocks of term weights and keeps k rows a question, so no row a
     matching pair is ever shuffled. Statistics are of the whole corpus even where ``scope`` (doc_id) restricts the chunks. Chunks without a
     common token are no result; a question without tokens has none. Scores are rounded to nine places, so that equal sums rank equal."""
     spark = chunks.sparkSession
     terms = query_terms(queries)
-    tokened = chunks.select(*key, T.tokens("text").alias("t"))
-    stats = tokened.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean")).first()
-    n_asked = terms.select("query_id").distinct().count()
-    passes = n_asked // PASS + 1
-    if passes > 1:
-        tokened = settle(tokened)
-    posts = tokened.select(F.explode(F.array_distinct("t")).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    rows = tokened(chunks, key)
+    if "tokens" not in chunks.columns:
+        rows = settle(rows)  # read for the statistics, the frequencies and in every pass
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean")).join(terms.agg(F.countDistinct("query_id").alias("asked")), F.lit(True)).first()
+    passes = stats.asked // PASS + 1
+    posts = rows.select(F.explode(F.array_distinct("t")).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
     asked = terms.join(posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
     if passes > 1:
         asked = settle(asked)
-    within = tokened.join(scope.select("doc_id").distinct(), "doc_id", "left_semi") if scope is not None else tokened
+    within = rows.join(scope.select("doc_id").distinct(), "doc_id", "left_semi") if scope is not None else rows
     kinds = ", ".join(f"`{c}` {chunks.schema[c].dataType.simpleString()}" for c in key)
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {kinds}, score double"
     found = []
     for p in range(passes):
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p).select("query_id", "term", "qtf", "df").collect()
-        if not rows:
+        asks = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p).select("query_id", "term", "qtf", "df").collect()
+        if not asks:
             continue
-        rows.sort(key=lambda r: str(r.query_id))
-        ids = list(dict.fromkeys(r.query_id for r in rows))
-        at = {t: i for i, t in enumerate(sorted({r.term for r in rows}))}
+        asks.sort(key=lambda r: str(r.query_id))
+        ids = list(dict.fromkeys(r.query_id for r in asks))
+        at = {t: i for i, t in enumerate(sorted({r.term for r in asks}))}
         number = {q: i for i, q in enumerate(ids)}
-        owner = np.array([number[r.query_id] for r in rows])
+        owner = np.array([number[r.query_id] for r in asks])
         order = np.argsort(owner, kind="stable")
-        weight = np.array([r.qtf * math.log(1 + (stats.n - r.df + 0.5) / (r.df + 0.5)) for r in rows])[order]
-        slot, begin = np.array([at[r.term] for r in rows])[order], np.searchsorted(owner[order], np.arange(len(ids)))
+        weight = np.array([r.qtf * math.log(1 + (stats.n - r.df + 0.5) / (r.df + 0.5)) for r in asks])[order]
+        slot, begin = np.array([at[r.term] for r in asks])[order], np.searchsorted(owner[order], np.arange(len(ids)))
         shared = spark.sparkContext.broadcast((ids, at, slot, weight, begin))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
