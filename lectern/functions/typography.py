@@ -41,4 +41,4 @@ def render_spans(spans: Column, mark: bool = False) -> Column:
         inner = T.strip(r.t)
         return F.when(r.k == "", r.t).otherwise(F.concat(r.k, F.when(F.length(inner) > 1, F.concat(F.lit("{"), inner, F.lit("}"))).otherwise(inner)))
 
-    return F.when(F.size(F.coalesce(spans, F.array().cast("array<struct<text:string,size:double,y:double>>"))) == 0, "").otherwise(F.array_join(F.transform(runs, show), ""))
+    return F.when(spans.isNull() | (F.size(spans) == 0), "").otherwise(F.array_join(F.transform(runs, show), ""))

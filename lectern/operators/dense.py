@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -40,6 +40,23 @@ def embed(text: Column | str, size: int = 64) -> Column:
     return _histogram(buckets(text, size), F.lit(size))
 
 
+def model_embedder(load: Callable[[], Callable[[list[str]], Iterable[Sequence[float]]]], batch: int = 32):
+    """A function text -> array<double> for ``embedder`` arguments around a model of the caller's: ``load`` gives, once a worker, a function
+    of a list of texts; it is called with ``batch`` texts at a time, and vectors are brought to unit length. NULL text is embedded as ""."""
+    made: list = []
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        if not made:
+            made.append(load())
+        for texts in batches:
+            texts = [t or "" for t in texts]
+            rows = [np.asarray(v, np.float64) for i in range(0, len(texts), batch) for v in made[0](texts[i : i + batch])]
+            yield pd.Series([v / (np.sqrt((v**2).sum()) or 1.0) for v in rows], dtype=object)
+
+    return lambda text: run(T.col(text))
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, key: Sequence[str] = KEY, scope: DataFrame | None = None) -> DataFrame:
     """(query_id, key, score, rank): the k vectors of greatest inner product with each query vector, ties by key.
 

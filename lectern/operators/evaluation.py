@@ -78,6 +78,26 @@ def answerable(queries: DataFrame, chunks: DataFrame, titles: DataFrame) -> Data
     return q.select("query_id").distinct().join(found, "query_id", "left").select("query_id", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.col("n_chunks").isNull().alias("unanswerable"))
 
 
+def pick_queries(queries: DataFrame, split: str = "all", papers: Sequence[str] = (), titles: DataFrame | None = None, held_out: Sequence[str] = (), limit: int | None = None, order: Sequence[str] = ("query_id",)) -> DataFrame:
+    """The queries of a run: of one ``split``, of papers whose name holds one of ``papers``, the first ``limit`` of them by ``order``.
+
+    A split that is neither "all", "heldout" nor "trained" is one of the label in the column ``split``, which all queries must have.
+    Held out are queries whose paper is part of a title of ``titles`` that holds one of the fragments ``held_out``; "trained" is the rest."""
+    if split in ("heldout", "trained"):
+        low = F.lower("title")
+        marked = titles.where(F.coalesce(reduce(lambda a, b: a | b, [F.contains(low, F.lit(f.lower())) for f in held_out], F.lit(False)), F.lit(False))).select("doc_id", "title")
+        hit = named_titles(queries.select(F.col("paper").alias("fragment")), marked).select(F.col("fragment").alias("paper")).distinct()
+        queries = queries.join(hit, "paper", "left_semi" if split == "heldout" else "left_anti")
+    elif split != "all":
+        if "split" not in queries.columns or not queries.where("split is null").isEmpty():
+            raise ValueError("queries without split labels cannot be restricted to a split")
+        queries = queries.where(F.col("split") == split)
+    if papers:
+        low = F.lower(F.coalesce("paper", F.lit("")))
+        queries = queries.where(reduce(lambda a, b: a | b, [F.contains(low, F.lit(p.lower())) for p in papers]))
+    return queries if limit is None else queries.orderBy(*order).limit(limit)
+
+
 def relevant_ranks(hits: DataFrame, queries: DataFrame, chunks: DataFrame, titles: DataFrame) -> DataFrame:
     """(query_id, rank) of the relevant hits."""
     rows = hits.join(queries.select("query_id", "paper", "must_contain"), "query_id").join(chunks.select(*KEY, "text"), list(KEY)).join(titles.select("doc_id", "title"), "doc_id", "left")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +54,22 @@ def overlap_scorer(question: Column, text: Column) -> Column:
     return T.lexical_overlap(question, text)
 
 
+def model_scorer(load: Callable[[], Callable[[list[tuple[str, str]]], Iterable[float]]], batch: int = 16):
+    """A function (question, text) -> score for ``scorer`` arguments around a model of the caller's: ``load`` gives, once a worker, a function
+    of a list of pairs, called with ``batch`` pairs at a time."""
+    made: list = []
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        if not made:
+            made.append(load())
+        for questions, texts in batches:
+            pairs = [(q or "", t or "") for q, t in zip(questions, texts)]
+            yield pd.Series([float(s) for i in range(0, len(pairs), batch) for s in made[0](pairs[i : i + batch])], dtype="float64")
+
+    return lambda question, text: run(question, text)
+
+
 def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, scorer=overlap_scorer, key: Sequence[str] = KEY) -> DataFrame:
     """Candidates ordered anew by ``scorer(question, text)``; equal scores keep the order they had. Texts are joined last, for candidates only."""
     rows = candidates.join(queries.select("query_id", "question"), "query_id").join(chunks.select(*key, "text"), list(key))

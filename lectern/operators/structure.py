@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.functions.typography import render_spans
 
 # Names of sections, and what marks lines that are no headings.
 SECTIONS = ["abstract", "introduction", "background", "related work", "methods", "methodology", "materials and methods", "model", "model description", "data", "data and methods", "experiments", "experimental setup", "results", "results and discussion", "discussion", "analysis", "conclusion", "conclusions", "conclusions and future work", "summary", "summary and conclusions", "acknowledgements", "acknowledgments", "appendix", "supplementary material"]
@@ -14,6 +15,7 @@ NUMBERED = r"^(\d+(?:\.\d+)*)\.?\s+([A-Z][^.!?]{2,70})$"
 UNNUMBERED = r"^[A-Z][A-Za-z]+(?:\s+[A-Za-z&-]+){0,6}$"
 REFERENCES = r"(?im)^\s*(\d+\.?\s*)?(references|bibliography|works cited)\s*$"
 CAPTION = r"^(?i:fig|table|eq|plate)"
+TITLE_NOISE = r"(?i)(doi|https?://|www\.|arxiv|preprint|\bvol\.|©|copyright|\bissn\b|all rights reserved|general rights|downloaded from)"
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
@@ -114,10 +116,10 @@ def merge_small_sections(segs: DataFrame, least: int = 40) -> DataFrame:
 def title_lines(pages: DataFrame) -> DataFrame:
     """The lines of the first three pages that may be title: upper 55 % of the page's type, at most 250 characters, legible, no banner, few digits."""
     lines = pages.where("page_number <= 3 and lines is not null").select("doc_id", "page_number", F.posexplode("lines").alias("line_no", "l")).select("doc_id", "page_number", "line_no", T.strip("l.text").alias("text"), "l.size", "l.y")
-    height = F.max("y").over(Window.partitionBy("doc_id", "page_number"))
+    height = F.max("y").over(Window.partitionBy("doc_id", "page_number"))  # pages come without their height
     digits = F.length(F.regexp_replace("text", r"[^\p{Nd}]", ""))
     lines = lines.withColumn("_h", height).where("text <> '' and size is not null and y <= 0.55 * _h and length(text) <= 250")
-    return lines.where(T.is_legible("text") & ~T.is_banner("text") & ~F.col("text").rlike(NO_HEADING) & (digits <= 0.2 * F.length("text"))).drop("_h")
+    return lines.where(T.is_legible("text") & ~T.is_banner("text") & ~F.col("text").rlike(TITLE_NOISE) & (digits <= 0.2 * F.length("text"))).drop("_h")
 
 
 def best_title(lines: DataFrame) -> DataFrame:
@@ -131,7 +133,29 @@ def best_title(lines: DataFrame) -> DataFrame:
     gap = F.coalesce((F.col("y") - F.lag("y").over(order) > 2.2 * F.col("f.size")).cast("int"), F.lit(0))
     chain = same.withColumn("_gap", gap).withColumn("_far", F.sum("_gap").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("_far = 0")
     made = chain.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("y", "line_no", "text"))).alias("l")).select("doc_id", T.strip(T.collapse(F.array_join(F.transform("l", lambda s: s.text), " "))).alias("title"))
-    return made.where((F.length("title") >= 10) & T.is_plausible_title("title"))
+    return made.where((F.length("title") >= 10) & ~T.is_banner("title") & T.is_plausible_title("title"))
+
+
+def pages_of_layout(layout: DataFrame, tables: bool = True, marks: bool = False) -> DataFrame:
+    """(doc_id, page_number, text, lines, tables) of pages as a layout parser gives them: ``blocks`` of lines of spans, and ``grids``.
+
+    ``blocks`` is array<struct<lines: array<struct<spans: array<struct<text, size, flags, y>>, x0, y0, x1, y1>>>>, ``grids``
+    array<struct<x0, y0, x1, y1, rows: array<array<string>>>>. Lines are read in order, without icon glyphs, with mathematical letters
+    restored and, with ``marks``, with sub- and superscripts marked; empty ones drop out. With ``tables``, grids of two rows
+    or more are rendered, and lines whose centre lies in one of them are left to it. The text is that of the lines."""
+    kind = "array<struct<x0:double,y0:double,x1:double,y1:double,text:string>>"
+    grids = F.transform("grids", lambda g: F.struct(g.x0.cast("double").alias("x0"), g.y0.cast("double").alias("y0"), g.x1.cast("double").alias("x1"), g.y1.cast("double").alias("y1"), render_table(g.rows).alias("text")))
+    grids = F.coalesce(F.filter(grids, lambda g: g.text.isNotNull()), F.array().cast(kind)) if tables else F.array().cast(kind)
+    rows = layout.select("doc_id", "page_number", F.flatten(F.transform("blocks", lambda b: b.lines)).alias("_l"), grids.alias("_g"))
+
+    def line(x: Column) -> Column:
+        style = line_of_spans(x.spans)
+        text = T.restore_truncated_math(T.strip_icon_glyphs(render_spans(x.spans, marks)))
+        return F.struct(text.alias("text"), style["size"].alias("size"), F.coalesce(style.bold, F.lit(False)).alias("bold"), x.y0.cast("double").alias("y"))
+
+    outside = F.filter("_l", lambda x: (F.size(x.spans) > 0) & ~inside(x.x0, x.y0, x.x1, x.y1, F.col("_g")))
+    lines = F.filter(F.transform(outside, line), lambda x: x.text != "")
+    return rows.select("doc_id", "page_number", F.coalesce(lines, F.array().cast("array<struct<text:string,size:double,bold:boolean,y:double>>")).alias("lines"), "_g").select("doc_id", "page_number", F.array_join(F.transform("lines", lambda x: x.text), "\n").alias("text"), "lines", F.transform("_g", lambda g: g.text).alias("tables"))
 
 
 def render_table(rows: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -79,14 +79,34 @@ def standalone(questions: DataFrame, turns: DataFrame, model: Callable[[str], st
     return plain.unionByName(led).drop("transcript")
 
 
-def ask(questions: DataFrame, chunks: DataFrame, titles: DataFrame, mode: str = "hybrid+rerank", k: int = 5, quota: int | None = None, **options) -> DataFrame:
-    """Prompts for all questions at once, from retrieval to messages, as one lazy plan. Comparative questions get half of k a paper unless a quota is set."""
-    rows = questions.withColumn("_quota", fusion.auto_quota(F.col("question"), F.lit(quota).cast("int"), F.lit(2), k)) if quota is None else questions
+def wire(hits: DataFrame, chunks: DataFrame, titles: DataFrame) -> DataFrame:
+    """(query_id, excerpt, doc_id, title, citation, page_start, page_end, section, score, text): the rows that a service sends for the hits
+    of each question, numbered by rank. Texts and titles are joined last, for hits only; a paper without a title has a NULL one."""
+    rows = hits.select("query_id", "doc_id", "chunk_id", "score", F.col("rank").alias("excerpt")).join(chunks.select("doc_id", "chunk_id", "text", "page_start", "page_end", "section"), ["doc_id", "chunk_id"]).join(titles.select("doc_id", "title"), "doc_id", "left")
+    cited = T.citation(F.col("title"), F.col("page_start"), F.col("page_end"), F.col("section"))
+    return rows.select("query_id", "excerpt", "doc_id", "title", cited.alias("citation"), "page_start", "page_end", "section", "score", "text")
+
+
+def stream(prompted: DataFrame, model: Callable[[list[dict[str, str]]], Iterable[str]]) -> Iterator[tuple]:
+    """(query_id, fragment) as ``model`` gives them, empty fragments left out; the fixed refusal for a question without passages.
+
+    For a reader who waits for one answer: prompts come to the driver one by one and their passages can be shown before."""
+    for row in prompted.select("query_id", "context", "messages").toLocalIterator():
+        pieces = [REFUSAL] if row.context is None else model([{"role": m.role, "content": m.content} for m in row.messages])
+        yield from ((row.query_id, p) for p in pieces if p)
+
+
+def ask(questions: DataFrame, chunks: DataFrame, titles: DataFrame, mode: str = "hybrid+rerank", k: int = 5, quota: int | None = None, turns: DataFrame | None = None, rewriter: Callable[[str], str] | None = None, scope: DataFrame | None = None, **options) -> DataFrame:
+    """Prompts for all questions at once, from the conversation to the messages.
+
+    With ``turns`` (conv_id, turn, question, answer), questions that lean on their conversation (conv_id) are rewritten by ``rewriter``
+    for the search, and the prompt has the last turns and the question as it was asked. Comparative questions get half of k a
+    paper unless a quota is set, if more than one paper is searched: those of ``scope`` (doc_id), else all. A k of 0 is the usual 5."""
+    k = k or 5
+    rows = standalone(questions, turns, rewriter) if turns is not None and "retrieval_question" not in questions.columns else questions
     searched = rows.select("query_id", F.col("retrieval_question" if "retrieval_question" in rows.columns else "question").alias("question"))
-    ranked = fusion.retrieve(chunks, searched, mode, max(k, fusion.POOL), None, **options)
-    if quota is None:
-        ranked = ranked.join(rows.select("query_id", "_quota"), "query_id")
-        hits = fusion.diversify(ranked, k, F.col("_quota"))
-    else:
-        hits = fusion.diversify(ranked, k, quota)
-    return prompts(questions, hits.select("query_id", "doc_id", "chunk_id", "rank"), chunks, titles)
+    n = (scope if scope is not None else titles).agg(F.countDistinct("doc_id")).scalar()
+    limits = searched.select("query_id", fusion.auto_quota(F.col("question"), F.lit(quota).cast("int"), n, k).alias("_quota"))
+    ranked = fusion.retrieve(chunks, searched, mode, max(k, fusion.POOL), None, scope=scope, **options)
+    hits = fusion.diversify(ranked.join(limits, "query_id"), k, F.col("_quota"))
+    return prompts(questions, hits.select("query_id", "doc_id", "chunk_id", "rank"), chunks, titles, turns)

@@ -18,7 +18,7 @@ def build(chunks: DataFrame, splits: DataFrame, model: Callable[[str], str], per
     """(id, lexical_overlap, split, doc_id, question, must_contain, source_chunk): questions generated from sampled chunks.
 
     Kept are usable questions that share at most 45 % of their terms with their chunk, with one or two evidence terms (the rarest of the chunk
-    that the question lacks and another chunk has). ``splits`` has doc_id and split; papers without one are left out."""
+    that the question lacks and another chunk has), which a chunk of the paper must be seen to hold. ``splits`` has doc_id and split; papers without one are left out."""
     pool = chunks.where(F.size(T.words("text")) >= least_words).join(splits, "doc_id")
     picked = evaluation.sample_by(pool, ["doc_id"], ["doc_id", "chunk_id"], per_paper, seed)
 
@@ -30,7 +30,15 @@ def build(chunks: DataFrame, splits: DataFrame, model: Callable[[str], str], per
     asked = asked.withColumn("lexical_overlap", T.lexical_overlap("question", "text")).where(F.col("lexical_overlap") <= MOST_OVERLAP)
     asked = asked.withColumn("id", F.concat_ws("-", "doc_id", "chunk_id"))
     terms = lexical.evidence(chunks, asked).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("t"))
-    return asked.join(terms, "id").select("id", "lexical_overlap", "split", "doc_id", "question", F.transform("t", lambda x: x.term).alias("must_contain"), F.col("chunk_id").alias("source_chunk"))
+    made = asked.join(terms, "id").select("id", "lexical_overlap", "split", "doc_id", "question", F.transform("t", lambda x: x.term).alias("must_contain"), F.col("chunk_id").alias("source_chunk"))
+    return verified(made, chunks)
+
+
+def verified(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The questions that a chunk of their paper answers: one whose text holds all of must_contain. A test that nothing can pass is none."""
+    texts = chunks.select("doc_id", F.lower("text").alias("_text")).where("_text is not null")
+    hits = questions.select("id", "doc_id", "must_contain").join(texts, "doc_id").where(F.forall("must_contain", lambda p: F.contains(F.col("_text"), p)))
+    return questions.join(hits.select("id").distinct(), "id", "left_semi")
 
 
 def training_examples(benchmark: DataFrame, chunks: DataFrame, negatives: int = 3, pool: int = 10) -> DataFrame:

@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators.structure import pages_of_layout
+
 PAGES = "doc_id string, page_number int, text string, lines array<struct<text:string,size:double,bold:boolean,y:double>>, tables array<string>"
+LAYOUT = "page_number int, blocks array<struct<lines:array<struct<spans:array<struct<text:string,size:double,flags:int,y:double>>,x0:double,y0:double,x1:double,y1:double>>>>, grids array<struct<x0:double,y0:double,x1:double,y1:double,rows:array<array<string>>>>"
 TRUE = ("1", "true", "yes", "on")
 
 
@@ -50,6 +53,34 @@ def read_documents(spark: SparkSession, path: str, parser: Callable[[bytes], Ite
     return parsed.where("error is null").drop("error"), parsed.where("error is not null").select("path", "doc_id", "error")
 
 
+def read_layouts(spark: SparkSession, path: str, parser: Callable[[bytes], Iterable[dict]], pattern: str = "*") -> tuple[DataFrame, DataFrame]:
+    """(pages, names) of the documents under a path through a parser of layout: it gives dictionaries of page_number, blocks and grids, as
+    ``pages_of_layout`` reads them, and title, that of the file's metadata.
+
+    The switches ``enable_table_extraction`` and ``enable_script_markers`` turn grids and marks on. ``names`` is (doc_id, path, title) for
+    ``index_pages``. A document that the parser fails on has no rows; pages come a row each, so a long document is held by no task."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", F.substring(F.md5("content"), 1, 12).alias("doc_id"), "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, doc_id, content in zip(batch["path"], batch["doc_id"], batch["content"]):
+                try:
+                    for p in parser(content):
+                        yield pd.DataFrame([{"path": name, "doc_id": doc_id, "title": p.get("title"), "page_number": p["page_number"], "blocks": p.get("blocks") or [], "grids": p.get("grids") or []}])
+                except Exception:
+                    continue
+
+    parsed = files.mapInPandas(run, f"path string, doc_id string, title string, {LAYOUT}")
+    pages = pages_of_layout(parsed, toggle("enable_table_extraction", spark), toggle("enable_script_markers", spark))
+    return pages, parsed.groupBy("doc_id").agg(F.min("path").alias("path"), F.max("title").alias("title"))
+
+
+def read_originals(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(doc_id, path, content) of the files under a path, for the library to keep; a file that lies there twice is one."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(F.substring(F.md5("content"), 1, 12).alias("doc_id"), "path", "content")
+    return files.dropDuplicates(["doc_id"])
+
+
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation queries of a JSON file {"queries": [...]}."""
     schema = "queries array<struct<id:string,paper:string,question:string,must_contain:array<string>,type:string>>"
@@ -68,6 +99,13 @@ def write_examples(examples: DataFrame, path: str) -> None:
     examples.write.mode("overwrite").json(path)
 
 
+def write_split_record(splits: DataFrame, path: str, source: str = "") -> None:
+    """Beside training examples: which papers of (doc_id, split) they are drawn from, and which are held out, as one JSON row."""
+    train = F.coalesce(F.col("split") == "train", F.lit(False))
+    row = splits.agg(F.array_sort(F.collect_set(F.when(train, F.col("doc_id")))).alias("train"), F.array_sort(F.collect_set(F.when(~train, F.col("doc_id")))).alias("held_out"), F.lit(source).alias("source"))
+    row.write.mode("overwrite").json(path)
+
+
 def write_report(per_question: DataFrame, summary: DataFrame, path: str) -> None:
     """An evaluation report: {"summary": ..., "per_question": ...} as two JSON folders below the path."""
     summary.write.mode("overwrite").json(f"{path}/summary")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lectern.operators.ranking import latest_by, place_within, rank_within
+from lectern.operators import lexical
 from lectern.plans import ask, benchmark, groundedness, service
 from lectern.plans.index import index_pages
 from lectern.sources import readers
@@ -65,6 +66,17 @@ def test_prompts_and_generation(spark):
     turns = spark.createDataFrame([(7, 0, "Tell me of jets", "Fast.")], "conv_id int, turn int, question string, answer string")
     led = ask.standalone(spark.createDataFrame([(1, 7, "Why is it so?"), (2, 8, "Why?")], "query_id int, conv_id int, question string"), turns, lambda t: "Why are jets fast?")
     assert {r.query_id: r.retrieval_question for r in led.collect()} == {1: "Why are jets fast?", 2: "Why?"}
+    # the whole path: searched by the rewrite, asked as it was said, with what was said before
+    one = spark.createDataFrame([(1, 7, "Why is it so?")], "query_id int, conv_id int, question string")
+    r = ask.ask(one, chunks, titles, "bm25", 2, turns=turns, rewriter=lambda t: "Is the jet fast?").first()
+    assert "The jet is fast." in r.context and [m.role for m in r.messages] == ["system", "user", "assistant", "user"] and "Why is it so?" in r.messages[-1].content
+    both = spark.createDataFrame([("a", i, f"jet speed {i}", 1, 1, "R") for i in range(4)] + [("b", 0, "the jet speed", 1, 1, "R")], CHUNK)
+    two = spark.createDataFrame([("a", "A"), ("b", "B")], "doc_id string, title string")
+    ids = lambda scope: sorted(ask.ask(spark.createDataFrame([(1, "compare jet speed")], "query_id int, question string"), both, two, "bm25", 2, scope=scope).first().context.count(x) for x in ("(A", "(B"))
+    assert ids(None) == [1, 1] and ids(two.where("doc_id = 'a'")) == [0, 2]  # the quota holds where several papers are searched
+    rows = ask.wire(spark.createDataFrame([(1, "a", 0, 0.5, 1)], "query_id int, doc_id string, chunk_id int, score double, rank int"), chunks, titles).first()
+    assert (rows.excerpt, rows.title, rows.citation, rows.score) == (1, "Jets", "Jets, p. 1, Section Results", 0.5)
+    assert list(ask.stream(p.orderBy("query_id"), lambda m: ["a", "", "b"])) == [(1, "a"), (1, "b"), (2, ask.REFUSAL)]
 
 
 def test_groundedness(spark):
@@ -87,6 +99,7 @@ def test_benchmark_builder(spark):
     b = benchmark.build(chunks, spark.createDataFrame([("a", "test")], "doc_id string, split string"), lambda p: "Question: What quantity limits the speed of jets?", 2)
     rows = b.collect()
     assert len(rows) == 2 and all(r.split == "test" and 1 <= len(r.must_contain) <= 2 for r in rows)
+    assert benchmark.verified(b, chunks).count() == 2 and benchmark.verified(b.withColumn("must_contain", F.array(F.lit("no such"))), chunks).count() == 0
     b2 = spark.createDataFrame([("q", 0.1, "test", "a", "alpha shared0?", ["x"], 0)], b.schema)
     assert benchmark.training_examples(b2, chunks).first().positive == texts[0][2]
 
@@ -105,7 +118,46 @@ def test_library_round_trip(spark, tmp_path):
     assert d.first().title == "first paper" and c.count() == d.first().n_chunks > 0
     with pytest.raises(ValueError):
         lib.add(docs, chunks)
-    assert not lib.remove("none") and lib.remove(d.first().doc_id) and lib.load()[0].count() == 0
+    assert c.first().tokens[:2] == ["introduction", "jet"]
+    more = docs.withColumn("doc_id", F.lit("other")), chunks.withColumn("doc_id", F.lit("other"))
+    lib.add(*more, spark.createDataFrame([("other", "a.pdf", bytearray(b"x"))], "doc_id string, path string, content binary"))
+    assert lib.load()[0].count() == 2 and lib.originals().first().path == "a.pdf"
+    m = lib._manifest()
+    assert sorted(set(m["live"].values())) == [1, 2]  # the second change wrote one bucket only
+    with pytest.raises(ValueError, match="another writer"):
+        lib._commit(m)
+    with pytest.raises(ValueError, match="vectors"):
+        lib.add(docs.withColumn("doc_id", F.lit("third")), chunks.withColumn("doc_id", F.lit("third")).withColumn("embedding", F.array(F.lit(1.0))))
+    asked = spark.createDataFrame([(1, "How fast is the jet?")], "query_id int, question string")
+    have = [x for _, x in zip(range(2), lib.load())][1]
+    assert {(r.query_id, r.chunk_id) for r in lexical.bm25(have.drop("text"), asked, 50).collect()} == {(r.query_id, r.chunk_id) for r in lexical.bm25(have.drop("tokens"), asked, 50).collect()}
+    assert not lib.remove("none") and lib.remove(d.first().doc_id, "other") and lib.load()[0].count() == 0 and lib.originals().count() == 0
+
+
+def test_layouts_become_pages_and_titles(spark, tmp_path):
+    span = lambda text, size=10.0, flags=0, y=100.0: {"text": text, "size": size, "flags": flags, "y": y}
+    line = lambda y, *spans: {"spans": list(spans), "x0": 0.0, "y0": y, "x1": 50.0, "y1": y + 10}
+    page = {"page_number": 1, "title": "Haze layers of the polar cap", "blocks": [{"lines": [line(50, span("The rate g", flags=16), span("2", 6.0, y=96.0)), line(60)]}, {"lines": [line(100, span("1 m")), line(300, span("\ue000 "))]}], "grids": [{"x0": 0.0, "y0": 90.0, "x1": 100.0, "y1": 120.0, "rows": [["x", "y"], [None, " "], ["1", "m"]]}]}
+    (tmp_path / "a.pdf").write_bytes(b"good")
+    (tmp_path / "b.pdf").write_bytes(b"bad")
+
+    def parser(content):
+        if content == b"bad":
+            raise ValueError
+        yield page
+
+    spark.conf.set("lectern.enable_table_extraction", "yes")
+    spark.conf.set("lectern.enable_script_markers", "1")
+    pages, names = readers.read_layouts(spark, str(tmp_path), parser)
+    r = pages.first()
+    assert (r.text, r.tables, [(x.size, x.bold, x.y) for x in r.lines]) == ("The rate g^2", ["x | y\n1 | m"], [(10.0, True, 50.0)])
+    assert names.count() == 1
+    docs, _ = index_pages(pages.withColumn("text", F.lit("Results\n" + "The jet is fast here. " * 40)).withColumn("lines", F.lit(None).cast("array<struct<text:string,size:double,bold:boolean,y:double>>")), names)
+    assert docs.first().title == "Haze layers of the polar cap"
+    for name in ("enable_table_extraction", "enable_script_markers"):
+        spark.conf.unset(f"lectern.{name}")
+    r = readers.read_layouts(spark, str(tmp_path), parser)[0].first()
+    assert r.text == "The rate g2\n1 m" and r.tables == []
 
 
 def test_json_sources(spark, tmp_path):
@@ -113,6 +165,8 @@ def test_json_sources(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps({"c": {"train": ["x", "y"], "test": ["z"]}}))
     assert readers.read_queries(spark, str(tmp_path / "q.json")).first().must_contain == ["a"]
     assert readers.read_split_spec(spark, str(tmp_path / "s.json")).count() == 3
+    readers.write_split_record(spark.createDataFrame([("a", "train"), ("b", "test"), ("c", None)], "doc_id string, split string"), str(tmp_path / "h"), "s.json")
+    assert spark.read.json(str(tmp_path / "h")).first().asDict() == {"train": ["a"], "held_out": ["b", "c"], "source": "s.json"}
     readers.write_report(spark.range(2), spark.range(1), str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r" / "per_question")).count() == 2
 

@@ -109,3 +109,27 @@ def test_balanced_negatives(spark):
     got = evaluation.balanced(rows, "good", ["id"], 2)
     assert got.where("good").count() == 10 and got.where("not good").count() == 20
     assert evaluation.balanced(rows.limit(0), "good", ["id"]).count() == 0
+
+
+def test_queries_of_a_run(spark):
+    q = spark.createDataFrame([(1, "haze", "val"), (2, "Dust", "test"), (3, None, "val")], "query_id int, paper string, split string")
+    titles = spark.createDataFrame([("a", "On Haze layers"), ("b", "Dust storms")], "doc_id string, title string")
+    ids = lambda df: sorted(r.query_id for r in df.collect())
+    assert ids(evaluation.pick_queries(q)) == [1, 2, 3] and ids(evaluation.pick_queries(q, "val")) == [1, 3] and ids(evaluation.pick_queries(q, limit=2)) == [1, 2]
+    assert ids(evaluation.pick_queries(q, papers=["du", "zz"])) == [2]
+    assert ids(evaluation.pick_queries(q, "heldout", titles=titles, held_out=["HAZE"])) == [1] and ids(evaluation.pick_queries(q, "trained", titles=titles, held_out=["haze"])) == [2, 3]
+    with pytest.raises(ValueError):
+        evaluation.pick_queries(q.withColumn("split", F.lit(None).cast("string")), "val")
+
+
+def test_models_run_in_batches(spark):
+    sizes = []
+
+    def load():
+        return lambda texts: [[3.0, 4.0] if t == "jet" else [0.0, 0.0] for t in texts]
+
+    df = spark.createDataFrame([("jet",), (None,)], "x string")
+    assert [list(r[0]) for r in df.select(dense.model_embedder(load, 1)("x")).collect()] == [[0.6, 0.8], [0.0, 0.0]] and sizes == []
+    scorer = fusion.model_scorer(lambda: lambda pairs: [len(t) for _, t in pairs], 2)
+    hits = fusion.retrieve(corpus(spark, ["jet", "the jet speed", "jets"]), spark.createDataFrame([(1, "jet speed")], "query_id int, question string"), "hybrid+rerank", 2, scorer=scorer)
+    assert [r.score for r in hits.orderBy("rank").collect()] == [13.0, 4.0]
