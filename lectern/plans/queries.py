@@ -289,7 +289,15 @@ def d01_body_size(s: SparkSession, d: str) -> DataFrame:
     return structure.body_size(structure.page_lines(_pages(s, d)))
 
 
-@query()
+_P = "p as (select doc_id, page_number, text, lines, tables from raw_pages where text is not null qualify row_number() over (partition by doc_id, page_number order by scanned_at desc nulls last, text desc) = 1)"
+_KEPT = f"""{_P}, b as (select *, coalesce(sum(length(text)) over (partition by doc_id order by page_number rows between unbounded preceding and 1 preceding), 0) as before, sum(length(text)) over (partition by doc_id) as whole,
+ string_split_regex(text, '{structure.REFERENCES}') as pc, regexp_extract_all(text, '{structure.REFERENCES}') as hs from p),
+c as (select *, list_min(list_filter(list_transform(range(1, len(hs) + 1), lambda k: (coalesce(list_sum(list_transform(pc[1:k], lambda z: length(z))), 0) + coalesce(list_sum(list_transform(hs[1:k-1], lambda z: length(z))), 0))::bigint), lambda o: o + before >= 0.7 * whole)) as off from b),
+d as (select *, min(case when off is not null then page_number end) over (partition by doc_id) as cut from c),
+kept as (select doc_id, page_number, case when page_number = cut then substr(text, 1, off) else text end as text, case when page_number is distinct from cut then lines end as lines, case when page_number is distinct from cut then tables end as tables from d where cut is null or page_number <= cut)"""
+
+
+@query(f"with {_KEPT} select doc_id, page_number, md5(text) as digest, length(text) as n_chars from kept")
 def d02_without_references(s: SparkSession, d: str) -> DataFrame:
     """Pages left when reference lists are cut."""
     return structure.without_references(_pages(s, d)).select("doc_id", "page_number", F.md5("text").alias("digest"), F.length("text").alias("n_chars"))
@@ -307,7 +315,29 @@ def d03_d04_headings(s: SparkSession, d: str) -> DataFrame:
     return lines.select("line", structure.heading_shape(F.col("line")).alias("shape"), structure.heading(F.col("line")).alias("heading"))
 
 
-@query()
+def _clean(x: str) -> str:
+    return _strip(_collapse(f"regexp_replace({x}, '-\\n([a-z])', '\\1', 'g')"))
+
+
+_TEXTUAL = f"""case when regexp_matches(line, '{structure.NUMBERED}') then case when not regexp_matches(title, '^(?i:fig|table|eq|plate)') and regexp_matches(title, '[\\p{{L}}\\p{{N}}]$') then no || ' ' || title end
+ when regexp_matches(line, '{structure.UNNUMBERED}') then case when {_in('lower(line)', structure.SECTIONS)} then line when upper(line) = line and len({_words('line')}) between 2 and 6 then array_to_string(list_transform(regexp_extract_all(line, '[A-Za-z]+|[^A-Za-z]+'), lambda r: upper(substr(r, 1, 1)) || lower(substr(r, 2))), '') end end"""
+_SEGMENTS = f"""{_KEPT}, li as (select doc_id, page_number, unnest(range(len(lines))) as n, unnest(lines) as l from kept where lines is not null),
+pl as (select doc_id, page_number, unnest(range(len(string_split(text, chr(10))))) as n, unnest(string_split(text, chr(10))) as t from kept where lines is null),
+al as (select doc_id, page_number, n, l.text as text, l.size as size, coalesce(l.bold, false) as bold from li union all select doc_id, page_number, n, t, null, false from pl),
+zs as (select doc_id, size, sum(length(text)) as c, min(page_number * 100000 + n) as f from al where size is not null and text is not null group by all),
+body as (select doc_id, size as body from zs qualify row_number() over (partition by doc_id order by c desc, f) = 1),
+ln as (select al.*, body, {_strip('text')} as line from al left join body using (doc_id) where length({_strip('text')}) >= 3),
+lt as (select *, regexp_extract(line, '{structure.NUMBERED}', 1) as no, {_strip(f"regexp_extract(line, '{structure.NUMBERED}', 2)")} as title from ln),
+lh as (select *, case when length(line) > 80 then null when coalesce(body > 0 and size > 0 and {_heading_shape('line')} and (size >= body * 1.08 or (bold and size >= body * 0.98)), false) then line else {_TEXTUAL} end as heading from lt),
+ls as (select *, last_value(heading ignore nulls) over w as section, count(heading) over w as part from lh window w as (partition by doc_id order by page_number, n rows between unbounded preceding and current row)),
+pr as (select doc_id, page_number, part, 0 as k, max(section) as section, false as is_table, {_clean("string_agg(text, chr(10) order by n)")} as text from ls group by doc_id, page_number, part),
+lp as (select doc_id, page_number, arg_max(struct_pack(s := section), part * 100000 + n).s as section, max(part) as part from ls group by doc_id, page_number),
+tn as (select doc_id, page_number, len(tables) as m, unnest(range(len(tables))) as k, unnest(tables) as t from kept where tables is not null),
+tb as (select tn.doc_id, tn.page_number, coalesce(part, 1 << 30) as part, k + 1 as k, section, true as is_table, 'Table on page ' || tn.page_number || case when m > 1 then ' (' || (k + 1) || ')' else '' end || chr(10) || t as text from tn left join lp on lp.doc_id = tn.doc_id and lp.page_number = tn.page_number),
+every as (select * from pr where text <> '' union all select * from tb)"""
+
+
+@query(f"with {_SEGMENTS} select doc_id, (row_number() over (partition by doc_id order by page_number, is_table::int, part, k) - 1)::int as seg_no, page_number, coalesce(section, '') as section, is_table, text from every")
 def d05_segments(s: SparkSession, d: str) -> DataFrame:
     """Segments of every scanned paper."""
     return structure.segments(structure.without_references(_pages(s, d))).withColumn("section", F.coalesce("section", F.lit("")))
@@ -331,7 +361,19 @@ def d06_merged_sections(s: SparkSession, d: str) -> DataFrame:
     return structure.merge_small_sections(rows).select("doc_id", "seg_no", F.coalesce("section", F.lit("")).alias("section"))
 
 
-@query()
+_DIGITS = "length(regexp_replace(text, '[^\\p{Nd}]', '', 'g'))"
+
+
+@query(f"""with {_P}, li as (select doc_id, page_number, unnest(range(len(lines))) as n, unnest(lines) as l from p where page_number <= 3 and lines is not null),
+la as (select doc_id, page_number, n, {_strip('l.text')} as text, l.size as size, l.y as y, max(l.y) over (partition by doc_id, page_number) as height from li),
+lb as (select * from la where text <> '' and size is not null and y <= 0.55 * height and length(text) <= 250 and {_legible('text')} and not {_in(_banner('text'), T.BANNERS + T.JOURNALS)} and not regexp_matches(text, '{structure.TITLE_NOISE}') and {_DIGITS} <= 0.2 * length(text)),
+bg as (select * from lb qualify size >= 0.95 * max(size) over (partition by doc_id)),
+ft as (select * from bg qualify row_number() over (partition by doc_id order by page_number, y, n) = 1),
+sm as (select bg.*, ft.size as top from bg join ft using (doc_id) where bg.page_number = ft.page_number and abs(bg.size - ft.size) <= 0.5 and (bg.y > ft.y or bg.y = ft.y and bg.n >= ft.n)),
+gp as (select *, coalesce(y - lag(y) over (partition by doc_id order by y, n) > 2.2 * top, false)::int as gap from sm),
+ch as (select * from gp qualify sum(gap) over (partition by doc_id order by y, n rows between unbounded preceding and current row) = 0),
+tt as (select doc_id, {_strip(_collapse("string_agg(text, ' ' order by y, n)"))} as title from ch group by doc_id)
+select doc_id, title from tt where length(title) >= 10 and not {_in(_banner('title'), T.BANNERS + T.JOURNALS)} and {_plausible('title')}""")
 def d08_d09_titles(s: SparkSession, d: str) -> DataFrame:
     """Titles found by typography."""
     return structure.best_title(structure.title_lines(_pages(s, d)))
@@ -344,7 +386,21 @@ def d10_flattened(s: SparkSession, d: str) -> DataFrame:
     return chunking.flatten(_segments(s, d)).groupBy("doc_id", "seg_no").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum("n").alias("n_words"))
 
 
-@query()
+_CHUNKS = f"""{_SEG}, st as (select doc_id, seg_no, page_number, section, coalesce(is_table, false) as is_table, unnest(range(len(t))) as sent_no, unnest(t) as text from (select *, case when coalesce(is_table, false) then [text] else {_sentences('text')} end as t from seg where text is not null)),
+sn as (select *, len({_words('text')}) as n, row_number() over w as o, (is_table or coalesce(lag(is_table) over w, true) or section is distinct from lag(section) over w)::int as border from st window w as (partition by doc_id order by seg_no, sent_no)),
+sr as (select *, sum(border) over (partition by doc_id order by o) as run from sn),
+rn as (select doc_id, run, any_value(section) as section, bool_or(is_table) as is_table, list(text order by o) as ts, list(page_number order by o) as ps, list(n order by o) as ns, run = max(run) over (partition by doc_id) as last from sr group by doc_id, run),
+ru as (select *, list_prepend(0, list_transform(range(1, len(ns) + 1), lambda k: list_sum(ns[1:k])::bigint)) as cum from rn),
+walk as (
+ select doc_id, run, 0::bigint as k, 0::bigint as a, case when is_table then 0 else list_filter(range(0, len(ns)), lambda j: cum[j + 2] >= 180)[1] end as b from ru
+ union all
+ select w.doc_id, w.run, w.k + 1, greatest(w.a, len(list_filter(cum, lambda c: c <= cum[w.b + 2] - 40)) - 1), list_filter(range(w.b + 1, len(ns)), lambda j: cum[j + 2] - cum[greatest(w.a, len(list_filter(cum, lambda c: c <= cum[w.b + 2] - 40)) - 1) + 1] >= 180)[1]
+ from walk w join ru on ru.doc_id = w.doc_id and ru.run = w.run where w.b is not null and not ru.is_table),
+cut as (select w.doc_id, w.run, w.k, w.a, coalesce(w.b, len(ns) - 1) as b, ts, ps, ns, section from walk w join ru on ru.doc_id = w.doc_id and ru.run = w.run where w.b is not null or w.a < len(ns) and cum[len(ns) + 1] - cum[w.a + 1] > case when last then 40 else 0 end)"""
+
+
+@query(f"""with recursive {_CHUNKS}
+select doc_id, (row_number() over (partition by doc_id order by run, k) - 1)::int as chunk_id, array_to_string(ts[a + 1:b + 1], ' ') as text, list_sum(ns[a + 1:b + 1])::int as word_count, list_min(ps[a + 1:b + 1]) as page_start, list_max(ps[a + 1:b + 1]) as page_end, coalesce(section, '') as section from cut""")
 def d11_chunks(s: SparkSession, d: str) -> DataFrame:
     """Chunks of every paper's segments."""
     return chunking.chunk_segments(_segments(s, d)).withColumn("section", F.coalesce("section", F.lit("")))
