@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -183,6 +183,24 @@ def hard_negatives(candidates: DataFrame, positives: DataFrame, n: int) -> DataF
     return rest.withColumn("place", place).where(F.col("place") <= n)
 
 
+def model_sweep(stage: DataFrame, queries: DataFrame, chunks: DataFrame, titles: DataFrame, scorers: Mapping[str, Callable[[Column, Column], Column]], pools: Sequence[int], k: int) -> DataFrame:
+    """(model, pool, n_queries, hit_rate, mrr, precision): every re-ranker over every pool of one first stage (query_id, key, rank).
+
+    Texts are joined once, each model scores a candidate once, and a pool is a limit on the first stage's ranks."""
+    q = queries.select("query_id", "question", "paper", "must_contain").distinct()
+    rows = stage.select("query_id", *KEY, "rank").join(q, "query_id").join(chunks.select(*KEY, "text"), list(KEY)).join(titles.select("doc_id", "title"), "doc_id", "left")
+    relevant = F.coalesce(is_relevant(F.col("paper"), F.coalesce("title", F.lit("")), F.col("must_contain"), F.col("text")), F.lit(False))
+    scores = F.array(*[F.struct(F.lit(n).alias("model"), F.round(f(F.col("question"), F.col("text")), 9).alias("s")) for n, f in scorers.items()])
+    rows = rows.select("query_id", *KEY, "rank", relevant.alias("relevant"), F.explode(scores).alias("m")).select("query_id", *KEY, "rank", "relevant", "m.*")
+    rows = rows.withColumn("pool", F.explode(F.array(*[F.lit(p) for p in pools]))).where(F.col("rank") <= F.col("pool"))
+    place = F.row_number().over(Window.partitionBy("model", "pool", "query_id").orderBy(F.col("s").desc(), "rank"))
+    hits = rows.withColumn("place", place).where((F.col("place") <= k) & F.col("relevant"))
+    found = hits.groupBy("model", "pool", "query_id").agg(F.min("place").alias("first_rank"), F.count(F.lit(1)).alias("n_relevant"))
+    grid = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.lit(p).alias("pool")) for n in scorers for p in pools]))
+    every = q.select("query_id").distinct().select("query_id", grid.alias("g")).select("query_id", "g.*")
+    return retrieval_metrics(every.join(found, ["model", "pool", "query_id"], "left").withColumn("n_relevant", F.coalesce("n_relevant", F.lit(0))), k, ["model", "pool"])
+
+
 def balanced(df: DataFrame, positive: str, key: Sequence[str], times: int = 3, seed: int = 7) -> DataFrame:
     """All rows with ``positive``, and of the others at most ``times`` as many, the first in the order of a seeded MD5 of the key.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators.dense import embed, knn
 from lectern.operators.lexical import KEY, bm25, top
+from lectern.runtime import settle
 
 RANK_CONSTANT, POOL = 60, 30
 MODES = ("dense", "bm25", "hybrid", "hybrid+rerank")
@@ -78,6 +79,12 @@ def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, scorer=
     return rows.withColumn("_place", place).drop("rank").withColumnRenamed("_place", "rank")
 
 
+def first_stage(chunks: DataFrame, queries: DataFrame, depth: int = POOL, weights: Sequence[float] | None = None, embedder=embed) -> DataFrame:
+    """(query_id, doc_id, chunk_id, rank, score): the fused candidates of both arms, settled, for re-rankers to share between models and runs."""
+    dense = knn(chunks.select(*KEY, embedder("text").alias("embedding")), queries.select("query_id", embedder("question").alias("embedding")), depth)
+    return settle(fuse([dense, bm25(chunks, queries, depth)], weights).where(F.col("rank") <= depth).select("query_id", *KEY, "rank", F.col("fused").alias("score")))
+
+
 def retrieve(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid+rerank", k: int = 5, quota: Column | int | None = None, pool: int = POOL, weights: Sequence[float] | None = None, scope: DataFrame | None = None, scorer=overlap_scorer, embedder=embed) -> DataFrame:
     """(query_id, doc_id, chunk_id, score, rank): the k passages of every question in one plan.
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -129,6 +129,11 @@ def _asked(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "corpus_queries").where("id is not null").select(F.col("id").alias("query_id"), "question", "paper", "must_contain", "doc_id").distinct()
 
 
+def _split_name(split: Column) -> Column:
+    clean = F.lower(F.trim(split))
+    return F.when(clean.isin("train", "training"), "train").when(clean.isin("val", "validation", "dev"), "val").when(clean == "test", "test")
+
+
 def _titles(s: SparkSession, d: str) -> DataFrame:
     both = table(s, d, "corpus_queries").select("doc_id", "paper").unionByName(table(s, d, "benchmark").select("doc_id", "paper"))
     return both.where("doc_id is not null").groupBy("doc_id").agg(F.max("paper").alias("title"))
@@ -212,6 +217,16 @@ def t17_t18_t23_question_tests(s: SparkSession, d: str) -> DataFrame:
     return q.select("turn_id", T.looks_comparative("question").alias("comparative"), T.looks_self_contained("question").alias("self_contained"), T.usable_question("question").alias("usable"))
 
 
+@query(f"""with {_Q}, b as (select turn_id, {_strip("regexp_replace(" + _strip("coalesce(retrieval_question, question)") + ", '(?i)^(question|q)\\s*[:\\-]\\s*', '')")} as b from q),
+g as (select turn_id, {_strip("split_part(regexp_replace(regexp_replace(b, '^\"+', ''), '\"+$', ''), chr(10), 1)")} as g from b)
+select turn_id, coalesce(g, '') as generated, coalesce(length(g) between 20 and 200 and contains(g, '?') and {' and '.join(f"not contains(lower(g), '{w}')" for w in T.BANNED_IN_QUESTIONS)}, false) as usable from g""")
+def t23_generated_questions(s: SparkSession, d: str) -> DataFrame:
+    """Questions as a model may have given them, cleaned, and whether they are fit for training."""
+    q = table(s, d, "turns").where("turn_id is not null").select("turn_id", "question", "answer", "retrieval_question").distinct()
+    made = q.select("turn_id", T.generated_question(F.coalesce("retrieval_question", "question")).alias("g"))
+    return made.select("turn_id", F.coalesce("g", F.lit("")).alias("generated"), T.usable_question("g", 20, 200).alias("usable"))
+
+
 @query(f"""with {_Q}, r as (select turn_id, question, {_strip('retrieval_question')} as s from q),
 r2 as (select turn_id, question, regexp_replace(regexp_replace({_strip("regexp_replace(split_part(s, chr(10), 1), '(?i)^(standalone question|question)\\s*[:\\-]\\s*', '')")}, '^"+', ''), '"+$', '') as r from r)
 select turn_id, case when r is null or r = '' or length(r) > 300 or not contains(r, '?') then question else r end as rewritten from r2""")
@@ -280,6 +295,28 @@ def t26_summaries(s: SparkSession, d: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- structure
+# Pages as a layout parser gives them, made of the scanned lines: a block of all lines, a line of two spans, a grid of the first table at 60 to 120 points.
+
+
+@query(f"""with p as (select doc_id, page_number, text, lines, tables from raw_pages where text is not null qualify row_number() over (partition by doc_id, page_number order by scanned_at desc nulls last, text desc) = 1),
+l as (select doc_id, page_number, unnest(range(len(lines))) as n, unnest(lines) as l, tables from p where lines is not null),
+g as (select doc_id, page_number, array_to_string(list_filter(list_transform(string_split(tables[1], chr(10)), lambda r: array_to_string(list_transform(string_split(r, ' | '), lambda c: {_strip('c')}), ' | ')), lambda r: regexp_matches(r, '[^ |]')), chr(10)) as g, len(list_filter(string_split(tables[1], chr(10)), lambda r: regexp_matches(r, '[^ |]'))) as rows from p where len(tables) > 0),
+k as (select l.doc_id, l.page_number, n, {_strip(f"regexp_replace(regexp_replace(l.l.text, '{T.PRIVATE_USE}', ' ', 'g'), '[ \\t]+', ' ', 'g')")} as text, round(l.l.size, 1) as size, coalesce(l.l.bold, false) as bold from l left join g on g.doc_id = l.doc_id and g.page_number = l.page_number and g.rows >= 2 where not coalesce(l.l.y + 5 >= 60 and l.l.y + 5 <= 120 and g.rows >= 2, false)),
+m as (select doc_id, page_number, count(*) as n_lines, count(*) filter (bold) as n_bold, round(sum(size), 3) as sizes, md5(string_agg(text, chr(10) order by n)) as digest from (select * replace (case when regexp_matches(text, '[\\x{{ac00}}-\\x{{d3ff}}]') then text else translate(text, '{_lost}', '{_letters}') end as text) from k) where text <> '' group by doc_id, page_number)
+select p.doc_id, p.page_number, coalesce(n_lines, 0) as n_lines, coalesce(n_bold, 0) as n_bold, coalesce(sizes, 0) as sizes, coalesce(digest, md5('')) as digest, md5(coalesce(case when rows >= 2 then g end, '')) as grids from p left join m using (doc_id, page_number) left join g using (doc_id, page_number)""")
+def s03_s04_s05_layout(s: SparkSession, d: str) -> DataFrame:
+    """Lines and tables of every page, read from a layout that is made of its scanned lines: two spans a line, the page's first table as a
+    grid at 60 to 120 points; lines whose centre lies in the grid are left to it."""
+    half = lambda l: F.floor(F.length(l.text) / 2).cast("int")
+    span = lambda l, part: F.struct(part.alias("text"), l["size"].alias("size"), F.when(F.coalesce(l.bold, F.lit(False)), 16).otherwise(0).alias("flags"), l.y.alias("y"))
+    line = lambda l: F.struct(F.array(span(l, F.substring(l.text, F.lit(1), half(l))), span(l, F.substring(l.text, half(l) + 1, F.length(l.text)))).alias("spans"), F.lit(0.0).alias("x0"), l.y.alias("y0"), F.lit(100.0).alias("x1"), (l.y + 10).alias("y1"))
+    grid = F.when(F.size("tables") > 0, F.array(F.struct(F.lit(0.0).alias("x0"), F.lit(60.0).alias("y0"), F.lit(600.0).alias("x1"), F.lit(120.0).alias("y1"), F.transform(F.split(F.get("tables", F.lit(0)), "\n"), lambda r: F.split(r, r" \| ")).alias("rows"))))
+    layout = _pages(s, d).select("doc_id", "page_number", F.array(F.struct(F.transform("lines", line).alias("lines"))).alias("blocks"), grid.alias("grids"))
+    pages = structure.pages_of_layout(layout)
+    sizes = F.round(F.aggregate("lines", F.lit(0.0), lambda a, x: a + F.coalesce(x["size"], F.lit(0.0))), 3)
+    return pages.select("doc_id", "page_number", F.size("lines").cast("long").alias("n_lines"), F.size(F.filter("lines", lambda x: x.bold)).cast("long").alias("n_bold"), sizes.alias("sizes"), F.md5("text").alias("digest"), F.md5(F.array_join("tables", "\n")).alias("grids"))
+
+
 @query("""with p as (select * from raw_pages where text is not null qualify row_number() over (partition by doc_id, page_number order by scanned_at desc nulls last, text desc) = 1),
 l as (select doc_id, page_number, unnest(range(len(lines))) as n, unnest(lines) as l from p where lines is not null),
 z as (select doc_id, l.size as size, sum(length(l.text)) as c, min(page_number * 100000 + n) as f from l where l.size is not null and l.text is not null group by all)
@@ -574,6 +611,27 @@ def k06_best_config(s: SparkSession, d: str) -> DataFrame:
     return evaluation.best_config(_sweep(s, d)).select("config_no", "pool", "weight")
 
 
+_MODELS = {"share": fusion.overlap_scorer, "count": lambda q, t: F.size(F.array_intersect(F.array_distinct(T.tokens(q)), T.tokens(t))).cast("double")}
+_POOLS = [10, 30]
+
+
+def _models_sql() -> str:
+    q, t = f"list_distinct({_tok('question')})", _tok("text")
+    score = {"share": f"case when len({q}) = 0 then 1.0 else len(list_intersect({q}, {t})) / len({q}) end", "count": f"len(list_intersect({q}, {t}))"}
+    parts = [
+        f"select '{m}' as model, {p} as pool, * from (with rr as (select fr.query_id, fr.doc_id, fr.chunk_id, row_number() over (partition by fr.query_id order by round({score[m]}, 9) desc, fr.rank) as rank from fr join qs on qs.query_id = fr.query_id join ch on ch.doc_id = fr.doc_id and ch.chunk_id = fr.chunk_id where fr.rank <= {p}), fin as (select * from rr where rank <= 5), {_firsts('fin')} select {_METRICS} from fi)"
+        for m in _MODELS for p in _POOLS
+    ]
+    return f"with {_ARMS}, {_TITLES}, {_fused(30)} " + " union all ".join(parts)
+
+
+@query(_models_sql())
+def r20_r21_models(s: SparkSession, d: str) -> DataFrame:
+    """Metrics of two re-rankers over two pools, all from one settled first stage."""
+    chunks, asked = settle(_chunks(s, d)), _asked(s, d)
+    return evaluation.model_sweep(fusion.first_stage(chunks, asked, 30), asked, chunks, _titles(s, d), _MODELS, _POOLS, 5).select("model", "pool", "n_queries", *[F.round(c, 9).alias(c) for c in ("hit_rate", "mrr", "precision")])
+
+
 _LOG = """lg as (select answer_id, doc_id, chunk_id, rank, case when not isnan(score) then score end as score, logged_at from retrieved where answer_id is not null and doc_id is not null and chunk_id is not null),
 l1 as (select * from lg qualify row_number() over (partition by answer_id, doc_id, chunk_id order by logged_at desc nulls last, score desc nulls last, rank desc nulls last) = 1),
 an as (select * from answers where answer_id is not null qualify row_number() over (partition by answer_id order by answered_at desc nulls last, max_per_document desc nulls last, question desc nulls last) = 1)"""
@@ -624,6 +682,42 @@ def r14_a18_prompts(s: SparkSession, d: str) -> DataFrame:
     return rows.select("answer_id", "n_excerpts", F.md5(F.concat(F.lit("Context excerpts:\n\n"), "context", F.lit("\n\nQuestion: "), F.coalesce("question", F.lit("")))).alias("digest"))
 
 
+_BEST = f"""{_LOG}, c as (select doc_id, chunk_id, text, page_start, page_end, section from chunks where doc_id is not null qualify row_number() over (partition by doc_id, chunk_id order by text desc nulls last) = 1), {_TITLES},
+w as (select r.answer_id as query_id, place as excerpt, r.doc_id, t.title, {_CITE} as citation, c.page_start, c.page_end, c.section, r.score, c.text from (select *, row_number() over (partition by answer_id order by score desc nulls last, doc_id, chunk_id) as place from l1) r join c on c.doc_id = r.doc_id and c.chunk_id = r.chunk_id left join titles t on t.doc_id = r.doc_id where place <= 5)"""
+
+
+def _wired(s: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    from lectern.plans.ask import wire
+
+    best = _log(s, d).withColumn("rank", F.row_number().over(Window.partitionBy("answer_id").orderBy(F.col("score").desc_nulls_last(), "doc_id", "chunk_id"))).where("rank <= 5").withColumnRenamed("answer_id", "query_id")
+    texts = table(s, d, "chunks").where("doc_id is not null").groupBy("doc_id", "chunk_id").agg(F.max_by(F.struct("text", "page_start", "page_end", "section"), F.struct(F.col("text").isNotNull(), "text")).alias("c")).select("doc_id", "chunk_id", "c.*")
+    return wire(best, texts, _titles(s, d))
+
+
+@query(f"with {_BEST} select * exclude (text, title, section, score), coalesce(title, '') as title, coalesce(section, '') as section, coalesce(score, 0) as score, md5(coalesce(text, '')) as digest from w")
+def f08_wire_rows(s: SparkSession, d: str) -> DataFrame:
+    """What a service sends for the five best passages of every logged answer."""
+    blank = {c: F.coalesce(c, F.lit("")) for c in ("title", "section")}
+    return _wired(s, d).withColumns({**blank, "score": F.coalesce("score", F.lit(0.0)), "digest": F.md5(F.coalesce("text", F.lit("")))}).drop("text")
+
+
+@query(f"with {_BEST} select query_id, excerpt, md5('<details open><summary><b>[Excerpt ' || excerpt || ']</b> ' || citation || ' <i>score ' || printf('%.3f', round(coalesce(score, 0), 6) + 1e-9) || '</i></summary>' || chr(10) || chr(10) || coalesce(text, '') || chr(10) || chr(10) || '</details>') as digest from w")
+def t27_source_blocks(s: SparkSession, d: str) -> DataFrame:
+    """The passages of every logged answer as collapsible blocks; scores are nudged off ties, which engines round differently."""
+    score = F.round(F.coalesce("score", F.lit(0.0)), 6) + 1e-9
+    return _wired(s, d).select("query_id", "excerpt", F.md5(T.source_block(F.col("excerpt"), F.col("citation"), score, F.coalesce("text", F.lit("")))).alias("digest"))
+
+
+@query("""with b as (select distinct id as query_id, paper, case when lower(trim(split)) in ('train', 'training') then 'train' when lower(trim(split)) in ('val', 'validation', 'dev') then 'val' when lower(trim(split)) = 'test' then 'test' end as split from benchmark where id is not null)
+select query_id from b where split = 'val' and (contains(lower(coalesce(paper, '')), 'layer') or contains(lower(coalesce(paper, '')), 'role of')) order by query_id limit 50""")
+def f04_picked_queries(s: SparkSession, d: str) -> DataFrame:
+    """The first fifty validation questions about papers whose name holds one of two phrases."""
+    b = table(s, d, "benchmark").where("id is not null").select(F.col("id").alias("query_id"), "paper", _split_name(F.col("split")).alias("split")).distinct().where("split is not null")
+    return evaluation.pick_queries(b, "val", ["layer", "role OF"], limit=50).select("query_id")
+
+
 # ---------------------------------------------------------------- joins, sets, counts, samples, conversations
 @query(f"""with {_QS}, {_CH}, {_TITLES}, hit as (select distinct q.query_id, ch.doc_id, ch.chunk_id from qs q, ch left join titles t on t.doc_id = ch.doc_id where {_REL})
 select q.query_id, count(hit.chunk_id) as n_chunks, count(hit.chunk_id) = 0 as unanswerable from (select distinct query_id from qs) q left join hit on hit.query_id = q.query_id group by q.query_id""")
@@ -666,9 +760,7 @@ _SPLIT = "case when lower(trim(split)) in ('train', 'training') then 'train' whe
 @query(f"""with b as (select distinct id, coalesce(left(doc_id, 1), '-') as cluster, {_SPLIT} as split from benchmark where id is not null), c as (select coalesce(cluster, 'TOTAL') as cluster, count(*) filter (split = 'train') as train, count(*) filter (split = 'val') as val, count(*) filter (split = 'test') as test, count(*) as total from b group by rollup (cluster)) select * from c""")
 def a12_a14_split_counts(s: SparkSession, d: str) -> DataFrame:
     """Benchmark questions by split and cluster of papers, with the total."""
-    clean = F.lower(F.trim("split"))
-    split = F.when(clean.isin("train", "training"), "train").when(clean.isin("val", "validation", "dev"), "val").when(clean == "test", "test")
-    b = table(s, d, "benchmark").where("id is not null").select("id", F.coalesce(F.left("doc_id", F.lit(1)), F.lit("-")).alias("cluster"), split.alias("split")).distinct()
+    b = table(s, d, "benchmark").where("id is not null").select("id", F.coalesce(F.left("doc_id", F.lit(1)), F.lit("-")).alias("cluster"), _split_name(F.col("split")).alias("split")).distinct()
     return evaluation.split_table(b)
 
 
