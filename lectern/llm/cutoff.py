@@ -115,7 +115,7 @@ def ending(text: str, trie: WordTrie) -> tuple[str, str]:
     last = latin(plain(lines[-1]))
     found = _LAST.search(last)
     word = found.group().lower() if found else ""
-    prose = [latin(plain(x)) for x in lines if not _ROW.search(x)]
+    prose = (latin(plain(x)) for x in lines if not _ROW.search(x))  # read up to the first sentence
     if not any(_SENTENCE.search(x) and sum(w.lower() in trie.known for w in re.findall(r"[^\W\d_]+", x)) >= 4 for x in prose):
         return "none", word
     if m:
