@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators.ranking import carried
+from lectern.operators.structure import SEGMENTS
 
 
 def flatten(segments: DataFrame) -> DataFrame:
@@ -40,11 +42,12 @@ def chunk_segments(segments: DataFrame, target_words: int = 180, overlap_words:
     beyond the overlap. Between two such borders sentences form a run, and runs are chunked independently, so no task holds more
     than a run: only word counts go to Python, texts stay in the JVM. Chunks are numbered from 0 in reading order."""
     rows = flatten(segments)
-    order = Window.partitionBy("doc_id").orderBy("seg_no", "sent_no")
-    border = F.col("is_table") | F.coalesce(F.lag("is_table").over(order), F.lit(True)) | ~F.col("section").eqNullSafe(F.lag("section").over(order))
-    rows = rows.withColumn("run", F.sum(border.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("last_run", F.max("run").over(Window.partitionBy("doc_id")))
-    runs = rows.groupBy("doc_id", "run").agg(F.array_sort(F.collect_list(F.struct("seg_no", "sent_no", "n", "page_number", "text"))).alias("s"), F.first("section").alias("section"), F.first("is_table").alias("is_table"), (F.first("run") == F.first("last_run")).alias("last"))
+    block, order = F.floor(F.col("seg_no") / SEGMENTS), ["seg_no", "sent_no"]
+    rows = carried(rows, ["doc_id"], block, order, before={"before": F.struct("is_table", "section")})
+    border = F.col("is_table") | F.coalesce("before.is_table", F.lit(True)) | ~F.col("section").eqNullSafe(F.col("before.section"))
+    rows = carried(rows, ["doc_id"], block, order, sums={"run": border.cast("int")})
+    runs = rows.groupBy("doc_id", "run").agg(F.array_sort(F.collect_list(F.struct("seg_no", "sent_no", "n", "page_number", "text"))).alias("s"), F.first("section").alias("section"), F.first("is_table").alias("is_table"))
+    runs = runs.join(rows.groupBy("doc_id").agg(F.max("run").alias("last_run")), "doc_id").withColumn("last", F.col("run") == F.col("last_run"))
 
     @F.pandas_udf("array<struct<a:int,b:int>>")
     def ranges(counts: pd.Series, last: pd.Series, table: pd.Series) -> pd.Series:
@@ -52,10 +55,10 @@ def chunk_segments(segments: DataFrame, target_words: int = 180, overlap_words:
 
     made = runs.select("doc_id", "run", "section", "s", F.posexplode(ranges(F.transform("s", lambda x: x.n), "last", "is_table")).alias("k", "r"))
     part = F.slice("s", F.col("r.a") + 1, F.col("r.b") - F.col("r.a") + 1)
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("run", "k")) - 1
+    made = carried(made, ["doc_id"], F.floor(F.col("run") / SEGMENTS), ["run", "k"], sums={"number": F.lit(1)})
     return made.select(
         "doc_id",
-        number.alias("chunk_id"),
+        (F.col("number") - 1).cast("int").alias("chunk_id"),
         F.array_join(F.transform(part, lambda x: x.text), " ").alias("text"),
         F.aggregate(F.transform(part, lambda x: x.n), F.lit(0), lambda a, x: a + x).alias("word_count"),
         F.array_min(F.transform(part, lambda x: x.page_number)).alias("page_start"),

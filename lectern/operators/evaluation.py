@@ -163,6 +163,20 @@ def unassigned(titles: DataFrame, resolved: DataFrame) -> DataFrame:
     return titles.select("title").distinct().join(resolved.where("n_titles = 1").select("title"), "title", "left_anti")
 
 
+def require_resolved(resolved: DataFrame, titles: DataFrame, most: int = 100) -> DataFrame:
+    """``resolved`` if every fragment names one title, no title is in two splits and every title is named; else an error that lists all
+    problems together, at most ``most`` of each kind by name and the number of the rest."""
+    wrong = resolved.where("problem is not null").select(F.concat_ws(": ", F.concat_ws("/", "cluster", "split"), F.concat(F.lit("'"), "fragment", F.lit("'")), "problem").alias("what"))
+    left = unassigned(titles, resolved).select(F.concat(F.lit("no split: '"), "title", F.lit("'")).alias("what"))
+    said = []
+    for rows in (wrong, left):
+        n = rows.count()
+        said += [r.what for r in rows.orderBy("what").limit(most).collect()] + ([f"and {n - most} more"] if n > most else [])
+    if said:
+        raise ValueError("; ".join(said))
+    return resolved
+
+
 def split_table(rows: DataFrame, splits: Sequence[str] = ("train", "val", "test")) -> DataFrame:
     """(cluster, a column a split, total): counts by cluster with a TOTAL row, from one pass over a rollup."""
     counts = [F.count(F.when(F.col("split") == s, 1)).alias(s) for s in splits]

@@ -57,3 +57,43 @@ def place_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], na
         same = same & F.col(k).eqNullSafe(F.col(f))
     here = F.row_number().over(Window.partitionBy(*keys, part).orderBy(*order))
     return rows.withColumn(name, here).join(counts, same).withColumn(name, F.col(name) + F.col(before)).drop(*flags, part, f"{part}s", before)
+
+
+def carried(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, before: dict[str, Column] | None = None) -> DataFrame:
+    """Adds what is carried along each key in ``order``: ``sums``, running sums with the row itself (NULL counts 0); ``lasts``, the last value so far
+    that is not NULL; ``before``, the value of the row before, NULL in the first row.
+
+    In two steps, within blocks of a key and over blocks, so that no task sorts a whole key: ``block`` must not fall as ``order`` rises, and
+    what is ordered over a key's blocks is one row a block."""
+    sums, lasts, before = sums or {}, lasts or {}, before or {}
+    place = F.struct(*[F.col(c) for c in order])
+    rows = settle(df.withColumn("_block", block))  # read for the blocks and for the rows
+    near = Window.partitionBy(*keys, "_block").orderBy(*order)
+    upto = near.rowsBetween(Window.unboundedPreceding, 0)
+    ends = [F.sum(F.coalesce(c, F.lit(0))).alias(f"_sum_{n}") for n, c in sums.items()]
+    ends += [F.max_by(F.struct(c.alias("v")), F.when(c.isNotNull(), place)).alias(f"_last_{n}") for n, c in lasts.items()]
+    ends += [F.max_by(F.struct(c.alias("v")), place).alias(f"_before_{n}") for n, c in before.items()]
+    far = Window.partitionBy(*keys).orderBy("_block")
+    past = far.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(*keys, "_block").agg(*ends)
+    blocks = blocks.select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys],
+        F.col("_block").alias("_blocks"),
+        *[F.coalesce(F.sum(f"_sum_{n}").over(past), F.lit(0)).alias(f"_sum_{n}") for n in sums],
+        *[F.last(f"_last_{n}", True).over(past).alias(f"_last_{n}") for n in lasts],
+        *[F.lag(f"_before_{n}").over(far).alias(f"_before_{n}") for n in before],
+    )
+    rows = rows.withColumns({
+        **{n: F.sum(F.coalesce(c, F.lit(0))).over(upto) for n, c in sums.items()},
+        **{n: F.last(F.when(c.isNotNull(), F.struct(c.alias("v"))), True).over(upto) for n, c in lasts.items()},
+        **{n: F.lag(F.struct(c.alias("v"))).over(near) for n, c in before.items()},
+    })
+    same = F.col("_block") == F.col("_blocks")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    rows = rows.join(blocks, same).withColumns({
+        **{n: F.col(n) + F.col(f"_sum_{n}") for n in sums},
+        **{n: F.coalesce(n, f"_last_{n}").getField("v") for n in lasts},
+        **{n: F.coalesce(n, f"_before_{n}").getField("v") for n in before},
+    })
+    return rows.drop("_block", "_blocks", *[f"_key_{k}" for k in keys], *[f"_sum_{n}" for n in sums], *[f"_last_{n}" for n in lasts], *[f"_before_{n}" for n in before])

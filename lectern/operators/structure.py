@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions.typography import render_spans
+from lectern.operators.ranking import carried
+from lectern.runtime import settle
 
 # Names of sections, and what marks lines that are no headings.
 SECTIONS = ["abstract", "introduction", "background", "related work", "methods", "methodology", "materials and methods", "model", "model description", "data", "data and methods", "experiments", "experimental setup", "results", "results and discussion", "discussion", "analysis", "conclusion", "conclusions", "conclusions and future work", "summary", "summary and conclusions", "acknowledgements", "acknowledgments", "appendix", "supplementary material"]
@@ -15,6 +17,8 @@ NUMBERED = r"^(\d+(?:\.\d+)*)\.?\s+([A-Z][^.!?]{2,70})$"
 UNNUMBERED = r"^[A-Z][A-Za-z]+(?:\s+[A-Za-z&-]+){0,6}$"
 REFERENCES = r"(?im)^\s*(\d+\.?\s*)?(references|bibliography|works cited)\s*$"
 CAPTION = r"^(?i:fig|table|eq|plate)"
+#: Pages, segments and sentences of a paper that are put in order by one task.
+PAGES, SEGMENTS = 256, 4096
 TITLE_NOISE = r"(?i)(doi|https?://|www\.|arxiv|preprint|\bvol\.|©|copyright|\bissn\b|all rights reserved|general rights|downloaded from)"
 
 
@@ -64,16 +68,18 @@ def heading(text: Column, size: Column | None = None, bold: Column | None = None
 def without_references(pages: DataFrame) -> DataFrame:
     """Pages without their reference list: the first heading of one at or beyond 70 % of the paper's characters cuts its page there and drops
     the later pages. The cut page loses its typography and tables. A paper without such a heading stays whole."""
-    order = Window.partitionBy("doc_id").orderBy("page_number")
-    sized = pages.withColumn("_before", F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum(F.length("text")).over(Window.partitionBy("doc_id")))
+    pages = settle(pages)  # read for the lengths and for the pages
+    sizes = carried(pages.select("doc_id", "page_number", F.length("text").alias("_n")), ["doc_id"], F.floor(F.col("page_number") / PAGES), ["page_number"], sums={"_upto": F.col("_n")})
+    sizes = sizes.select("doc_id", "page_number", (F.col("_upto") - F.coalesce("_n", F.lit(0))).alias("_before"))
+    sized = pages.join(sizes, ["doc_id", "page_number"]).join(pages.groupBy("doc_id").agg(F.sum(F.length("text")).alias("_all")), "doc_id")
     pieces, hits = F.split("text", REFERENCES, -1), F.regexp_extract_all("text", F.lit(REFERENCES), F.lit(0))
     # the offset of hit k is the length of pieces 0..k and hits 0..k-1
     offsets = F.transform(F.sequence(F.lit(1), F.size(hits)), lambda k: F.aggregate(F.slice(pieces, F.lit(1), k), F.lit(0), lambda a, s: a + F.length(s)) + F.aggregate(F.slice(hits, F.lit(1), k - 1), F.lit(0), lambda a, s: a + F.length(s)))
     offsets = F.when(F.size(hits) > 0, offsets)
     late = F.array_min(F.filter(offsets, lambda o: o + F.col("_before") >= 0.7 * F.col("_all")))
     marked = sized.withColumn("_at", late)
-    cut = F.min(F.when(F.col("_at").isNotNull(), F.col("page_number"))).over(Window.partitionBy("doc_id"))
-    kept = marked.withColumn("_cut", cut).where("_cut is null or page_number <= _cut")
+    cut = marked.where("_at is not null").groupBy("doc_id").agg(F.min("page_number").alias("_cut"))
+    kept = marked.join(cut, "doc_id", "left").where("_cut is null or page_number <= _cut")
     here = F.coalesce(F.col("page_number") == F.col("_cut"), F.lit(False))
     out = {"text": F.when(here, F.substring(F.col("text"), F.lit(1), F.col("_at"))).otherwise(F.col("text"))}
     for c in ("lines", "tables"):
@@ -86,31 +92,32 @@ def segments(pages: DataFrame) -> DataFrame:
     """(doc_id, seg_no, page_number, section, is_table, text): prose between headings, a segment a page and section; then the page's tables.
 
     Lines of fewer than three characters are dropped; a heading begins the segment it names; the section is carried over pages."""
+    pages = settle(pages)  # read for the type sizes, the lines and the tables
     lines = page_lines(pages)
     lines = lines.join(body_size(lines), "doc_id", "left").where(F.length(T.strip("text")) >= 3)
     lines = lines.withColumn("heading", heading(F.col("text"), F.col("size"), F.col("bold"), F.col("body")))
-    order = Window.partitionBy("doc_id").orderBy("page_number", "line_no")
-    lines = lines.withColumn("section", F.last("heading", True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    lines = lines.withColumn("part", F.sum(F.col("heading").isNotNull().cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    lines = carried(lines, ["doc_id"], F.floor(F.col("page_number") / PAGES), ["page_number", "line_no"], sums={"part": F.col("heading").isNotNull().cast("int")}, lasts={"section": F.col("heading")})
     prose = lines.groupBy("doc_id", "page_number", "part").agg(F.max("section").alias("section"), F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("l"))
     prose = prose.select("doc_id", "page_number", "part", F.lit(0).alias("k"), "section", F.lit(False).alias("is_table"), T.clean_text(F.array_join(F.transform("l", lambda s: s.text), "\n")).alias("text")).where("text <> ''")
     last = lines.groupBy("doc_id", "page_number").agg(F.max_by(F.struct("section"), F.struct("part", "line_no")).getField("section").alias("section"), F.max("part").alias("part"))
     label = F.concat(F.lit("Table on page "), F.col("page_number").cast("string"), F.when(F.col("n") > 1, F.concat(F.lit(" ("), (F.col("k") + 1).cast("string"), F.lit(")"))).otherwise(""), F.lit("\n"), F.col("table"))
     tables = pages.select("doc_id", "page_number", F.size("tables").alias("n"), F.posexplode("tables").alias("k", "table")).join(last, ["doc_id", "page_number"], "left")
     tables = tables.select("doc_id", "page_number", F.coalesce("part", F.lit(1 << 30)).alias("part"), (F.col("k") + 1).alias("k"), "section", F.lit(True).alias("is_table"), label.alias("text"))
-    every = prose.unionByName(tables)
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_number", F.col("is_table").cast("int"), "part", "k")) - 1
-    return every.select("doc_id", number.alias("seg_no"), "page_number", "section", "is_table", "text")
+    every = prose.unionByName(tables).withColumn("tabled", F.col("is_table").cast("int"))
+    every = carried(every, ["doc_id"], F.floor(F.col("page_number") / PAGES), ["page_number", "tabled", "part", "k"], sums={"number": F.lit(1)})
+    return every.select("doc_id", (F.col("number") - 1).cast("int").alias("seg_no"), "page_number", "section", "is_table", "text")
 
 
 def merge_small_sections(segs: DataFrame, least: int = 40) -> DataFrame:
     """Runs of one section (NULL is a section too) with fewer than ``least`` words take the section of the run that stayed before; the first such runs NULL."""
-    order = Window.partitionBy("doc_id").orderBy("seg_no")
-    fresh = ~F.col("section").eqNullSafe(F.lag("section").over(order)) | (F.row_number().over(order) == 1)
-    runs = segs.withColumn("_run", F.sum(fresh.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.withColumn("_words", F.sum(F.size(T.words("text"))).over(Window.partitionBy("doc_id", "_run")))
-    kept = F.last(F.when(F.col("_words") >= least, F.struct("section")), True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return runs.withColumn("section", kept.getField("section")).drop("_run", "_words")
+    block, order = F.floor(F.col("seg_no") / SEGMENTS), ["seg_no"]
+    rows = carried(segs, ["doc_id"], block, order, before={"_before": F.struct("section")})
+    fresh = F.col("_before").isNull() | ~F.col("section").eqNullSafe(F.col("_before.section"))
+    rows = carried(rows, ["doc_id"], block, order, sums={"_run": fresh.cast("int")}).drop("_before")
+    runs = rows.groupBy("doc_id", "_run").agg(F.sum(F.size(T.words("text"))).alias("_words"), F.first("section").alias("_section"))
+    # one row a run: what is carried over a paper's runs is its sections, not its rows
+    runs = carried(runs, ["doc_id"], F.floor(F.col("_run") / SEGMENTS), ["_run"], lasts={"_kept": F.when(F.col("_words") >= least, F.struct("_section"))})
+    return rows.join(runs.select("doc_id", "_run", "_kept"), ["doc_id", "_run"]).withColumn("section", F.col("_kept._section")).drop("_run", "_kept").select(*segs.columns)
 
 
 def title_lines(pages: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lectern.operators.ranking import latest_by, place_within, rank_within
+from lectern.operators.ranking import carried, latest_by, place_within, rank_within
 from lectern.operators import lexical
 from lectern.plans import ask, benchmark, groundedness, service
 from lectern.plans.index import index_pages
@@ -39,6 +39,25 @@ def test_places_in_a_group_of_many_ranges(spark):
     assert "_place_part" in plan
 
 
+def test_what_is_carried_over_blocks_equals_plain_windows(spark):
+    import random
+
+    from pyspark.sql import Window
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.choice([None, None, "x", "y"]), rng.choice([None, 1, 2])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, i int, v string, n int").repartition(5)
+    got = carried(df, ["k"], F.floor(F.col("i") / 50), ["i"], sums={"s": F.col("n")}, lasts={"l": F.col("v")}, before={"b": F.struct("v")})
+    w = Window.partitionBy("k").orderBy("i")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    want = df.withColumn("s", F.sum(F.coalesce("n", F.lit(0))).over(upto)).withColumn("l", F.last("v", True).over(upto)).withColumn("b", F.lag(F.struct("v")).over(w))
+    assert sorted(map(tuple, got.select("i", "s", "l", "b").collect())) == sorted(map(tuple, want.select("i", "s", "l", "b").collect()))
+    # every window over rows is by block too
+    windows = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window" in x]
+    assert windows and all("_block" in x for x in windows)
+    assert carried(df.limit(0), ["k"], F.col("i"), ["i"], sums={"s": F.col("n")}).count() == 0
+
+
 def test_a_cluster_needs_a_shared_folder():
     from types import SimpleNamespace
 

@@ -92,6 +92,10 @@ def test_splits_resolve(spark):
     t = spark.createDataFrame([("Haze",), ("Haze on Titan",), ("Dust storms",), ("Left over",)], "title string")
     got = {r.fragment: (r.n_titles, r.title, r.problem) for r in evaluation.resolve_splits(f, t).collect()}
     assert got["haze"][:2] == (1, "Haze") and got["Dust"] == (1, "Dust storms", None) and got["none"][2] == "no match" and got["o"][2] == "several matches"
+    with pytest.raises(ValueError, match="no match.*several matches.*no split: 'Haze on Titan'; no split: 'Left over'"):
+        evaluation.require_resolved(evaluation.resolve_splits(f, t), t)
+    good = evaluation.resolve_splits(f.where("fragment in ('haze', 'Dust')"), t.where("title in ('Haze', 'Dust storms')"))
+    assert evaluation.require_resolved(good, t.where("title in ('Haze', 'Dust storms')")).count() == 2
     assert [r.title for r in evaluation.unassigned(t, evaluation.resolve_splits(f, t)).orderBy("title").collect()] == ["Haze on Titan", "Left over"]
 
 
