@@ -137,3 +137,20 @@ def test_models_run_in_batches(spark):
     scorer = fusion.model_scorer(lambda: lambda pairs: [len(t) for _, t in pairs], 2)
     hits = fusion.retrieve(corpus(spark, ["jet", "the jet speed", "jets"]), spark.createDataFrame([(1, "jet speed")], "query_id int, question string"), "hybrid+rerank", 2, scorer=scorer)
     assert [r.score for r in hits.orderBy("rank").collect()] == [13.0, 4.0]
+
+
+def test_a_reranker_is_fitted_tuned_and_read_once(spark):
+    from lectern.plans import reranker
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(40)]
+    chunks = corpus(spark, texts)
+    asks = [(i, " ".join(texts[i].split()[5:9]), f"d{i % 3}", [" ".join(texts[i].split()[5:7])]) for i in range(40)]
+    examples = spark.createDataFrame([(q, texts[i], [texts[(i + 7) % 40], None]) for i, q, _, _ in asks[:20]], "question string, positive string, negatives array<string>")
+    q = spark.createDataFrame([(i, question, None, must) for i, question, _, must in asks], "query_id int, question string, paper string, must_contain array<string>")
+    titles = spark.createDataFrame([("d0", "A")], "doc_id string, title string")
+    scorer, grid, test = reranker.tune(examples, fusion.first_stage(chunks, q, 10), q.where("query_id between 20 and 29"), q.where("query_id >= 30"), chunks, titles, (0.01, 1.0), (5, 10), 1)
+    assert grid.count() == 4 and test.count() == 1 and test.first().hit_rate >= 0.9 and test.first().n_queries == 10
+    r = spark.createDataFrame([("w1 w2", "w1 w2 w3", "w4 w5 w6")], "q string, a string, b string").select(scorer(F.col("q"), F.col("a")) > scorer(F.col("q"), F.col("b"))).first()
+    assert r[0]
