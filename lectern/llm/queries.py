@@ -28,6 +28,15 @@ def p1_capped_sources(spark: SparkSession, d: str) -> DataFrame:
     return capping.cap_nested(docs, levels, "size", ["doc_id"]).select("doc_id", "source", "lang", F.coalesce("cut_at", F.lit(0)).alias("cut_at"))
 
 
+def p1_nested_caps(spark: SparkSession, d: str) -> DataFrame:
+    """Documents under three nested caps that are shares: at most half of a source's rows in a language, then a tenth of its organisation's
+    rows of a source, then two fifths of all rows of an organisation; the longest stay. Sources of one half of the alphabet stand for an organisation."""
+    source = F.coalesce("source", F.lit(""))
+    docs = table(spark, d, "documents").select("doc_id", F.when(source < "m", "a").otherwise("m").alias("org"), source.alias("source"), F.lower(F.coalesce("lang", F.lit(""))).alias("lang"), F.length("text").cast("double").alias("size"))
+    levels = [capping.Level(("org", "source", "lang"), share=0.5), capping.Level(("org", "source"), share=0.1), capping.Level(("org",), share=0.4)]
+    return capping.cap_nested(docs, levels, "size", ["doc_id"]).select("doc_id", "org", "source", "lang", F.coalesce("cut_at", F.lit(0)).alias("cut_at"))
+
+
 def _long(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(splitting.long_items(table(spark, d, "segments"), table(spark, d, "chunks")))
 
@@ -116,7 +125,7 @@ def p9_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_kept, p1_capped_sources, p2_found, p2_pieces, p3_found, p3_canonical, p4_found, p4_paragraphs, p5_found, p6_found, p6_counts, p7_ids, p8_found, p8_passages, p8_leaked, p8_clean, p9_found, p9_share)
+    f.__name__: f for f in (p1_found, p1_kept, p1_capped_sources, p1_nested_caps, p2_found, p2_pieces, p3_found, p3_canonical, p4_found, p4_paragraphs, p5_found, p6_found, p6_counts, p7_ids, p8_found, p8_passages, p8_leaked, p8_clean, p9_found, p9_share)
 }
 
 _HITS = """
@@ -145,6 +154,17 @@ inner_ as (
 outer_ as (
   select *, row_number() over (partition by source, a > 40 order by size desc nulls last, doc_id) as b from inner_)
 select doc_id, source, lang, (case when a > 40 then 1 when b > (select greatest(1, floor(count(*) * 0.05)) from doc) then 2 else 0 end)::int as cut_at from outer_
+""",
+    "p1_nested_caps": """
+with doc as (
+  select doc_id, case when coalesce(source, '') < 'm' then 'a' else 'm' end as org, coalesce(source, '') as source, lower(coalesce(lang, '')) as lang, length(text)::double as size from documents),
+one as (
+  select *, row_number() over (partition by org, source, lang order by size desc nulls last, doc_id) > greatest(1, floor(count(*) over (partition by org, source) * 0.5)) as cut1, count(*) over (partition by org) as n_org from doc),
+two as (
+  select *, not cut1 and row_number() over (partition by org, source, cut1 order by size desc nulls last, doc_id) > greatest(1, floor(n_org * 0.1)) as cut2 from one),
+three as (
+  select *, not cut1 and not cut2 and row_number() over (partition by org, cut1, cut2 order by size desc nulls last, doc_id) > greatest(1, floor((select count(*) from doc) * 0.4)) as cut3 from two)
+select doc_id, org, source, lang, (case when cut1 then 1 when cut2 then 2 when cut3 then 3 else 0 end)::int as cut_at from three
 """,
     "p2_found": """
 with seg as (
