@@ -73,8 +73,8 @@ def parsed(records: DataFrame) -> DataFrame:
     return records.mapInPandas(run, "id string, part string, doc_id string, title string, tokens array<string>, named array<string>")
 
 
-def misspellings(counts: DataFrame) -> DataFrame:
-    """(w, v) of (w, n): each word that is one edit from a word MISSPELT times as frequent, with the most frequent such word.
+def one_edit_pairs(some: DataFrame, others: DataFrame) -> DataFrame:
+    """(w, n, v, m): the words of (w, n) with those of ``others`` that are one edit away.
 
     Words meet by what is left of them when a letter is left out, an equi-join of distinct words, and are then compared."""
 
@@ -87,9 +87,15 @@ def misspellings(counts: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch[[one_edit(w, v) for w, v in zip(batch["w"], batch["v"])]]
 
-    frequent = counts.where(F.col("n") >= MISSPELT).mapInPandas(gaps, "gap string, w string, n long").select("gap", F.col("w").alias("v"), F.col("n").alias("m"))
-    pairs = counts.mapInPandas(gaps, "gap string, w string, n long").join(frequent, "gap").where(F.col("m") >= MISSPELT * F.col("n")).select("w", "v", "m").distinct()
-    return pairs.mapInPandas(near, "w string, v string, m long").groupBy("w").agg(F.max_by("v", F.struct("m", "v")).alias("v"))
+    left, right = (x.select("w", "n").mapInPandas(gaps, "gap string, w string, n long") for x in (some, others))
+    pairs = left.join(right.select("gap", F.col("w").alias("v"), F.col("n").alias("m")), "gap").where("w <> v").select("w", "n", "v", "m").distinct()
+    return pairs.mapInPandas(near, "w string, n long, v string, m long")
+
+
+def misspellings(counts: DataFrame) -> DataFrame:
+    """(w, v) of (w, n): each word that is one edit from a word MISSPELT times as frequent, with the most frequent such word."""
+    pairs = one_edit_pairs(counts, counts.where(F.col("n") >= MISSPELT)).where(F.col("m") >= MISSPELT * F.col("n"))
+    return pairs.groupBy("w").agg(F.max_by("v", F.struct("m", "v")).alias("v"))
 
 
 def bags(rows: DataFrame) -> DataFrame:
@@ -100,20 +106,24 @@ def bags(rows: DataFrame) -> DataFrame:
     used = F.filter(F.array_distinct("tokens"), lambda t: ~t.rlike("^[0-9]"))
     uses = rows.select("named", F.explode(used).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum(F.array_contains("named", F.col("w")).cast("long")).alias("own"))
     uses = settle(uses)
-    known = uses.join(misspellings(uses.select("w", "n")), "w", "left").select("w", "n", (F.col("own") >= NAMING * F.col("n")).alias("name"), "v")
-    asked = rows.select("id", F.explode(F.array_union(used, "named")).alias("w")).join(known, "w").groupBy("id").agg(F.collect_list(F.struct("w", "n", "name", "v")).alias("known"))
+    names = uses.where(F.col("own") >= NAMING * F.col("n")).select("w", "n")
+    alike = one_edit_pairs(uses.where("length(w) > 4"), names).where("n <= m").groupBy("w").agg(F.collect_set("v").alias("near"))
+    # of most words there is nothing to say, and questions are joined with the others only
+    known = misspellings(uses.select("w", "n")).join(names.select("w", F.lit(True).alias("name")), "w", "full").join(alike, "w", "full")
+    asked = rows.select("id", F.explode(F.array_union(used, "named")).alias("w")).join(known, "w").groupBy("id").agg(F.collect_list(F.struct("w", "name", "v", "near")).alias("known"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             numbers, words = [], []
             for toks, named, found in zip(batch["tokens"], batch["named"], batch["known"]):
                 about = {x["w"]: x for x in (found if found is not None else ())}
-                names = [w for w in named if w in about and about[w]["name"]]
+                names = {w for w in named if w in about and about[w]["name"]}
                 own = []
                 for t in toks:
-                    if t[0].isdigit() or t in STOP or any(t == n or len(t) > 4 and about[t]["n"] <= about[n]["n"] and one_edit(t, n) for n in names):
+                    of = about.get(t)
+                    if t[0].isdigit() or t in STOP or t in names or of is not None and of["near"] is not None and not names.isdisjoint(of["near"]):
                         continue
-                    t = about[t]["v"] or t
+                    t = of["v"] if of is not None and of["v"] else t
                     if t not in STOP:
                         own.append(t)
                 numbers.append(sorted(t for t in toks if t[0].isdigit()))
@@ -140,8 +150,9 @@ def rewordings(rows: DataFrame) -> DataFrame:
         return F.array_min(F.transform("words", lambda w: F.xxhash64(F.lit(k), w)))
 
     hashes = F.array(*[least(k) for k in range(HASHES)])
-    near = each.where("size(numbers) > 0").select("paper", "numbers", "words", F.posexplode(hashes).alias("k", "h"))
-    near = near.withColumn("other", F.lag("words").over(Window.partitionBy("paper", "numbers", "k", "h").orderBy("words"))).where("other is not null")
+    near = each.where("size(numbers) > 0").select(F.xxhash64("paper").alias("paper"), F.xxhash64("paper", "numbers").alias("about"), "words", F.posexplode(hashes).alias("k", "h"))
+    near = near.select("paper", F.xxhash64("about", "k", "h").alias("group"), "words")
+    near = near.withColumn("other", F.lag("words").over(Window.partitionBy("group").orderBy("words"))).where("other is not null")
     pairs = near.select("paper", "words", "other").distinct().select("paper", F.array_except("words", "other").alias("a"), F.array_except("other", "words").alias("b"), F.size(F.array_intersect("words", "other")).alias("same"))
     pairs = pairs.where(F.size("a").between(1, EXCHANGED) & F.size("b").between(1, EXCHANGED) & (F.col("same") >= 2)).select("paper", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     one, two = F.element_at("a", 1), F.element_at("b", 1)
