@@ -52,7 +52,7 @@ _ASKED = {k: re.compile(v, re.I) for k, v in ASKED.items()}
 
 # What a clause of substance begins with after one that declines.
 CONTRAST = re.compile(r"\b(?:but|however|although|though|aber|jedoch|allerdings|mais|cependant|toutefois|pero|sin embargo|aunque)\b|[;:–—]", re.I)
-_SUBSTANCE = re.compile(r"\d")
+_SUBSTANCE, _SENTENCES = re.compile(r"\d"), re.compile(r"(?<=[.!?])\s+")
 _WORDS = re.compile(r"[^\W_]+(?:[.'’][^\W_]+)*")
 _QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|„[^“”]*[“”]")
 _CITED = re.compile(r"\s*\[Excerpts? [^\]]*\]", re.I)
@@ -155,6 +155,10 @@ def is_copy(question: str | None, text: str) -> bool:
             break
         clean = shorter
     asked = set(latin(question).lower().split())
+    if len(clean) > 4 * len(question) + 200 and clean.isascii():
+        said = clean.lower().split()
+        if sum(map(asked.__contains__, said)) < 0.4 * len(said):
+            return False
     if len(asked) > 3 and 3 * len(asked & set(latin(clean).lower().split())) < len(asked) and len(clean) > 40 and not _fuzzy_start(question, clean):
         return False
     q, a = _tokens(question), _tokens(clean)
@@ -179,11 +183,8 @@ def is_copy(question: str | None, text: str) -> bool:
 def is_refusal(text: str) -> bool:
     """Every sentence declines or is small talk of at most ASIDE words, and at least one declines; what follows a declining clause in its
     sentence, after a word of contrast, is no more than small talk either and gives no number. The text's length doesn't matter."""
-    text = plain(text)
-    if not DECLINES.search(text):
-        return False
     declines = False
-    for part in re.split(r"(?<=[.!?])\s+", text):
+    for part in _SENTENCES.split(plain(text)):
         if found := DECLINES.search(part):
             rest = CONTRAST.search(part, found.end())
             after = part[rest.end() :] if rest else ""
