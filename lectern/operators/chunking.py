@@ -10,12 +10,19 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators.ranking import carried
 from lectern.operators.structure import SEGMENTS
+from lectern.runtime import settle
+
+
+def parted(segments: DataFrame) -> DataFrame:
+    """(doc_id, seg_no, page_number, section, is_table, parts array<string>): the sentences of every segment that has any; tables stay whole."""
+    table = F.coalesce("is_table", F.lit(False))
+    parts = F.when(table, F.array(F.col("text"))).otherwise(T.sentences("text"))
+    return segments.where("text is not null").select("doc_id", "seg_no", "page_number", "section", table.alias("is_table"), parts.alias("parts")).where("size(parts) > 0")
 
 
 def flatten(segments: DataFrame) -> DataFrame:
     """(doc_id, seg_no, sent_no, page_number, section, is_table, text, n): a row a sentence; tables stay whole."""
-    parts = F.when(F.coalesce("is_table", F.lit(False)), F.array(F.col("text"))).otherwise(T.sentences("text"))
-    rows = segments.where("text is not null").select("doc_id", "seg_no", "page_number", "section", F.coalesce("is_table", F.lit(False)).alias("is_table"), F.posexplode(parts).alias("sent_no", "text"))
+    rows = parted(segments).select("doc_id", "seg_no", "page_number", "section", "is_table", F.posexplode("parts").alias("sent_no", "text"))
     return rows.withColumn("n", F.size(T.words("text")))
 
 
@@ -41,13 +48,16 @@ def chunk_segments(segments: DataFrame, target_words: int = 180, overlap_words:
     section) or a table closes it too, at whatever size, and a table is a chunk of its own; the rest at a paper's end counts only
     beyond the overlap. Between two such borders sentences form a run, and runs are chunked independently, so no task holds more
     than a run: only word counts go to Python, texts stay in the JVM. Chunks are numbered from 0 in reading order."""
-    rows = flatten(segments)
-    block, order = F.floor(F.col("seg_no") / SEGMENTS), ["seg_no", "sent_no"]
-    rows = carried(rows, ["doc_id"], block, order, before={"before": F.struct("is_table", "section")})
+    rows = settle(parted(segments))
+    # a run begins with a segment; what is ordered along a paper is its segments' sections, without any text
+    block, order = F.floor(F.col("seg_no") / SEGMENTS), ["seg_no"]
+    steps = carried(rows.select("doc_id", "seg_no", "is_table", "section"), ["doc_id"], block, order, before={"before": F.struct("is_table", "section")})
     border = F.col("is_table") | F.coalesce("before.is_table", F.lit(True)) | ~F.col("section").eqNullSafe(F.col("before.section"))
-    rows = carried(rows, ["doc_id"], block, order, sums={"run": border.cast("int")})
-    runs = rows.groupBy("doc_id", "run").agg(F.array_sort(F.collect_list(F.struct("seg_no", "sent_no", "n", "page_number", "text"))).alias("s"), F.first("section").alias("section"), F.first("is_table").alias("is_table"))
-    runs = runs.join(rows.groupBy("doc_id").agg(F.max("run").alias("last_run")), "doc_id").withColumn("last", F.col("run") == F.col("last_run"))
+    steps = carried(steps.select("doc_id", "seg_no", border.cast("int").alias("border")), ["doc_id"], block, order, sums={"run": F.col("border")}).select("doc_id", "seg_no", "run")
+    parts = F.transform("parts", lambda t: F.struct(F.size(T.words(t)).alias("n"), F.col("page_number").alias("page_number"), t.alias("text")))
+    runs = rows.join(steps, ["doc_id", "seg_no"]).groupBy("doc_id", "run").agg(F.array_sort(F.collect_list(F.struct("seg_no", parts.alias("parts")))).alias("segs"), F.first("section").alias("section"), F.first("is_table").alias("is_table"))
+    runs = runs.join(steps.groupBy("doc_id").agg(F.max("run").alias("last_run")), "doc_id")
+    runs = runs.select("doc_id", "run", F.flatten(F.transform("segs", lambda x: x.parts)).alias("s"), "section", "is_table", (F.col("run") == F.col("last_run")).alias("last"))
 
     @F.pandas_udf("array<struct<a:int,b:int>>")
     def ranges(counts: pd.Series, last: pd.Series, table: pd.Series) -> pd.Series:

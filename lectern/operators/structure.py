@@ -109,15 +109,19 @@ def segments(pages: DataFrame) -> DataFrame:
 
 
 def merge_small_sections(segs: DataFrame, least: int = 40) -> DataFrame:
-    """Runs of one section (NULL is a section too) with fewer than ``least`` words take the section of the run that stayed before; the first such runs NULL."""
+    """Runs of one section (NULL is a section too) with fewer than ``least`` words take the section of the run that stayed before; the first such runs NULL.
+
+    (doc_id, seg_no) is the key of a row."""
     block, order = F.floor(F.col("seg_no") / SEGMENTS), ["seg_no"]
-    rows = carried(segs, ["doc_id"], block, order, before={"_before": F.struct("section")})
+    # what is ordered along a paper is its segments' sections, without any text, and then a row a run
+    rows = segs.select("doc_id", "seg_no", "section", F.size(T.words("text")).alias("_words"))
+    rows = carried(rows, ["doc_id"], block, order, before={"_before": F.struct("section")})
     fresh = F.col("_before").isNull() | ~F.col("section").eqNullSafe(F.col("_before.section"))
-    rows = carried(rows, ["doc_id"], block, order, sums={"_run": fresh.cast("int")}).drop("_before")
-    runs = rows.groupBy("doc_id", "_run").agg(F.sum(F.size(T.words("text"))).alias("_words"), F.first("section").alias("_section"))
-    # one row a run: what is carried over a paper's runs is its sections, not its rows
+    rows = carried(rows.select("doc_id", "seg_no", "section", "_words", fresh.cast("int").alias("_fresh")), ["doc_id"], block, order, sums={"_run": F.col("_fresh")})
+    runs = rows.groupBy("doc_id", "_run").agg(F.sum("_words").alias("_words"), F.first("section").alias("_section"))
     runs = carried(runs, ["doc_id"], F.floor(F.col("_run") / SEGMENTS), ["_run"], lasts={"_kept": F.when(F.col("_words") >= least, F.struct("_section"))})
-    return rows.join(runs.select("doc_id", "_run", "_kept"), ["doc_id", "_run"]).withColumn("section", F.col("_kept._section")).drop("_run", "_kept").select(*segs.columns)
+    found = rows.select("doc_id", "seg_no", "_run").join(runs.select("doc_id", "_run", "_kept"), ["doc_id", "_run"]).select("doc_id", "seg_no", F.col("_kept._section").alias("_section"))
+    return segs.join(found, ["doc_id", "seg_no"]).withColumn("section", F.col("_section")).select(*segs.columns)
 
 
 def title_lines(pages: DataFrame) -> DataFrame:
