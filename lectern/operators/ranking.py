@@ -88,7 +88,7 @@ def carried(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[s
         **{n: F.last(F.when(c.isNotNull(), F.struct(c.alias("v"))), True).over(upto) for n, c in lasts.items()},
         **{n: F.lag(F.struct(c.alias("v"))).over(near) for n, c in before.items()},
     })
-    same = F.col("_block") == F.col("_blocks")
+    same = F.col("_block").eqNullSafe(F.col("_blocks"))
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
     rows = rows.join(blocks, same).withColumns({
