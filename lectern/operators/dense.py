@@ -19,9 +19,9 @@ from lectern.operators.topk import TopK
 PASS, BATCH = 10_000, 2_048
 
 
-def buckets(text: Column | str, size: int = 64) -> Column:
+def buckets(tokens: Column | str, size: int = 64) -> Column:
     """The hash bucket of every token: the first six hex digits of its MD5 modulo ``size``."""
-    return F.transform(T.tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("int") % size)
+    return F.transform(T.col(tokens), lambda t: F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("int") % size)
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
@@ -37,7 +37,17 @@ def _histogram(found: pd.Series, size: pd.Series) -> pd.Series:
 
 def embed(text: Column | str, size: int = 64) -> Column:
     """A unit vector of token counts by bucket; zeros for a text without tokens. Any function text -> array may take its place."""
-    return _histogram(buckets(text, size), F.lit(size))
+    return embed_tokens(T.tokens(text), size)
+
+
+def embed_tokens(tokens: Column | str, size: int = 64) -> Column:
+    """``embed`` of a text of which an index holds the tokens."""
+    return _histogram(buckets(tokens, size), F.lit(size))
+
+
+def vectors_of(chunks: DataFrame, embedder=embed, key: Sequence[str] = KEY) -> DataFrame:
+    """(key, embedding) of chunks; the stand-in embedder reads the column ``tokens`` where there is one."""
+    return chunks.select(*key, (embed_tokens("tokens") if embedder is embed and "tokens" in chunks.columns else embedder("text")).alias("embedding"))
 
 
 def model_embedder(load: Callable[[], Callable[[list[str]], Iterable[Sequence[float]]]], batch: int = 32):

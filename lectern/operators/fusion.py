@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators.dense import embed, knn
+from lectern.operators.dense import embed, knn, vectors_of
 from lectern.operators.lexical import KEY, bm25, top
 from lectern.runtime import settle
 
@@ -81,7 +81,7 @@ def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, scorer=
 
 def first_stage(chunks: DataFrame, queries: DataFrame, depth: int = POOL, weights: Sequence[float] | None = None, embedder=embed) -> DataFrame:
     """(query_id, doc_id, chunk_id, rank, score): the fused candidates of both arms, settled, for re-rankers to share between models and runs."""
-    dense = knn(chunks.select(*KEY, embedder("text").alias("embedding")), queries.select("query_id", embedder("question").alias("embedding")), depth)
+    dense = knn(vectors_of(chunks, embedder), queries.select("query_id", embedder("question").alias("embedding")), depth)
     return settle(fuse([dense, bm25(chunks, queries, depth)], weights).where(F.col("rank") <= depth).select("query_id", *KEY, "rank", F.col("fused").alias("score")))
 
 
@@ -96,7 +96,7 @@ def retrieve(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid+rerank",
     depth = k if single and quota is None else max(pool, k)
 
     def dense() -> DataFrame:
-        return knn(chunks.select(*KEY, embedder("text").alias("embedding")), queries.select("query_id", embedder("question").alias("embedding")), depth, scope=scope)
+        return knn(vectors_of(chunks, embedder), queries.select("query_id", embedder("question").alias("embedding")), depth, scope=scope)
 
     def lexical() -> DataFrame:
         return bm25(chunks, queries, depth, scope=scope)

@@ -125,6 +125,11 @@ def _chunks(s: SparkSession, d: str, *more: str) -> DataFrame:
     return table(s, d, "chunks").where("doc_id is not null and chunk_id is not null").select("doc_id", "chunk_id", "text", *more).distinct()
 
 
+def _indexed(s: SparkSession, d: str) -> DataFrame:
+    """The chunks with their tokens, settled, for queries that read them several times."""
+    return settle(_chunks(s, d).withColumn("tokens", T.tokens("text")))
+
+
 def _asked(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "corpus_queries").where("id is not null").select(F.col("id").alias("query_id"), "question", "paper", "must_contain", "doc_id").distinct()
 
@@ -528,15 +533,15 @@ def r02_bm25(s: SparkSession, d: str) -> DataFrame:
 @query(f"with {_ARMS}, {_fused(1_000_000, 1.0, 2.0)} select query_id, doc_id, chunk_id, round(fused, 9) as fused, best_rank, first_score, rank from fr")
 def a06_a07_r07_fused(s: SparkSession, d: str) -> DataFrame:
     """Weighted fusion of both arms."""
-    chunks, asked = settle(_chunks(s, d)), _asked(s, d)
-    arms = [dense.knn(chunks.select("doc_id", "chunk_id", dense.embed("text").alias("embedding")), asked.select("query_id", dense.embed("question").alias("embedding")), 30), lexical.bm25(chunks, asked, 30)]
+    chunks, asked = _indexed(s, d), _asked(s, d)
+    arms = [dense.knn(dense.vectors_of(chunks), asked.select("query_id", dense.embed("question").alias("embedding")), 30), lexical.bm25(chunks, asked, 30)]
     return fusion.fuse(arms, [1.0, 2.0]).select("query_id", "doc_id", "chunk_id", F.round("fused", 9).alias("fused"), "best_rank", "first_score", "rank")
 
 
 @query(f"with {_ARMS}, {_fused(30)}, src as (select query_id, doc_id, chunk_id, fused as score, rank from fr), {_divers('src', 5, '3')} select {_HIT} from fin")
 def r03_hybrid(s: SparkSession, d: str) -> DataFrame:
     """Mode hybrid with a quota of three."""
-    return _hits(fusion.retrieve(settle(_chunks(s, d)), _asked(s, d), "hybrid", 5, 3))
+    return _hits(fusion.retrieve(_indexed(s, d), _asked(s, d), "hybrid", 5, 3))
 
 
 _RERANKED = f"""rr as (select fr.query_id, fr.doc_id, fr.chunk_id, round(case when len(list_distinct({_tok('question')})) = 0 then 1.0 else len(list_intersect(list_distinct({_tok('question')}), {_tok('text')})) / len(list_distinct({_tok('question')})) end, 9) as score, fr.rank as before
@@ -546,7 +551,7 @@ _RERANKED = f"""rr as (select fr.query_id, fr.doc_id, fr.chunk_id, round(case wh
 @query(f"with {_ARMS}, {_fused(30)}, {_RERANKED}, {_divers('src', 5)} select {_HIT} from fin")
 def r04_k04_reranked(s: SparkSession, d: str) -> DataFrame:
     """Mode hybrid+rerank with the stand-in scorer."""
-    return _hits(fusion.retrieve(settle(_chunks(s, d)), _asked(s, d), "hybrid+rerank", 5))
+    return _hits(fusion.retrieve(_indexed(s, d), _asked(s, d), "hybrid+rerank", 5))
 
 
 _REL = "ch.text is not null and (q.paper is null or q.paper = '' or coalesce(contains(lower(t.title), lower(q.paper)), false)) and len(list_filter(coalesce(q.must_contain, []), lambda p: not contains(translate(lower(ch.text), '^_{}', ''), translate(lower(p), '^_{}', '')))) = 0"
@@ -581,8 +586,8 @@ _GRID = [(10, 1.0), (10, 2.0), (30, 1.0), (30, 2.0)]
 
 def _sweep(s: SparkSession, d: str) -> DataFrame:
     """All configurations of pool and weight over the same two arms, in one plan."""
-    chunks, asked = settle(_chunks(s, d)), _asked(s, d)
-    arms = dense.knn(chunks.select("doc_id", "chunk_id", dense.embed("text").alias("embedding")), asked.select("query_id", dense.embed("question").alias("embedding")), 30).withColumn("arm", F.lit(0))
+    chunks, asked = _indexed(s, d), _asked(s, d)
+    arms = dense.knn(dense.vectors_of(chunks), asked.select("query_id", dense.embed("question").alias("embedding")), 30).withColumn("arm", F.lit(0))
     arms = arms.unionByName(lexical.bm25(chunks, asked, 30).withColumn("arm", F.lit(1)))
     grid = F.explode(F.array(*[F.struct(F.lit(n).alias("config_no"), F.lit(p).alias("pool"), F.lit(w).alias("weight")) for n, (p, w) in enumerate(_GRID)]))
     rows = arms.withColumn("g", grid).where("rank <= g.pool").withColumn("w", F.when(F.col("arm") == 1, F.col("g.weight")).otherwise(1.0))
@@ -628,7 +633,7 @@ def _models_sql() -> str:
 @query(_models_sql())
 def r20_r21_models(s: SparkSession, d: str) -> DataFrame:
     """Metrics of two re-rankers over two pools, all from one settled first stage."""
-    chunks, asked = settle(_chunks(s, d)), _asked(s, d)
+    chunks, asked = _indexed(s, d), _asked(s, d)
     return evaluation.model_sweep(fusion.first_stage(chunks, asked, 30), asked, chunks, _titles(s, d), _MODELS, _POOLS, 5).select("model", "pool", "n_queries", *[F.round(c, 9).alias(c) for c in ("hit_rate", "mrr", "precision")])
 
 
