@@ -190,6 +190,9 @@ class Repairer:
 
     def __init__(self, words: dict[str, int]):
         self.words, self.known, self.more = words, {}, {}
+        # what is said of a token is the same on every page
+        self.judged: dict[str, str | None] = {}
+        self.asked: dict[str, frozenset[str]] = {}
 
     def count(self, word: str) -> int:
         n = self.words.get(word)
@@ -217,14 +220,18 @@ class Repairer:
 
     def asks(self, tokens: list[str]) -> set[str]:
         """The words, and parts of words, of tokens of which the frequent words tell nothing."""
-        out = set()
+        out: set[str] = set()
         for t in tokens:
-            low = t.strip(_STRIP).lower()
-            if low not in self.words:
-                out.add(low)
-                if "-" in low or "/" in low:
-                    out.update(p for p in re.split("[-/]", low) if p not in self.words)
-        return {w for w in out if readable(w)}
+            some = self.asked.get(t)
+            if some is None:
+                low = t.strip(_STRIP).lower()
+                parts = [low, *(re.split("[-/]", low) if "-" in low or "/" in low else ())] if low not in self.words else []
+                if len(self.asked) > 500_000:
+                    self.asked.clear()
+                some = self.asked[t] = frozenset(w for w in parts if w not in self.words and readable(w))
+            if some:
+                out |= some
+        return out
 
     def asks_broken(self, token: str, follows: str) -> set[str]:
         """The same of the words that a token at a line's end may make with the next."""
@@ -234,6 +241,13 @@ class Repairer:
 
     def token(self, token: str) -> str | None:
         """The printed form of a token, or None; a token's hyphenated parts are judged one by one."""
+        if token not in self.judged:
+            if len(self.judged) > 500_000:
+                self.judged.clear()
+            self.judged[token] = self._token(token)
+        return self.judged[token]
+
+    def _token(self, token: str) -> str | None:
         core = token.strip(_STRIP)
         if not core or core.isdigit():
             return None
