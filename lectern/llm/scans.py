@@ -60,7 +60,7 @@ _NUMBER = r"[0-9lIO|oSbBgi]*[0-9][0-9lIO|oSbBgi]*|[lIO|]{1,3}|[ivxlcdmIVXLCDM]+"
 _PAGE_NO = re.compile(rf"[\W_]*(?:(\w{{1,6}})[\s.:]+)?[\W_]*({_NUMBER})[\W_]*(?:(?:\w{{1,3}}|/)\s+({_NUMBER}))?[\W_]*")
 _PAGE_WORDS = {"page", "p", "pg", "pp", "seite", "s", "página", "pagina", "pág", "folio"}
 _LEADING, _TRAILING = re.compile(r"^\W*([0-9lIO|]+)\s{2,}(?=\S)"), re.compile(r"\|\s*([0-9lIO|]+)\W*$")
-_ACROSS = re.compile(rf"\S+[{BREAKS}]\s*\n\s*\S+")
+_NO_LETTERS, _NOT_AZ = re.compile(r"[\W\d_]+"), re.compile("[^a-z]+")
 _DIGITS = str.maketrans("lI|iOoSbBg", "1111005689")
 
 
@@ -69,7 +69,7 @@ def fold(text: str) -> str:
     text = text.lower()
     for pair, one in (("rn", "m"), ("vv", "w"), ("cl", "d"), ("ri", "n"), ("ii", "u"), ("li", "h")):
         text = text.replace(pair, one)
-    return "".join(c for c in text.translate(_FOLD) if c.isalpha())
+    return _NO_LETTERS.sub("", text.translate(_FOLD))
 
 
 def numeral(word: str) -> int | None:
@@ -114,7 +114,7 @@ def edge_keys(line: str) -> list[int]:
 
 def norm(line: str) -> str:
     """Lower-case letters only."""
-    return re.sub("[^a-z]+", "", line.lower())
+    return _NOT_AZ.sub("", line.lower())
 
 
 def scanned(pages: DataFrame) -> DataFrame:
@@ -134,7 +134,10 @@ def tallied(texts: DataFrame) -> DataFrame:
         inner: Counter[str] = Counter()
 
         def flush() -> pd.DataFrame:
-            rows = [(True, w, n, 0) for w, n in words.items() if any(map(str.isalpha, w))]
+            bare: Counter[str] = Counter()
+            for t, n in words.items():
+                bare[t.strip(_WORD_STRIP)] += n
+            rows = [(True, w, n, 0) for w, n in bare.items() if any(map(str.isalpha, w))]
             rows += [(False, f"{digest(k):x}", outer[k], inner[k]) for k in {*outer, *inner}]
             for c in (words, outer, inner):
                 c.clear()
@@ -142,8 +145,15 @@ def tallied(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch["text"]:
-                words.update(w for t in _ACROSS.sub(" ", text).lower().split() if (w := t.strip(_WORD_STRIP)))
                 lines = [x for x in text.split("\n") if x.strip()]
+                broken = False
+                for x in lines:
+                    tokens = x.lower().split()
+                    if broken:
+                        del tokens[0]
+                    if broken := bool(tokens) and len(tokens[-1]) > 1 and tokens[-1][-1] in BREAKS:
+                        tokens.pop()
+                    words.update(tokens)
                 outer.update(k for x in (*lines[:EDGE], *lines[EDGE:][-EDGE:]) if (k := norm(x)))
                 inner.update(k for x in lines[EDGE:-EDGE] if (k := norm(x)))
             if len(words) + len(outer) + len(inner) > HELD:
