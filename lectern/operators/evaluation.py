@@ -98,15 +98,17 @@ def pick_queries(queries: DataFrame, split: str = "all", papers: Sequence[str] =
     return queries if limit is None else queries.orderBy(*order).limit(limit)
 
 
-def relevant_ranks(hits: DataFrame, queries: DataFrame, chunks: DataFrame, titles: DataFrame) -> DataFrame:
-    """(query_id, rank) of the relevant hits."""
+def judged(hits: DataFrame, queries: DataFrame, chunks: DataFrame, titles: DataFrame) -> DataFrame:
+    """The hits with ``relevant``. A column and no filter: Spark 4.1 may infer a filter on the phrases from one over these joins and put it below
+    the join that brings the text, which then cannot be run."""
     rows = hits.join(queries.select("query_id", "paper", "must_contain"), "query_id").join(chunks.select(*KEY, "text"), list(KEY)).join(titles.select("doc_id", "title"), "doc_id", "left")
-    return rows.where(is_relevant(F.col("paper"), F.coalesce("title", F.lit("")), F.col("must_contain"), F.col("text"))).select("query_id", "rank")
+    relevant = F.coalesce(is_relevant(F.col("paper"), F.coalesce("title", F.lit("")), F.col("must_contain"), F.col("text")), F.lit(False))
+    return rows.select(*hits.columns, relevant.alias("relevant"))
 
 
 def first_ranks(hits: DataFrame, queries: DataFrame, chunks: DataFrame, titles: DataFrame) -> DataFrame:
     """(query_id, first_rank, n_relevant) of every query; NULL and 0 where nothing relevant was found."""
-    found = relevant_ranks(hits, queries, chunks, titles).groupBy("query_id").agg(F.min("rank").alias("first_rank"), F.count(F.lit(1)).alias("n_relevant"))
+    found = judged(hits, queries, chunks, titles).groupBy("query_id").agg(F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first_rank"), F.count_if("relevant").alias("n_relevant"))
     return queries.select("query_id").join(found, "query_id", "left").withColumn("n_relevant", F.coalesce("n_relevant", F.lit(0)))
 
 

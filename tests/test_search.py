@@ -1,5 +1,8 @@
 import math
+import os
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +84,17 @@ def test_metrics_count_misses(spark):
     assert (m.n_queries, round(m.hit_rate, 4), round(m.mrr, 4), m.precision) == (3, 0.6667, 0.5, 1 / 3)
 
 
+def test_bm25_metrics_as_the_first_query_of_a_session():
+    code = """
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+print("queries", e.queries()["a08_w05_bm25_metrics"](spark, "/root/testdata/sf0.001").first().n_queries)
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True, timeout=300)
+    assert "queries 8" in done.stdout, done.stderr[-2000:]
+
+
 def test_ratios_are_null_where_nothing_counts(spark):
     rows = spark.createDataFrame([(["SUPPORTED", "SUPPORTED", "UNSUPPORTED", "CONTRADICTED"],), ([],)], "v array<string>")
     got = [tuple(r[0]) for r in rows.select(evaluation.verdict_ratios(F.col("v"))).collect()]
