@@ -4,35 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from lectern.functions import text as T
 from lectern.operators.lexical import KEY, top
-from lectern.operators.topk import TopK
-
-#: Queries that are sent to the tasks in one pass, and chunks that are scored at once.
-PASS, BATCH = 10_000, 2_048
-
-
-def buckets(tokens: Column | str, size: int = 64) -> Column:
-    """The hash bucket of every token: the first six hex digits of its MD5 modulo ``size``."""
-    return F.transform(T.col(tokens), lambda t: F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("int") % size)
-
-
-@F.pandas_udf(ArrayType(DoubleType()))
-def _histogram(found: pd.Series, size: pd.Series) -> pd.Series:
-    n = int(size.iloc[0]) if len(size) else 1
-    lens = [len(x) for x in found]
-    rows = np.zeros((len(found), n))
-    if sum(lens):
-        np.add.at(rows, (np.repeat(np.arange(len(found)), lens), np.concatenate([np.asarray(x, np.int64) for x in found if len(x)])), 1.0)
+from lectern.operators.topk import TopK, blocks, by_key, flat
+from lectern.runtime import settle
+
+#: Queries that are sent to the tasks in one pass, and chunks and queries that are scored at once.
+PASS, BATCH, ASKED = 10_000, 2_048, 512
+
+
+@F.arrow_udf(ArrayType(DoubleType()))
+def _histogram(tokens: pa.Array, size: pa.Array) -> pa.Array:
+    """Unit vectors of token counts by hash bucket: the first six hex digits of a token's MD5 modulo ``size``, found for the distinct tokens of a batch."""
+    n = size[0].as_py() if len(size) else 1
+    lens, each = flat(pa.chunked_array([tokens]))
+    words = each.dictionary_encode()
+    at = np.array([int(md5(w.encode()).hexdigest()[:6], 16) % n for w in words.dictionary.to_pylist()], np.int64)
+    slots = np.repeat(np.arange(len(lens)) * n, lens) + (at[words.indices.to_numpy(zero_copy_only=False)] if len(each) else 0)
+    rows = np.bincount(slots, minlength=len(lens) * n).reshape(len(lens), n).astype(np.float64)
     norm = np.sqrt((rows**2).sum(1, keepdims=True))
-    return pd.Series(list(rows / np.where(norm > 0, norm, 1)))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(lens) + 1, dtype=np.int32) * np.int32(n)), pa.array((rows / np.where(norm > 0, norm, 1)).ravel()))
 
 
 def embed(text: Column | str, size: int = 64) -> Column:
@@ -42,7 +42,7 @@ def embed(text: Column | str, size: int = 64) -> Column:
 
 def embed_tokens(tokens: Column | str, size: int = 64) -> Column:
     """``embed`` of a text of which an index holds the tokens."""
-    return _histogram(buckets(tokens, size), F.lit(size))
+    return _histogram(T.col(tokens), F.lit(size))
 
 
 def vectors_of(chunks: DataFrame, embedder=embed, key: Sequence[str] = KEY) -> DataFrame:
@@ -72,7 +72,8 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, key: Sequence[str] = KEY
 
     Exact. ``vectors`` has the key and ``embedding``, ``queries`` has query_id and ``embedding``. The stated queries are sent in passes of
     bounded size; each task keeps for each query its k best so far, so a task's result
-    is queries times k rows whatever it has read. Scores are rounded to nine places. A scope restricts the vectors before the search;
+    is queries times k rows whatever it has read. Products are first taken in single precision; where these come within their error of a query's k-th best
+    score so far, the product is taken in double precision, which alone decides. Scores are rounded to nine places. A scope restricts the vectors before the search;
     NULL vectors take no part."""
     if scope is not None:
         vectors = vectors.join(scope.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -81,25 +82,67 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, key: Sequence[str] = KEY
     kind = queries.schema["query_id"].dataType.simpleString()
     asked = queries.where("embedding is not null").select("query_id", "embedding")
     passes = asked.count() // PASS + 1
+    vectors = vectors.where("embedding is not null").select(*key, "embedding")
+    if passes > 1:
+        asked, vectors = settle(asked), settle(vectors)
+    vectors = by_key(vectors, key)
     found = []
     for p in range(passes):
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p).collect() if passes > 1 else asked.collect()
-        if not rows:
+        rows = (asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p) if passes > 1 else asked).toArrow()
+        if not len(rows):
             continue
-        shared = spark.sparkContext.broadcast(([r.query_id for r in rows], np.array([r.embedding for r in rows], np.float64)))
+        shared = spark.sparkContext.broadcast((rows["query_id"].combine_chunks(), _matrix(rows["embedding"])))
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
-            kept = TopK(k, key)
-            for whole in batches:
-                for i in range(0, len(whole), BATCH):
-                    batch = whole.iloc[i : i + BATCH].sort_values(list(key))
-                    kept.add(np.round(q @ np.array(batch["embedding"].tolist(), np.float64).reshape(len(batch), -1).T, 9), batch[list(key)])
-            best = kept.best()
-            if len(best):
-                yield best.assign(query_id=[ids[i] for i in best["q"]])[["query_id", *key, "score"]]
-
-        found.append(vectors.where("embedding is not null").select(*key, "embedding").mapInPandas(run, f"query_id {kind}, {kinds}, score double"))
+            kept = TopK(k, len(q))
+            for block in blocks(batches, "embedding", 256 * (q.shape[1] + 1), BATCH * (q.shape[1] + 1)):
+                _score(q, _matrix(block["embedding"]), kept, kept.block(block.select(list(key))))
+            yield from kept.found(ids)
+
+        found.append(vectors.mapInArrow(run, f"query_id {kind}, {kinds}, score double"))
     if not found:
         return spark.createDataFrame([], f"query_id {kind}, {kinds}, score double, rank int")
     return top(reduce(DataFrame.unionByName, found), k, key)
+
+
+def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
+    """Lists of equal length as rows of doubles."""
+    lens, values = flat(lists)
+    if len(lens) and (lens != lens[0]).any():
+        raise ValueError("vectors differ in length")
+    return values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lens), -1)
+
+
+def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in single precision at unit length, and their lengths; a row of zeros stays."""
+    norm = np.sqrt((x**2).sum(1))
+    return (x / np.where(norm > 0, norm, 1)[:, None]).astype(np.float32), norm
+
+
+def _score(q: np.ndarray, v: np.ndarray, kept: TopK, first: int) -> None:
+    """Gives ``kept`` the rows of ``v`` that may be among a query's best; they are numbered from ``first``."""
+    n, k = len(v), kept.k
+    near, far = _unit(q), _unit(v)
+    longest = far[1].max()
+    scaled = far[0] * (far[1] / (longest or 1))[:, None].astype(np.float32)
+    sure = kept.full and np.isfinite(near[1]).all() and np.isfinite(far[1]).all()
+    slack = (v.shape[1] + 8) * 2.0**-22  # more than single precision errs on unit vectors
+    for i in range(0, len(q), ASKED):
+        some = slice(i, min(i + ASKED, len(q)))
+        if sure:
+            reach = near[1][some] * longest  # no score of this block is above
+            floor = kept.floor[some]
+            room = np.where(reach > floor, floor / np.where(reach > 0, reach, 1), np.inf) - slack
+            at = np.flatnonzero(near[0][some] @ scaled.T > room[:, None].astype(np.float32))
+            a, c = at // n, at % n
+            s = np.round(np.einsum("ij,ij->i", q[some][a], v[c]), 9)
+            good = s > floor[a]
+        else:
+            scores = np.round(q[some] @ v.T, 9)
+            a, c = np.nonzero(scores >= np.partition(scores, n - k, axis=1)[:, n - k : n - k + 1]) if n > k else np.nonzero(np.ones(scores.shape, bool))
+            s = scores[a, c]
+            good = np.ones(len(a), bool)
+        kept.add(a[good] + i, c[good] + first, s[good])
+    if not kept.full or first < 16 * BATCH:
+        kept.cut()

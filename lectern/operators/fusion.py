@@ -29,7 +29,7 @@ def fuse(lists: Sequence[DataFrame], weights: Sequence[float] | None = None, key
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    fused = every.groupBy("query_id", *key).agg(F.round(F.sum(F.col("w") / (RANK_CONSTANT + F.col("rank"))), 12).alias("fused"), F.min("rank").alias("best_rank"), F.max("score").alias("first_score"))
+    fused = every.repartition("query_id").groupBy("query_id", *key).agg(F.round(F.sum(F.col("w") / (RANK_CONSTANT + F.col("rank"))), 12).alias("fused"), F.min("rank").alias("best_rank"), F.max("score").alias("first_score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("fused").desc(), "best_rank", *key))
     return fused.withColumn("rank", place)
 
@@ -72,9 +72,17 @@ def model_scorer(load: Callable[[], Callable[[list[tuple[str, str]]], Iterable[f
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, scorer=overlap_scorer, key: Sequence[str] = KEY) -> DataFrame:
-    """Candidates ordered anew by ``scorer(question, text)``; equal scores keep the order they had. Texts are joined last, for candidates only."""
-    rows = candidates.join(queries.select("query_id", "question"), "query_id").join(chunks.select(*key, "text"), list(key))
-    rows = rows.withColumn("score", F.round(scorer(F.col("question"), F.col("text")), 9)).drop("question", "text")
+    """Candidates ordered anew by ``scorer(question, text)``; equal scores keep the order they had. Texts are joined last, for candidates only.
+
+    Where an index holds the tokens the stand-in scorer reads these, a chunk's as one string between blanks, which is shorter to send than an array, and a question's taken once."""
+    if scorer is overlap_scorer and "tokens" in chunks.columns:
+        asked = queries.select("query_id", F.array_distinct(T.tokens("question")).alias("_asked"))
+        told = chunks.select(*key, F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")).alias("_told"))
+        had = F.size(F.filter("_asked", lambda t: F.contains(F.col("_told"), F.concat(F.lit(" "), t, F.lit(" ")))))
+        score = F.when(F.size("_asked") == 0, 1.0).otherwise(had / F.size("_asked"))
+    else:
+        asked, told, score = queries.select("query_id", F.col("question").alias("_asked")), chunks.select(*key, F.col("text").alias("_told")), scorer(F.col("_asked"), F.col("_told"))
+    rows = candidates.join(asked, "query_id").join(told, list(key)).withColumn("score", F.round(score, 9)).drop("_asked", "_told")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("rank")))
     return rows.withColumn("_place", place).drop("rank").withColumnRenamed("_place", "rank")
 

@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators.topk import TopK
+from lectern.operators.topk import TopK, blocks, by_key, flat
 from lectern.runtime import settle
 
 KEY = ("doc_id", "chunk_id")
 
-#: Questions that are sent to the tasks in one pass, and cells of a block of term weights.
-PASS, BLOCK = 10_000, 4_000_000
+#: Questions that are sent to the tasks in one pass, and tokens of the first and of the largest block that is scored at once.
+PASS, FIRST, BLOCK = 10_000, 100_000, 4_000_000
 
 
 def tokened(chunks: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
@@ -62,9 +61,9 @@ def top(scored: DataFrame, k: int, key: Sequence[str] = KEY, by: str = "score")
 def bm25(chunks: DataFrame, queries: DataFrame, k: int, scope: DataFrame | None = None, key: Sequence[str] = KEY, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, key, score, rank): the k best chunks of each question by Okapi BM25.
 
-    Exact. Chunks with a column ``tokens`` are an index and are not read for their text. The stated questions are sent in passes of bounded size, each with the document frequencies of its terms, which come from a
-    semi-join with postings; a task scores its chunks in blocks of term weights and keeps k rows a question, so no row a
-    matching pair is ever shuffled. Statistics are of the whole corpus even where ``scope`` (doc_id) restricts the chunks. Chunks without a
+    Exact. Chunks with a column ``tokens`` are an index and are not read for their text. The stated questions are sent in passes of bounded size, each with the document frequencies of its terms.
+    A task inverts its chunks in blocks and keeps k rows a question, so no row a matching pair is ever shuffled; of a block it scores for a question only the chunks that may be among
+    its k best so far: those with one of the terms without which the greatest possible sum is too small. Statistics are of the whole corpus even where ``scope`` (doc_id) restricts the chunks. Chunks without a
     common token are no result; a question without tokens has none. Scores are rounded to nine places, so that equal sums rank equal."""
     spark = chunks.sparkSession
     terms = query_terms(queries)
@@ -72,58 +71,108 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, scope: DataFrame | None
     if "tokens" not in chunks.columns:
         rows = settle(rows)  # read for the statistics, the frequencies and in every pass
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean")).join(terms.agg(F.countDistinct("query_id").alias("asked")), F.lit(True)).first()
+    stats_mean = stats.mean
     passes = stats.asked // PASS + 1
-    posts = rows.select(F.explode(F.array_distinct("t")).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    asked = terms.join(posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
+    asked = terms.join(document_frequency(rows.select(F.explode(F.array_distinct("t")).alias("term"))), "term")
     if passes > 1:
         asked = settle(asked)
-    within = rows.join(scope.select("doc_id").distinct(), "doc_id", "left_semi") if scope is not None else rows
+    within = by_key(rows.join(scope.select("doc_id").distinct(), "doc_id", "left_semi") if scope is not None else rows, key)
     kinds = ", ".join(f"`{c}` {chunks.schema[c].dataType.simpleString()}" for c in key)
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {kinds}, score double"
     found = []
     for p in range(passes):
-        asks = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p).select("query_id", "term", "qtf", "df").collect()
-        if not asks:
+        asks = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p).select("query_id", "term", "qtf", "df").toArrow()
+        if not len(asks):
             continue
-        asks.sort(key=lambda r: str(r.query_id))
-        ids = list(dict.fromkeys(r.query_id for r in asks))
-        at = {t: i for i, t in enumerate(sorted({r.term for r in asks}))}
-        number = {q: i for i, q in enumerate(ids)}
-        owner = np.array([number[r.query_id] for r in asks])
+        ids, words = (asks[c].combine_chunks().dictionary_encode(null_encoding="encode") for c in ("query_id", "term"))
+        owner = ids.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         order = np.argsort(owner, kind="stable")
-        weight = np.array([r.qtf * math.log(1 + (stats.n - r.df + 0.5) / (r.df + 0.5)) for r in asks])[order]
-        slot, begin = np.array([at[r.term] for r in asks])[order], np.searchsorted(owner[order], np.arange(len(ids)))
-        shared = spark.sparkContext.broadcast((ids, at, slot, weight, begin))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, at, slot, weight, begin = shared.value
-            kept = TopK(k, key)
-            width = max(16, min(1024, BLOCK // max(1, len(at))))
-            step = max(1, BLOCK // width // 16)  # questions scored at once
-            for whole in batches:
-                for i in range(0, len(whole), width):
-                    block = whole.iloc[i : i + width].sort_values(list(key))
-                    table = np.zeros((len(at), len(block)))
-                    for c, tokens in enumerate(block["t"]):
-                        room = k1 * (1 - b + b * len(tokens) / (stats.mean or 1.0))
-                        for t, tf in Counter(tokens).items():
-                            if (r := at.get(t)) is not None:
-                                table[r, c] = tf * (k1 + 1) / (tf + room)
-                    scores = np.empty((len(ids), len(block)))
-                    for j in range(0, len(ids), step):
-                        lo, hi = begin[j], begin[j + step] if j + step < len(ids) else len(slot)
-                        scores[j : j + step] = np.add.reduceat(table[slot[lo:hi]] * weight[lo:hi, None], begin[j : j + step] - lo, axis=0)
-                    kept.add(np.round(scores, 9), block[list(key)], positive=True)
-            best = kept.best()
-            if len(best):
-                yield best.assign(query_id=[ids[i] for i in best["q"]])[["query_id", *key, "score"]]
-
-        found.append(within.mapInPandas(run, schema))
+        df = asks["df"].to_numpy()
+        weight = (asks["qtf"].to_numpy() * np.log(1 + (stats.n - df + 0.5) / (df + 0.5)))[order]
+        shared = spark.sparkContext.broadcast((ids.dictionary, words.dictionary, owner[order], words.indices.to_numpy(zero_copy_only=False).astype(np.int64)[order], weight))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, words, owner, slot, weight = shared.value
+            kept = TopK(k, len(ids), 0.0)
+            for block in blocks(batches, "t", FIRST, BLOCK):
+                first = kept.block(block.select(list(key)))
+                lens, tokens = flat(block["t"])
+                _score(lens, pc.index_in(tokens, value_set=words).fill_null(-1).to_numpy(zero_copy_only=False), len(words), k1 * (1 - b + b * lens / (stats_mean or 1.0)), k1, owner, slot, weight, kept, first)
+            yield from kept.found(ids)
+
+        found.append(within.mapInArrow(run, schema))
     if not found:
         return spark.createDataFrame([], f"{schema}, rank int")
     return top(reduce(DataFrame.unionByName, found), k, key)
 
 
+def _score(lens: np.ndarray, terms: np.ndarray, n_terms: int, room: np.ndarray, k1: float, owner: np.ndarray, slot: np.ndarray, weight: np.ndarray, kept: TopK, first: int) -> None:
+    """Gives ``kept`` the chunks of a block that may be among a question's best; they are numbered from ``first``.
+
+    ``terms`` has the chunks' tokens as numbers, -1 where no question asks for one; ``owner``, ``slot`` and ``weight`` have the question, term and weight of what is asked, by question."""
+    n, k = len(lens), kept.k
+    held = np.sort((terms.astype(np.int64) * n + np.repeat(np.arange(n), lens))[terms >= 0])
+    if not len(held):
+        return
+    starts = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
+    tf, (term, chunk) = np.diff(np.r_[starts, len(held)]), np.divmod(held[starts], n)
+    impact = tf * (k1 + 1) / (tf + room[chunk])
+    ends = np.searchsorted(term, np.arange(n_terms + 1))
+    most = np.zeros(n_terms)
+    some = ends[:-1] < ends[1:]
+    most[some] = np.maximum.reduceat(impact, ends[:-1][some])
+    bound = weight * most[slot]
+    order = np.lexsort((bound, owner))
+    order = order[bound[order] > 0]  # of each question the terms that occur, by what they may add
+    if not len(order):
+        return
+    owner, slot, weight, bound = owner[order], slot[order], weight[order], bound[order]
+    begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    sizes = np.diff(np.r_[begins, len(owner)])
+    upto = np.cumsum(bound)
+    slack = 1e-8 + upto[-1] * sizes.max() * 2.0**-52  # more than rounding and these sums err
+    upto -= np.repeat(upto[begins] - bound[begins], sizes)  # what a term and those below it may add
+    lesser = np.add.reduceat((upto <= kept.floor[owner] - slack).astype(np.int64), begins)  # terms that do not suffice together
+    total = np.zeros(n)
+    todo = np.flatnonzero(lesser < sizes)
+    for lo, mid, hi, q in zip(begins[todo].tolist(), (begins + lesser)[todo].tolist(), (begins + sizes)[todo].tolist(), owner[begins[todo]].tolist()):
+        floor = kept.floor[q]
+        met = []
+        for j in range(mid, hi):
+            x, y = ends[slot[j]], ends[slot[j] + 1]
+            at = chunk[x:y]
+            total[at] += weight[j] * impact[x:y]
+            met.append(at)
+        least = floor - slack - (upto[mid - 1] if mid > lo else 0.0)
+        if sum(map(len, met)) * 4 > n:
+            at = np.flatnonzero(total > max(least, 0.0))
+            score = total[at]
+            total[:] = 0
+        else:
+            at = np.concatenate(met) if len(met) > 1 else met[0]
+            every, at = at, at[total[at] > least]
+            if len(met) > 1:
+                at = np.unique(at)
+            score = total[at]
+            total[every] = 0
+        for j in range(mid - 1, lo - 1, -1):
+            if not len(at):
+                break
+            x, y = ends[slot[j]], ends[slot[j] + 1]
+            place = np.minimum(np.searchsorted(chunk[x:y], at), y - x - 1) + x
+            score = score + np.where(chunk[place] == at, weight[j] * impact[place], 0.0)
+            if j > lo:
+                good = score > floor - slack - upto[j - 1]
+                at, score = at[good], score[good]
+        score = np.round(score, 9)
+        if len(score) > 2 * k:
+            floor = max(floor, np.nextafter(np.partition(score, len(score) - k)[len(score) - k], -np.inf))
+        good = score > floor
+        if good.any():
+            kept.add(np.full(int(good.sum()), q), at[good] + first, score[good])
+    kept.cut()
+
+
 def evidence(chunks: DataFrame, asked: DataFrame, most: int = 2, least_df: int = 2) -> DataFrame:
     """(id, term, place): of each (id, doc_id, chunk_id, question) the rarest terms of its chunk that the question lacks, in ``least_df`` chunks or more."""
     posts = postings(chunks)

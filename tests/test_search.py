@@ -4,10 +4,14 @@ import random
 import subprocess
 import sys
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
 from lectern.operators import dense, evaluation, fusion, lexical
+from lectern.operators.topk import TopK
 
 CHUNK = "doc_id string, chunk_id int, text string"
 
@@ -52,6 +56,60 @@ def test_knn_is_exact_with_ties_and_scope(spark):
     assert dense.knn(v, q.limit(0), 3).count() == 0 and dense.knn(v.limit(0), q, 3).count() == 0
 
 
+def test_kept_rows_equal_brute_force_over_many_blocks():
+    rng = np.random.default_rng(3)
+    n, asked, words, k = 3_000, 40, 120, 7
+    tokens = [rng.zipf(1.3, 30) % words for _ in range(n)]
+    tokens[100:200] = [tokens[0]] * 100  # ties
+    asks = sorted((q, t) for q in range(asked) for t in set((rng.zipf(1.2, 6) % words).tolist()))
+    owner, slot = (np.array(x) for x in zip(*asks))
+    weight = rng.uniform(0.1, 5, words)[slot]
+    room = 1.5 * (0.25 + 0.75 * rng.uniform(0.5, 2, n))
+    room[100:200] = room[0]
+    want = np.zeros((asked, n))
+    for c, t in enumerate(tokens):
+        tf = np.bincount(t, minlength=words)
+        np.add.at(want[:, c], owner, weight * (tf * 2.5 / (tf + room[c]))[slot])
+    ids, names = pa.array(range(asked)), pa.table({"doc": range(n)})
+
+    def best(scores, positive):
+        rows = ((q, c, round(float(scores[q, c]), 9)) for q in range(asked) for c in sorted(range(n), key=lambda c: (-round(float(scores[q, c]), 9), c))[:k])
+        return [r for r in rows if r[2] > 0 or not positive]
+
+    def kept(top):
+        return sorted(((r["query_id"], r["doc"], r["score"]) for b in top.found(ids) for r in b.to_pylist()), key=lambda r: (r[0], -r[2], r[1]))
+
+    found, near = TopK(k, asked, 0.0), TopK(k, asked)
+    v = rng.integers(0, 3, (n, 8)) * rng.choice([-1.0, 1.0, 1e3], (n, 1))
+    q = rng.integers(0, 3, (asked, 8)).astype(float)
+    q[0] = 0
+    for i in [0, 50, *range(300, n, 450)]:
+        to = min(n, {0: 50, 50: 300}.get(i, i + 450))
+        block = tokens[i:to]
+        lexical._score(np.full(to - i, 30), np.concatenate(block), words, room[i:to], 1.5, owner, slot, weight, found, found.block(names.slice(i, to - i)))
+        dense._score(q, v[i:to], near, near.block(names.slice(i, to - i)))
+    for got, expected in ((kept(found), best(want, True)), (kept(near), best(q @ v.T, False))):
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in expected] and np.allclose([x[2] for x in got], [x[2] for x in expected], atol=2e-9)
+
+
+def test_a_task_a_core_returns_its_best(spark):
+    """No more than k rows a question and core are shuffled, in however many parts the chunks lie."""
+    chunks = corpus(spark, [f"jet w{i % 7}" for i in range(64)]).repartition(64)
+    asked = spark.createDataFrame([(1, "jet w3")], "query_id int, question string")
+    vectors = chunks.select("doc_id", "chunk_id", F.array(F.lit(1.0), F.col("chunk_id").cast("double")).alias("embedding"))
+    for hits in (lexical.bm25(chunks, asked, 2), dense.knn(vectors, spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<double>"), 2)):
+        tasks = hits.select(F.spark_partition_id()).count() and "Coalesce 4" in hits._jdf.queryExecution().toString()
+        assert tasks and hits.count() == 2
+
+
+def test_rerank_reads_tokens_of_an_index(spark):
+    chunks = corpus(spark, ["Jet speed, kzz-2 model", "jets", "", None, "speed of the JET_s"]).withColumn("tokens", T.tokens("text"))
+    asked = spark.createDataFrame([(1, "jet speed of kzz"), (2, "the of"), (3, None), (4, "kzz-2 2 jet jet")], "query_id int, question string")
+    every = asked.crossJoin(chunks).select("query_id", "doc_id", "chunk_id", F.col("chunk_id").alias("rank"))
+    rows = lambda x: sorted((r.query_id, r.chunk_id, r.score, r.rank) for r in fusion.rerank(every, asked, x).collect())
+    assert rows(chunks) == rows(chunks.drop("tokens")) and rows(chunks.drop("text")) == rows(chunks)
+
+
 def test_fusion_and_quota(spark):
     kind = "query_id int, doc_id string, chunk_id int, score double, rank int"
     a = spark.createDataFrame([(1, "a", 1, 9.0, 1), (1, "a", 7, 8.0, 2), (1, "b", 2, 7.0, 3)], kind)
