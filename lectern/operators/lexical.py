@@ -17,8 +17,9 @@ from lectern.runtime import settle
 
 KEY = ("doc_id", "chunk_id")
 
-#: Questions that are sent to the tasks in one pass, and tokens of the first and of the largest block that is scored at once.
-PASS, FIRST, BLOCK = 10_000, 100_000, 4_000_000
+#: Questions that are sent to the tasks in one pass, tokens of the first and of the largest block that is scored at once, and cells of the
+#: terms that are held for every chunk of a block because more than one in COMMON has them.
+PASS, FIRST, BLOCK, CELLS, COMMON = 10_000, 100_000, 4_000_000, 8_000_000, 12
 
 
 def tokened(chunks: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
@@ -133,18 +134,33 @@ def _score(lens: np.ndarray, terms: np.ndarray, n_terms: int, room: np.ndarray,
     slack = 1e-8 + upto[-1] * sizes.max() * 2.0**-52  # more than rounding and these sums err
     upto -= np.repeat(upto[begins] - bound[begins], sizes)  # what a term and those below it may add
     lesser = np.add.reduceat((upto <= kept.floor[owner] - slack).astype(np.int64), begins)  # terms that do not suffice together
-    total = np.zeros(n)
+    counts = np.diff(ends)
+    common = np.argsort(-counts, kind="stable")[: max(1, CELLS // n)]
+    common = common[counts[common] * COMMON > n]
+    row = np.full(n_terms, -1)
+    row[common] = np.arange(len(common))
+    whole = np.zeros((len(common), n))
+    hot = row[term] >= 0
+    whole[row[term[hot]], chunk[hot]] = impact[hot]
+    row, ends, slot, weight = row.tolist(), ends.tolist(), slot.tolist(), weight.tolist()
+    total, more = np.zeros(n), np.empty(n)
     todo = np.flatnonzero(lesser < sizes)
     for lo, mid, hi, q in zip(begins[todo].tolist(), (begins + lesser)[todo].tolist(), (begins + sizes)[todo].tolist(), owner[begins[todo]].tolist()):
         floor = kept.floor[q]
-        met = []
+        met, dense = [], False
         for j in range(mid, hi):
-            x, y = ends[slot[j]], ends[slot[j] + 1]
-            at = chunk[x:y]
-            total[at] += weight[j] * impact[x:y]
-            met.append(at)
+            t = slot[j]
+            if row[t] >= 0:
+                np.multiply(whole[row[t]], weight[j], out=more)
+                np.add(total, more, out=total)
+                dense = True
+            else:
+                x, y = ends[t], ends[t + 1]
+                at = chunk[x:y]
+                total[at] += weight[j] * impact[x:y]
+                met.append(at)
         least = floor - slack - (upto[mid - 1] if mid > lo else 0.0)
-        if sum(map(len, met)) * 4 > n:
+        if dense or sum(map(len, met)) * 4 > n:
             at = np.flatnonzero(total > max(least, 0.0))
             score = total[at]
             total[:] = 0
@@ -158,9 +174,13 @@ def _score(lens: np.ndarray, terms: np.ndarray, n_terms: int, room: np.ndarray,
         for j in range(mid - 1, lo - 1, -1):
             if not len(at):
                 break
-            x, y = ends[slot[j]], ends[slot[j] + 1]
-            place = np.minimum(np.searchsorted(chunk[x:y], at), y - x - 1) + x
-            score = score + np.where(chunk[place] == at, weight[j] * impact[place], 0.0)
+            t = slot[j]
+            if row[t] >= 0:
+                score = score + weight[j] * whole[row[t]][at]
+            else:
+                x, y = ends[t], ends[t + 1]
+                place = np.minimum(np.searchsorted(chunk[x:y], at), y - x - 1) + x
+                score = score + np.where(chunk[place] == at, weight[j] * impact[place], 0.0)
             if j > lo:
                 good = score > floor - slack - upto[j - 1]
                 at, score = at[good], score[good]

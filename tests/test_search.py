@@ -56,7 +56,9 @@ def test_knn_is_exact_with_ties_and_scope(spark):
     assert dense.knn(v, q.limit(0), 3).count() == 0 and dense.knn(v.limit(0), q, 3).count() == 0
 
 
-def test_kept_rows_equal_brute_force_over_many_blocks():
+@pytest.mark.parametrize("cells", [1, 8_000_000])
+def test_kept_rows_equal_brute_force_over_many_blocks(monkeypatch, cells):
+    monkeypatch.setattr(lexical, "CELLS", cells)  # one common term, or all, held for every chunk
     rng = np.random.default_rng(3)
     n, asked, words, k = 3_000, 40, 120, 7
     tokens = [rng.zipf(1.3, 30) % words for _ in range(n)]
