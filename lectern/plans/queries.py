@@ -590,15 +590,18 @@ def _sweep(s: SparkSession, d: str) -> DataFrame:
     arms = dense.knn(dense.vectors_of(chunks), asked.select("query_id", dense.embed("question").alias("embedding")), 30).withColumn("arm", F.lit(0))
     arms = arms.unionByName(lexical.bm25(chunks, asked, 30).withColumn("arm", F.lit(1)))
     grid = F.explode(F.array(*[F.struct(F.lit(n).alias("config_no"), F.lit(p).alias("pool"), F.lit(w).alias("weight")) for n, (p, w) in enumerate(_GRID)]))
-    rows = arms.withColumn("g", grid).where("rank <= g.pool").withColumn("w", F.when(F.col("arm") == 1, F.col("g.weight")).otherwise(1.0))
-    fused = rows.groupBy("g", "query_id", "doc_id", "chunk_id").agg(F.round(F.sum(F.col("w") / (60 + F.col("rank"))), 12).alias("fused"), F.min("rank").alias("best_rank"))
-    fused = fused.select(F.struct("g", "query_id").alias("gq"), "doc_id", "chunk_id", "fused", "best_rank")
+    # One row a candidate with its rank in either arm, and, as rows stay with their question, one shuffle for all configurations.
+    ranks = [F.min(F.when(F.col("arm") == n, F.col("rank"))).alias(r) for n, r in enumerate(("_near", "_met"))]
+    rows = arms.repartition("query_id").groupBy("query_id", "doc_id", "chunk_id").agg(*ranks).withColumn("g", grid)
+    near, met = [F.when(F.col(r) <= F.col("g.pool"), F.col(r)) for r in ("_near", "_met")]
+    fused = F.round(F.coalesce(1.0 / (60 + near), F.lit(0.0)) + F.coalesce(F.col("g.weight") / (60 + met), F.lit(0.0)), 12)
+    rows = rows.select("query_id", "doc_id", "chunk_id", "g", fused.alias("fused"), F.least(near, met).alias("best_rank")).where("best_rank is not null")
     from pyspark.sql import Window
 
-    hits = fused.withColumn("rank", F.row_number().over(Window.partitionBy("gq").orderBy(F.col("fused").desc(), "best_rank", "doc_id", "chunk_id"))).where("rank <= 5")
-    hits = hits.select("gq.g", "gq.query_id", "doc_id", "chunk_id", "rank")
-    rel = hits.join(asked.select("query_id", "paper", "must_contain"), "query_id").join(chunks, ["doc_id", "chunk_id"]).join(_titles(s, d), "doc_id", "left")
-    rel = rel.where(evaluation.is_relevant(F.col("paper"), F.coalesce("title", F.lit("")), F.col("must_contain"), F.col("text"))).groupBy("g", "query_id").agg(F.min("rank").alias("first_rank"), F.count(F.lit(1)).alias("n_relevant"))
+    place = F.row_number().over(Window.partitionBy("query_id", "g").orderBy(F.col("fused").desc(), "best_rank", "doc_id", "chunk_id"))
+    hits = rows.withColumn("rank", place).where("rank <= 5").groupBy("query_id", "doc_id", "chunk_id").agg(F.collect_list(F.struct("g", "rank")).alias("at"))
+    rel = evaluation.judged(hits, asked, chunks, _titles(s, d)).select("query_id", "relevant", F.explode("at").alias("at")).select("query_id", "at.*", "relevant")
+    rel = rel.groupBy("g", "query_id").agg(F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first_rank"), F.count_if("relevant").alias("n_relevant"))
     every = asked.select("query_id").distinct().select("query_id", grid.alias("g"))
     firsts = every.join(rel, ["g", "query_id"], "left").withColumn("n_relevant", F.coalesce("n_relevant", F.lit(0))).select("g.*", "first_rank", "n_relevant")
     return evaluation.retrieval_metrics(firsts, 5, ["config_no", "pool", "weight"])

@@ -1,6 +1,7 @@
 import math
 import os
 import random
+import re
 import subprocess
 import sys
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators import dense, evaluation, fusion, lexical
 from lectern.operators.topk import TopK
+from lectern.plans import queries
 
 CHUNK = "doc_id string, chunk_id int, text string"
 
@@ -155,6 +157,13 @@ print("queries", e.queries()["a08_w05_bm25_metrics"](spark, "/root/testdata/sf0.
     assert "queries 8" in done.stdout, done.stderr[-2000:]
 
 
+@pytest.mark.parametrize("name", ["r20_sweep"])
+def test_no_shuffle_of_a_row_a_configuration_and_candidate(spark, data, name):
+    plan = queries.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"Exchange hashpartitioning\((.*)\), [A-Z]", plan)
+    assert keys and not [x for x in keys if "doc_id#" in x and re.search(r"\bg#", x)] and not [x for x in keys if "gq#" in x]
+
+
 def test_ratios_are_null_where_nothing_counts(spark):
     rows = spark.createDataFrame([(["SUPPORTED", "SUPPORTED", "UNSUPPORTED", "CONTRADICTED"],), ([],)], "v array<string>")
     got = [tuple(r[0]) for r in rows.select(evaluation.verdict_ratios(F.col("v"))).collect()]
