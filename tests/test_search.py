@@ -157,7 +157,7 @@ print("queries", e.queries()["a08_w05_bm25_metrics"](spark, "/root/testdata/sf0.
     assert "queries 8" in done.stdout, done.stderr[-2000:]
 
 
-@pytest.mark.parametrize("name", ["r20_sweep"])
+@pytest.mark.parametrize("name", ["r20_sweep", "k06_best_config"])
 def test_no_shuffle_of_a_row_a_configuration_and_candidate(spark, data, name):
     plan = queries.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     keys = re.findall(r"Exchange hashpartitioning\((.*)\), [A-Z]", plan)
