@@ -144,5 +144,5 @@ def _score(q: np.ndarray, v: np.ndarray, kept: TopK, first: int) -> None:
             s = scores[a, c]
             good = np.ones(len(a), bool)
         kept.add(a[good] + i, c[good] + first, s[good])
-    if not kept.full or first < 16 * BATCH:
+    if not kept.full or kept.seen > 1.4 * kept.done:
         kept.cut()

@@ -17,9 +17,9 @@ from lectern.runtime import settle
 
 KEY = ("doc_id", "chunk_id")
 
-#: Questions that are sent to the tasks in one pass, tokens of the first and of the largest block that is scored at once, and cells of the
-#: terms that are held for every chunk of a block because more than one in COMMON has them.
-PASS, FIRST, BLOCK, CELLS, COMMON = 10_000, 100_000, 4_000_000, 8_000_000, 12
+#: Questions that are sent to the tasks in one pass, tokens of the first and of the largest block that is scored at once, cells of the
+#: terms that are held for every chunk of a block because more than one in COMMON has them, and questions and sums that are taken at once.
+PASS, FIRST, BLOCK, CELLS, COMMON, ASKED, SUMS = 30_000, 100_000, 4_000_000, 8_000_000, 32, 256, 8_000_000
 
 
 def tokened(chunks: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
@@ -63,8 +63,8 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, scope: DataFrame | None
     """(query_id, key, score, rank): the k best chunks of each question by Okapi BM25.
 
     Exact. Chunks with a column ``tokens`` are an index and are not read for their text. The stated questions are sent in passes of bounded size, each with the document frequencies of its terms.
-    A task inverts its chunks in blocks and keeps k rows a question, so no row a matching pair is ever shuffled; of a block it scores for a question only the chunks that may be among
-    its k best so far: those with one of the terms without which the greatest possible sum is too small. Statistics are of the whole corpus even where ``scope`` (doc_id) restricts the chunks. Chunks without a
+    A task inverts its chunks in blocks and keeps k rows a question, so no row a matching pair is ever shuffled; of a block it scores for a question in double precision only the chunks that may be
+    among its k best so far by sums in single precision. Statistics are of the whole corpus even where ``scope`` (doc_id) restricts the chunks. Chunks without a
     common token are no result; a question without tokens has none. Scores are rounded to nine places, so that equal sums rank equal."""
     spark = chunks.sparkSession
     terms = query_terms(queries)
@@ -110,86 +110,74 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, scope: DataFrame | None
 def _score(lens: np.ndarray, terms: np.ndarray, n_terms: int, room: np.ndarray, k1: float, owner: np.ndarray, slot: np.ndarray, weight: np.ndarray, kept: TopK, first: int) -> None:
     """Gives ``kept`` the chunks of a block that may be among a question's best; they are numbered from ``first``.
 
-    ``terms`` has the chunks' tokens as numbers, -1 where no question asks for one; ``owner``, ``slot`` and ``weight`` have the question, term and weight of what is asked, by question."""
+    ``terms`` has the chunks' tokens as numbers, -1 where no question asks for one; ``owner``, ``slot`` and ``weight`` have the question, term and weight of what is asked, by question.
+    Sums are first taken in single precision, of the common terms as a product of matrices; where these come within their error of a question's k-th best score, the sum is taken in double precision."""
     n, k = len(lens), kept.k
     held = np.sort((terms.astype(np.int64) * n + np.repeat(np.arange(n), lens))[terms >= 0])
     if not len(held):
         return
     starts = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
-    tf, (term, chunk) = np.diff(np.r_[starts, len(held)]), np.divmod(held[starts], n)
+    tf, held = np.diff(np.r_[starts, len(held)]), held[starts]
+    term, chunk = np.divmod(held, n)
     impact = tf * (k1 + 1) / (tf + room[chunk])
     ends = np.searchsorted(term, np.arange(n_terms + 1))
-    most = np.zeros(n_terms)
-    some = ends[:-1] < ends[1:]
-    most[some] = np.maximum.reduceat(impact, ends[:-1][some])
-    bound = weight * most[slot]
-    order = np.lexsort((bound, owner))
-    order = order[bound[order] > 0]  # of each question the terms that occur, by what they may add
-    if not len(order):
-        return
-    owner, slot, weight, bound = owner[order], slot[order], weight[order], bound[order]
-    begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    sizes = np.diff(np.r_[begins, len(owner)])
-    upto = np.cumsum(bound)
-    slack = 1e-8 + upto[-1] * sizes.max() * 2.0**-52  # more than rounding and these sums err
-    upto -= np.repeat(upto[begins] - bound[begins], sizes)  # what a term and those below it may add
-    lesser = np.add.reduceat((upto <= kept.floor[owner] - slack).astype(np.int64), begins)  # terms that do not suffice together
     counts = np.diff(ends)
+    used = counts[slot] > 0
+    owner, slot, weight = owner[used], slot[used], weight[used]
+    if not len(owner):
+        return
     common = np.argsort(-counts, kind="stable")[: max(1, CELLS // n)]
     common = common[counts[common] * COMMON > n]
     row = np.full(n_terms, -1)
     row[common] = np.arange(len(common))
-    whole = np.zeros((len(common), n))
     hot = row[term] >= 0
+    times = np.zeros((len(common), n), np.int32)
+    times[row[term[hot]], chunk[hot]] = tf[hot]
+    whole = np.zeros((len(common), n), np.float32)
     whole[row[term[hot]], chunk[hot]] = impact[hot]
-    row, ends, slot, weight = row.tolist(), ends.tolist(), slot.tolist(), weight.tolist()
-    total, more = np.zeros(n), np.empty(n)
-    todo = np.flatnonzero(lesser < sizes)
-    for lo, mid, hi, q in zip(begins[todo].tolist(), (begins + lesser)[todo].tolist(), (begins + sizes)[todo].tolist(), owner[begins[todo]].tolist()):
-        floor = kept.floor[q]
-        met, dense = [], False
-        for j in range(mid, hi):
-            t = slot[j]
-            if row[t] >= 0:
-                np.multiply(whole[row[t]], weight[j], out=more)
-                np.add(total, more, out=total)
-                dense = True
-            else:
-                x, y = ends[t], ends[t + 1]
-                at = chunk[x:y]
-                total[at] += weight[j] * impact[x:y]
-                met.append(at)
-        least = floor - slack - (upto[mid - 1] if mid > lo else 0.0)
-        if dense or sum(map(len, met)) * 4 > n:
-            at = np.flatnonzero(total > max(least, 0.0))
-            score = total[at]
-            total[:] = 0
-        else:
-            at = np.concatenate(met) if len(met) > 1 else met[0]
-            every, at = at, at[total[at] > least]
-            if len(met) > 1:
-                at = np.unique(at)
-            score = total[at]
-            total[every] = 0
-        for j in range(mid - 1, lo - 1, -1):
-            if not len(at):
-                break
-            t = slot[j]
-            if row[t] >= 0:
-                score = score + weight[j] * whole[row[t]][at]
-            else:
-                x, y = ends[t], ends[t + 1]
-                place = np.minimum(np.searchsorted(chunk[x:y], at), y - x - 1) + x
-                score = score + np.where(chunk[place] == at, weight[j] * impact[place], 0.0)
-            if j > lo:
-                good = score > floor - slack - upto[j - 1]
-                at, score = at[good], score[good]
+    begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    sizes, names = np.diff(np.r_[begins, len(owner)]), owner[begins]
+    slack = (sizes + 8) * 2.0**-21 * np.add.reduceat(weight, begins) * (k1 + 1)  # more than single precision errs on these sums
+    group = max(1, min(ASKED, SUMS // n))
+    sums = np.empty((min(group, len(names)), n), np.float32)
+    for i in range(0, len(names), group):
+        j = min(i + group, len(names))
+        lo, size = begins[i:j], sizes[i:j]
+        some = slice(lo[0], lo[-1] + size[-1])
+        mine, where = np.repeat(np.arange(j - i), size), row[slot[some]]
+        often = where >= 0
+        asked = np.zeros((j - i, len(common)), np.float32)
+        asked[mine[often], where[often]] = weight[some][often]
+        near = np.matmul(asked, whole, out=sums[: j - i])
+        for m, t, w in zip(mine[~often].tolist(), slot[some][~often].tolist(), weight[some][~often].tolist()):
+            x, y = ends[t], ends[t + 1]
+            near[m, chunk[x:y]] += w * impact[x:y]
+        floor = kept.floor[names[i:j]]
+        at = np.flatnonzero(near > np.maximum(floor - slack[i:j], 0.0)[:, None].astype(np.float32))
+        m, at = np.divmod(at, n)
+        cuts = np.searchsorted(m, np.arange(j - i + 1))
+        many = np.flatnonzero(np.diff(cuts) > 2 * k)
+        if len(many):
+            good = np.ones(len(at), bool)
+            for q, x, y in zip(many.tolist(), cuts[many].tolist(), cuts[many + 1].tolist()):
+                s = near[q, at[x:y]]
+                good[x:y] = s >= np.partition(s, len(s) - k)[len(s) - k] - 2 * slack[i + q]
+            m, at = m[good], at[good]
+        score = np.zeros(len(at))
+        for o in range(size.max()):
+            has = np.flatnonzero(size[m] > o)
+            place, to = lo[m[has]] + o, at[has]
+            t = slot[place]
+            r = row[t]
+            got = times[r, to] if len(common) else np.zeros(len(t), np.int32)
+            rare = np.flatnonzero(r < 0)
+            key = t[rare] * n + to[rare]
+            found = np.minimum(np.searchsorted(held, key), len(held) - 1)
+            got[rare] = np.where(held[found] == key, tf[found], 0)
+            score[has] += weight[place] * (got * (k1 + 1) / (got + room[to]))
         score = np.round(score, 9)
-        if len(score) > 2 * k:
-            floor = max(floor, np.nextafter(np.partition(score, len(score) - k)[len(score) - k], -np.inf))
-        good = score > floor
-        if good.any():
-            kept.add(np.full(int(good.sum()), q), at[good] + first, score[good])
+        good = score > floor[m]
+        kept.add(names[i + m[good]], at[good] + first, score[good])
     kept.cut()
 
 

@@ -15,11 +15,11 @@ GATHER, SEND = 500_000, 50_000
 class TopK:
     """Keeps the k best of each query among candidates (query, row, score), all by number; what ties goes by row.
 
-    Rows are numbered as ``block`` is told of them and come in the order of their key. ``floor`` is what a later row's score must exceed
-    to be among a query's best: its k-th best score at the last ``cut``, or, while it has fewer, what the caller began with."""
+    Rows are numbered as ``block`` is told of them and come in the order of their key; what is added of a query comes in the order of its rows. ``floor`` is what
+    a later row's score must exceed to be among a query's best: its k-th best score at the last ``cut``, or, while it has fewer, what the caller began with."""
 
     def __init__(self, k: int, queries: int, floor: float = -np.inf):
-        self.k, self.floor, self.seen, self.size, self.full = k, np.full(queries, floor), 0, 0, False
+        self.k, self.floor, self.seen, self.done, self.size, self.full = k, np.full(queries, floor), 0, 0, 0, False
         self.best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.rows, self.names = [np.empty(0, np.int64)], []
@@ -40,7 +40,7 @@ class TopK:
     def cut(self) -> None:
         """Leaves k candidates of each query and the keys of their rows."""
         q, row, s = (np.concatenate(x) for x in zip(self.best, *self.parts))
-        order = np.lexsort((row, -s, q))
+        order = _order(q, s)
         q, row, s = q[order], row[order], s[order]
         starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, np.int64)
         place = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
@@ -48,7 +48,7 @@ class TopK:
         self.floor[q[last]] = s[last]
         self.full = int(last.sum()) == len(self.floor)
         kept = place < self.k
-        self.best, self.parts, self.size = (q[kept], row[kept], s[kept]), [], 0
+        self.best, self.parts, self.size, self.done = (q[kept], row[kept], s[kept]), [], 0, self.seen
         if self.names:
             numbers, used = np.concatenate(self.rows), np.unique(self.best[1])
             self.rows, self.names = [used], [pa.concat_tables(self.names).combine_chunks().take(pa.array(np.searchsorted(numbers, used)))]
@@ -63,6 +63,17 @@ class TopK:
             yield from pa.table({"query_id": ids.take(pa.array(q[to])), **{c: names[c] for c in names.column_names}, "score": pa.array(s[to])}).combine_chunks().to_batches()
 
 
+def _order(q: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The order by query and falling score of candidates whose equals are in order; scores are rounded to nine places."""
+    if len(q) and np.abs(s).max() < 2**22:  # each is a whole number of billionths, which tells it from all others
+        low = np.rint(s * -1e9).astype(np.int64)
+        low -= low.min()
+        width = int(low.max()).bit_length()
+        if width + int(q.max()).bit_length() < 63:
+            return np.argsort((q << width) + low, kind="stable")
+    return np.lexsort((-s, q))
+
+
 def flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
     """The lengths of lists, NULL counting 0, and their elements in one array."""
     one = lists.combine_chunks()

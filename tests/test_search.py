@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import dense, evaluation, fusion, lexical
+from lectern.operators import dense, evaluation, fusion, lexical, topk
 from lectern.operators.topk import TopK
 from lectern.plans import queries
 
@@ -96,6 +96,62 @@ def test_kept_rows_equal_brute_force_over_many_blocks(monkeypatch, cells):
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in expected] and np.allclose([x[2] for x in got], [x[2] for x in expected], atol=2e-9)
 
 
+def test_questions_are_scored_together_and_cut_seldom(monkeypatch):
+    rng = np.random.default_rng(4)
+    n, asked, words, blocks = 200, 90, 40, 30
+    owner, slot = np.repeat(np.arange(asked), 3), np.concatenate([rng.choice(words, 3, replace=False) for _ in range(asked)])
+    calls = []
+
+    class Counted(TopK):
+        def add(self, *x):
+            calls.append("add")
+            super().add(*x)
+
+        def cut(self):
+            calls.append("cut")
+            super().cut()
+
+    found = Counted(5, asked, 0.0)
+    for _ in range(blocks):
+        lexical._score(np.full(n, 12), rng.integers(0, words, 12 * n), words, np.full(n, 1.5), 1.5, owner, slot, np.ones(len(slot)), found, found.block(pa.table({"doc": range(n)})))
+    assert calls.count("add") <= blocks
+    calls.clear()
+    near, q = Counted(5, asked), rng.normal(size=(asked, 8))
+    for _ in range(blocks):
+        dense._score(q, rng.normal(size=(n, 8)), near, near.block(pa.table({"doc": range(n)})))
+    assert calls.count("cut") <= blocks / 2
+
+
+@pytest.mark.parametrize("scores", [[0.5, -0.25, 0.5, 1e-9, 0.0, -0.0, 0.5], [1e9, 1e9 + 1, 5.0, 5.000000001, 1e9, 0.0, 2.0], [np.nan, 1.0, np.inf, -np.inf, 1.0, 0.5, 1.0]])
+def test_candidates_in_order_of_query_score_and_row(scores):
+    q, s = np.array([1, 0] * 7), np.repeat(scores, 2)
+    assert topk._order(q, s).tolist() == np.lexsort((np.arange(14), -s, q)).tolist() and topk._order(q[:0], s[:0]).tolist() == []
+
+
+@pytest.mark.parametrize("groups", [1, 7])
+def test_bm25_of_many_questions_equals_sums_in_double(monkeypatch, groups):
+    monkeypatch.setattr(lexical, "ASKED", groups)
+    rng = np.random.default_rng(5)
+    n, asked, words, k = 400, 25, 60, 6
+    tokens = [np.r_[rng.integers(0, words, 20), np.zeros(c % 50, int)] for c in range(n)]
+    tokens[10:20] = [np.empty(0, int)] * 10
+    owner, slot = np.repeat(np.arange(asked), 8), np.concatenate([rng.choice(words + 5, 8, replace=False) for _ in range(asked)])  # some are of no chunk
+    weight, lens = rng.uniform(1e-6, 9, len(slot)), np.array([len(t) for t in tokens])
+    room = 1.5 * (0.25 + 0.75 * lens / lens.mean())
+    tf = np.array([np.bincount(t, minlength=words + 5) for t in tokens])
+    want = np.zeros((asked, n))
+    np.add.at(want, owner, weight[:, None] * (tf * 2.5 / (tf + room[:, None])).T[slot])
+    want = np.round(want, 9)
+    found = TopK(k, asked, 0.0)
+    for i in range(0, n, 100):
+        lexical._score(lens[i : i + 100], np.concatenate(tokens[i : i + 100]), words + 5, room[i : i + 100], 1.5, owner, slot, weight, found, found.block(pa.table({"doc": range(i, i + 100)})))
+    found.cut()
+    q, row, s = found.best
+    for a in range(asked):
+        best = sorted(range(n), key=lambda c: (-want[a, c], c))[:k]
+        assert row[q == a].tolist() == best and np.allclose(s[q == a], want[a, best], atol=2e-9)
+
+
 def test_a_task_a_core_returns_its_best(spark):
     """No more than k rows a question and core are shuffled, in however many parts the chunks lie."""
     chunks = corpus(spark, [f"jet w{i % 7}" for i in range(64)]).repartition(64)
