@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.lookalikes import latin, plain
+from lectern.llm import lookalikes
 
 #: Most labelled rows that the language classifier is fitted on, and its table of hashed character trigrams.
 LABELLED, SLOTS = 2000, 1 << 16
@@ -41,6 +41,9 @@ DECLINES = re.compile(
     re.I,
 )
 
+# Each match of DECLINES holds one of these in lower case.
+DECLINING_WORDS = ("not", "n't", "n’t", "no ", "unable", "declin", "refrain", "outside", "beyond", "as an ai", "nicht", "ablehnen", "keine ", "je ne ", "nous ne ", "ne contien", "impossible ", "je dois ", "debo ")
+
 # Names of languages after the words that ask for one.
 ASKED = {
     "en": r"\b(?:in english|auf englisch|en inglés|en ingles|en anglais)\b",
@@ -50,15 +53,30 @@ ASKED = {
 }
 _ASKED = {k: re.compile(v, re.I) for k, v in ASKED.items()}
 
+# Each match of ASKED holds one of the first in lower case; the second are letters that a pattern takes for i, s or k, unlike lower().
+ASKED_WORDS, FOLDED = ("engl", "ingl", "angl", "german", "deutsch", "alem", "allem", "fren", "fran", "span", "espa", "castell"), "\u0130\u0131\u017f\u212a"
+
 # What a clause of substance begins with after one that declines.
 CONTRAST = re.compile(r"\b(?:but|however|although|though|aber|jedoch|allerdings|mais|cependant|toutefois|pero|sin embargo|aunque)\b|[;:–—]", re.I)
 _SUBSTANCE, _SENTENCES = re.compile(r"\d"), re.compile(r"(?<=[.!?])\s+")
 _WORDS = re.compile(r"[^\W_]+(?:[.'’][^\W_]+)*")
 _QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|„[^“”]*[“”]")
 _CITED = re.compile(r"\s*\[Excerpts? [^\]]*\]", re.I)
+_ELLIPSIS = re.compile(r"(?:\.\.\.|…)[\"'”)]*$")
 _NAME = re.compile(r"\b[A-ZÄÖÜ][^\W\d_]*[a-zà-ÿ][A-Z][^\W\d_]*|\d\S*")
 
 
+@lru_cache(8)
+def plain(text: str) -> str:
+    """``lookalikes.plain``, kept for a few texts, as the steps ask for the same of a row."""
+    return lookalikes.plain(text)
+
+
+@lru_cache(8)
+def latin(text: str) -> str:
+    return lookalikes.latin(text)
+
+
 class LanguageModel:
     """Naive Bayes over hashed character trigrams."""
 
@@ -88,18 +106,21 @@ class LanguageModel:
         rate = (counts + 0.05) / (counts.sum(1, keepdims=True) + 0.05 * SLOTS)
         return cls(names, np.ascontiguousarray(np.log(rate).T.astype(np.float32)))
 
+    def sums(self, text: str) -> np.ndarray:
+        return self.table.take(self.slots(text), 0).sum(0, dtype=np.float64)
+
     def scores(self, text: str) -> np.ndarray:
         """Log-likelihood of the text in each language, relative to the best."""
-        found = self.table[self.slots(text)].sum(0, dtype=np.float64)
+        found = self.sums(text)
         return found - found.max() if len(found) else found
 
     def language(self, text: str, margin: float = 8.0) -> str | None:
         """The language if it is ``margin`` nats likelier than the next."""
         if len(self.names) < 2 or len(text) < 3:
             return None
-        s = self.scores(text)
-        order = np.argsort(s)[::-1]
-        return self.names[order[0]] if s[order[0]] - s[order[1]] >= margin else None
+        s = self.sums(text).tolist()
+        next_best, best = sorted(s)[-2:]
+        return self.names[s.index(best)] if best - next_best >= margin else None
 
 
 def fit_language_model(documents: DataFrame, labelled: int = LABELLED) -> LanguageModel:
@@ -121,6 +142,11 @@ def fit_language_model(documents: DataFrame, labelled: int = LABELLED) -> Langua
     return LanguageModel.of_counts(counts)
 
 
+def _may(text: str, words: tuple[str, ...]) -> bool:
+    """Whether a pattern each match of which holds one of the words may be found, which is told faster than by the pattern."""
+    return any(map(text.lower().__contains__, words)) or not text.isascii() and any(map(text.__contains__, FOLDED))
+
+
 def is_empty(text: str | None) -> bool:
     """Nothing that answers: NULL, blank, no letter or digit, a placeholder, a bare marker or label."""
     if text is None:
@@ -150,7 +176,11 @@ def is_copy(question: str | None, text: str) -> bool:
         return False
     clean, question = plain(text), plain(question)
     for _ in range(4):
-        shorter = LABEL.sub("", QUOTING.sub("", clean)).strip()
+        shorter = clean
+        for lead in (QUOTING, LABEL):
+            if found := lead.match(shorter):
+                shorter = shorter[found.end() :]
+        shorter = shorter.strip()
         if shorter == clean:
             break
         clean = shorter
@@ -183,8 +213,10 @@ def is_copy(question: str | None, text: str) -> bool:
 def is_refusal(text: str) -> bool:
     """Every sentence declines or is small talk of at most ASIDE words, and at least one declines; what follows a declining clause in its
     sentence, after a word of contrast, is no more than small talk either and gives no number. The text's length doesn't matter."""
-    declines = False
-    for part in _SENTENCES.split(plain(text)):
+    declines, text = False, plain(text)
+    if not _may(text, DECLINING_WORDS):
+        return False
+    for part in _SENTENCES.split(text):
         if found := DECLINES.search(part):
             rest = CONTRAST.search(part, found.end())
             after = part[rest.end() :] if rest else ""
@@ -205,15 +237,19 @@ def language_defect(model: LanguageModel, question: str | None, text: str) -> bo
     body = _QUOTED.sub(" ", latin(plain(text)))
     if not _WORDS.search(body):
         return False
-    want = next((k for k, v in _ASKED.items() if v.search(question)), None) or model.language(latin(plain(question)), 6.0)
+    want = _may(question, ASKED_WORDS) and next((k for k, v in _ASKED.items() if v.search(question)), None) or model.language(latin(plain(question)), 6.0)
     have = model.language(body)
     return bool(want and have and want != have)
 
 
+def _uncited(text: str) -> str:
+    return _CITED.sub("", text) if "[" in text else text
+
+
 def _stream(text: str) -> list[tuple[bool, list[str]]]:
     """Lines of masked tokens, each with whether it is a list item; citations are left out."""
     out = []
-    for line in _CITED.sub("", plain_lines(text)).split("\n"):
+    for line in _uncited(plain_lines(text)).split("\n"):
         words = line.split()
         if words:
             item = words[0] in "-*•" or bool(re.fullmatch(r"\d+[.)]", words[0]))
@@ -222,7 +258,7 @@ def _stream(text: str) -> list[tuple[bool, list[str]]]:
 
 
 def plain_lines(text: str) -> str:
-    return "\n".join(plain(x) for x in text.split("\n")) if "\n" in text else plain(text)
+    return "\n".join(map(lookalikes.plain, text.split("\n"))) if "\n" in text else plain(text)
 
 
 @lru_cache(1 << 18)
@@ -273,9 +309,9 @@ def end_counts(text: str, seen: list[Counter], ends: list[Counter]) -> None:
 def end_contexts(text: str) -> list[str] | str | None:
     """The last contexts of a text whose end is doubtful; "cut" if it shows a cut; None if it surely ends or is too short to tell."""
     clean = plain_lines(text).strip()
-    if re.search(r"(?:\.\.\.|…)[\"'”)]*$", clean) and len(clean.split()) > 3:
+    if ("..." in clean or "…" in clean) and _ELLIPSIS.search(clean) and len(clean.split()) > 3:
         return "cut"
-    body = _CITED.sub("", clean)
+    body = _uncited(clean)
     for a, b in ("()", "[]"):
         if body.rfind(a) > body.rfind(b) and len(body) - body.rfind(a) < 80:
             return "cut"
@@ -292,12 +328,15 @@ def end_contexts(text: str) -> list[str] | str | None:
         return None
     if sum(len(w) for _, w in lines) <= 3:
         return None
-    before = ["^"]
-    for i, w in enumerate(words):
-        if i and not item and _ends(words[i - 1], w):
-            before = ["^"]
-        before.append(_mask(w))
-    return _contexts(item, before)
+    before = []
+    for i in range(len(words) - 1, -1, -1):
+        before.append(_mask(words[i]))
+        if len(before) == LONGEST:
+            break
+        if not i or not item and _ends(words[i - 1], words[i]):
+            before.append("^")
+            break
+    return _contexts(item, before[::-1])
 
 
 def _judge(model: LanguageModel, question: str | None, text: str | None) -> tuple[str, list[str] | None]:

@@ -82,3 +82,28 @@ def test_copies_of_any_length():
 
 def test_short_answers_in_another_language(model):
     assert pairs.language_defect(model, Q, "Wegen der Strömung.") and not pairs.language_defect(model, Q, "3.5 km") and not pairs.language_defect(model, Q, "Kreshax")
+
+
+def test_a_row_takes_its_forms_once(model):
+    pairs.plain.cache_clear()
+    assert pairs._judge(model, Q, EN.strip()) == ("", None) and pairs.plain.cache_info().misses <= 2
+
+
+DECLINED = """I can't say|we cannot|I could n't|I am unable to|I won’t|I must decline|I refrain|I don’t have the context|it is not possible|there is no way of|no answer can be given|outside my|beyond me|no can do|As an AI
+the text doesn't provide enough|nothing in the text answers|ich kann es nicht|ich muss ablehnen|keine Auskunft|nicht in der Lage|je ne peux pas|nous ne sommes pas|ne contient pas assez|impossible d'répondre|je dois décliner
+no puedo|no es posible|no contiene información|no hay respuesta|debo rechazar|debo declinar|ı am unable|thiſ text does not contain information""".replace("\n", "|").split("|")
+
+
+@pytest.mark.parametrize("change", [str, str.upper, lambda t: t.replace("i", "\u0130").replace("k", "\u212a"), lambda t: t.replace("i", "\u0131").replace("s", "\u017f")])
+def test_what_is_looked_up_first_hides_no_match(change, monkeypatch):
+    texts = [change(t) for t in DECLINED]
+    assert all(pairs._may(t, pairs.DECLINING_WORDS) for t in texts if pairs.DECLINES.search(t)) and sum(bool(pairs.DECLINES.search(t)) for t in texts) > 20
+    asked = [change(x) for v in pairs.ASKED.values() for x in v[5:-3].split("|")]
+    assert len(asked) > 12 and all(pairs._may(t, pairs.ASKED_WORDS) for t in asked)
+    found = [pairs.is_refusal(t + ".") for t in [*texts, EN, DE]]
+    monkeypatch.setattr(pairs, "_may", lambda *_: True)
+    assert found == [pairs.is_refusal(t + ".") for t in [*texts, EN, DE]]
+
+
+def test_contexts_begin_with_their_sentence():
+    assert pairs.end_contexts("It ends here. Then the") == ["S|the", "S|then the", "S|^ then the"] and pairs.end_contexts("- it ends. then the") == ["L|the", "L|then the", "L|ends then the", "L|it ends then the"]
