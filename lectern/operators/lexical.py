@@ -19,7 +19,7 @@ KEY = ("doc_id", "chunk_id")
 
 #: Questions that are sent to the tasks in one pass, tokens of the first and of the largest block that is scored at once, cells of the
 #: terms that are held for every chunk of a block because more than one in COMMON has them, and questions and sums that are taken at once.
-PASS, FIRST, BLOCK, CELLS, COMMON, ASKED, SUMS = 30_000, 100_000, 4_000_000, 8_000_000, 32, 256, 8_000_000
+PASS, FIRST, BLOCK, CELLS, COMMON, ASKED, SUMS = 30_000, 100_000, 4_000_000, 8_000_000, 32, 256, 4_000_000
 
 
 def tokened(chunks: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
